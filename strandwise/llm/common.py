@@ -76,3 +76,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
         before = now
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Hint a broadcast only if a written table of narrow rows holds at most max_rows; else leave the join to shuffle."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
