@@ -20,7 +20,7 @@ from .common import broadcast_if_small, materialize, word_count
 
 @dataclass(frozen=True)
 class MixSpec:
-    """weights repeat over the sources in code-point order (null last); share is the mix's size as a part of all sizes; a source is repeated up to max_epochs times. blocks bounds the number of blocks over all sources (each has one at least)."""
+    """weights repeat over the sources in code-point order (null last); share is the mix's size as a part of all sizes; a source is repeated up to max_epochs times. blocks bounds the number of blocks over all sources (each has one at least). The words that whole blocks leave over are filled with single documents of the next block, or, in a source of up to fill_rows documents, of all later blocks."""
 
     weights: tuple[float, ...] = (3, 1, 2)
     share: float = 1.5
@@ -28,6 +28,7 @@ class MixSpec:
     shards: int = 16
     blocks: int = 4096
     block_rows: int = 16
+    fill_rows: int = 4096
     seed: int = 17
 
 
@@ -121,15 +122,15 @@ def plan(sizes: DataFrame, spec: MixSpec) -> MixPlan:
     src = src.withColumn("passes", passes).withColumn("need", F.col("target") - F.col("passes") * F.col("source_size"))
     src = materialize(src, "mix-sources")
     few = broadcast_if_small(src, PLAN_ROWS)
-    at = sizes.join(few, sizes.source.eqNullSafe(src.source)).select(sizes.doc_id, "idx", "size", "n_blocks", "need").withColumn("h", permuted(spec)).withColumn("slot", slot_of(F.col("h"), F.col("n_blocks")))
+    at = sizes.join(few, sizes.source.eqNullSafe(src.source)).select(sizes.doc_id, "idx", "n_docs", "size", "n_blocks", "need").withColumn("h", permuted(spec)).withColumn("slot", slot_of(F.col("h"), F.col("n_blocks")))
     parts = at.groupBy("idx", "slot").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     per = parts.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("slot", "words", "n"))).alias("parts"))
     cut = src.join(per, "idx").withColumn("end", F.expr(boundary("parts", "need")))
     cut = cut.withColumn("cut", F.col("end.cut")).withColumn("need", F.col("need") - F.col("end.used"))
-    cut = cut.withColumn("n_parts", F.expr(f"greatest(1L, least({spec.blocks}L, coalesce(filter(parts, p -> p.slot = cut)[0].n, 0L) div {spec.block_rows}))"))
-    cut = materialize(cut.select("source", "idx", "parts", "passes", "cut", "need", "n_parts"), "mix-cut")
-    small = broadcast_if_small(cut.where("cut IS NOT NULL").select("idx", F.col("cut").alias("slot"), "need", "n_parts"), PLAN_ROWS)
-    inside = at.drop("need").join(small, ["idx", "slot"]).withColumn("part", slot_of(F.col("h"), F.col("n_parts"), 2))
+    cut = cut.withColumn("n_parts", F.expr(f"CASE WHEN n_docs <= {spec.fill_rows} THEN 1L ELSE greatest(1L, least({spec.blocks}L, coalesce(filter(parts, p -> p.slot = cut)[0].n, 0L) div {spec.block_rows})) END"))
+    cut = materialize(cut.select("idx", "n_docs", "parts", "passes", "cut", "need", "n_parts"), "mix-cut")
+    small = broadcast_if_small(cut.where("cut IS NOT NULL").select("idx", "cut", "need", "n_parts"), PLAN_ROWS)
+    inside = at.drop("need").join(small, "idx").where(f"slot = cut OR (slot > cut AND n_docs <= {spec.fill_rows})").withColumn("part", slot_of(F.col("h"), F.col("n_parts"), 2))
     rows = inside.groupBy("idx", "need", "n_parts", "part", "doc_id", "h").agg(F.sum("size").alias("words"))
     sums = rows.groupBy("idx", "need", F.col("part").alias("slot")).agg(F.sum("words").alias("words"))
     ends = sums.groupBy("idx", "need").agg(F.array_sort(F.collect_list(F.struct("slot", "words"))).alias("parts")).withColumn("end", F.expr(boundary("parts", "need")))
@@ -148,8 +149,8 @@ def plan(sizes: DataFrame, spec: MixSpec) -> MixPlan:
     last = last.select("idx", F.expr(fit).alias("fit")).select("idx", F.explode(F.expr(chosen)).alias("doc_id"))
     singles = materialize(rows.where("part < last OR last IS NULL").select("idx", "doc_id").union(last).withColumn("single", F.lit(True)), "mix-singles")
     draws = (
-        "flatten(transform(parts, p -> transform(filter(sequence(0, passes), c -> c < passes OR cut IS NULL AND need > 0 OR p.slot <= cut), "
-        f"c -> named_struct('h', xxhash64({spec.seed}, idx, p.slot, c), 'slot', p.slot, 'copy', c, 'partial', c = passes AND p.slot <=> cut))))"
+        f"flatten(transform(parts, p -> transform(filter(sequence(0, passes), c -> c < passes OR cut IS NULL AND need > 0 OR p.slot <= cut OR (p.slot > cut AND n_docs <= {spec.fill_rows})), "
+        f"c -> named_struct('h', xxhash64({spec.seed}, idx, p.slot, c), 'slot', p.slot, 'copy', c, 'partial', coalesce(c = passes AND p.slot >= cut, false)))))"
     )
     deals = cut.withColumn("draws", F.array_sort(F.expr(draws)))
     quotas = split_tree(deals.select("idx", F.size("draws").cast("long").alias("q")), spec)
