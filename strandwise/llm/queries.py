@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .mixing import mix_counts
 from .quality import quality
+from .sharding import shard_digest
 from .simhash import simhash_components
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(read(spark, sf_dir, "documents"), shards=40)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
@@ -25,6 +30,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
