@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import chat_digest, format_chats
 from .common import read
+from .langid import identify
 from .mixing import mix_counts
 from .quality import quality
 from .sharding import shard_digest
@@ -17,6 +19,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(read(spark, sf_dir, "documents"), shards=40)
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    awkward = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", awkward), (-1, 1, "assistant", awkward)], "conv_id long, turn long, role string, text string")
+    return chat_digest(format_chats(rows.union(extra)))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
@@ -31,6 +44,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_chat_formatting": op2_chat_formatting,
+    "op4_language_id": op4_language_id,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
