@@ -52,15 +52,39 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def local_forest(batches):
+    """Edges (a, b) of one partition, as stars about the smallest node of each of its components.
+
+    Works through bounded pieces: what a piece connects is sent on before the next piece is read.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def find(parent, x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for piece in batches:
+        parent: dict[int, int] = {}
+        for a, b in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+            a, b = find(parent, a), find(parent, b)
+            parent[max(a, b)] = min(a, b)
+        stars = [(x, find(parent, x)) for x in parent]
+        stars = [(x, r) for x, r in stars if x != r]
+        if stars:
+            yield batch(schema, a=[x for x, _ in stars], b=[r for _, r in stars])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as edges (a, b) of longs: rows (node, root).
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014). Each round is two joins
-    on pre-aggregated minima, written to the shared folder; root is the smallest node. Nothing
+    Each partition first shrinks its own edges to stars; then come alternating large-star and small-star rounds (Kiveris et al., 2014). A round is two joins on pre-aggregated minima, written to the shared folder; root is the smallest node. Nothing
     but one checksum row per round reaches the driver. No edges: no rows. Self loops and
     repeated edges are ignored.
     """
-    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    e = materialize(links.mapInArrow(local_forest, "a long, b long").distinct(), "edges")
     before = None
     while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
