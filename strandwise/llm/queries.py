@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import chat_digest, format_chats
 from .common import read
 from .langid import identify
+from .linededup import line_dedup
 from .mixing import mix_counts
 from .quality import quality
+from .secretscan import secret_digest
 from .sharding import shard_digest
 from .simhash import simhash_components
 
@@ -30,6 +32,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
@@ -42,13 +48,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(read(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_language_id": op4_language_id,
+    "op6_secret_scan": op6_secret_scan,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
