@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chat_digest, format_chats
 from .common import read
+from .decontam import contaminated
 from .langid import identify
 from .linededup import line_dedup
 from .mixing import mix_counts
@@ -28,6 +29,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(rows.union(extra)))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_simhash": op7_simhash,
