@@ -189,13 +189,16 @@ def mix_counts(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
 def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     """The mixed rows: docs' columns, one row per draw, plus mix_shard, mix_copy and mix_order.
 
-    The text is read once for its words and once for the draws, and never shuffled.
+    Columns of docs with one of these three names give way; all others are kept as they are. The text is
+    read once for its words and once for the draws, and never shuffled. Nulls, ties and empty tables are
+    as in mix_counts.
     """
-    keep = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
-    made = plan(materialize(keep, "mix-sizes"), spec)
-    out = with_draws(docs, spec, made).select(*[docs[c] for c in docs.columns], F.explode("mix_draws").alias("_draw"))
+    ids = [F.col("doc_id").cast("long").alias("doc_id"), "source"]
+    made = plan(materialize(docs.select(*ids, word_count(F.col("text")).alias("size")), "mix-sizes"), spec)
+    out = with_draws(docs.select(F.struct("*").alias("_row"), *ids), spec, made).select("_row", "doc_id", F.explode("mix_draws").alias("_draw"))
     order = F.xxhash64("doc_id", "_draw.copy", F.lit(spec.seed + 1))
-    return out.select(*docs.columns, F.col("_draw.shard").alias("mix_shard"), F.col("_draw.copy").alias("mix_copy"), order.alias("mix_order"))
+    keep = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("mix_shard", "mix_copy", "mix_order")]
+    return out.select(*keep, F.col("_draw.shard").alias("mix_shard"), F.col("_draw.copy").alias("mix_copy"), order.alias("mix_order"))
 
 
 def shuffled_shards(mixed: DataFrame, pieces: int = 64) -> DataFrame:

@@ -157,7 +157,9 @@ def kd_shards(docs: DataFrame, shards: int = 40, slack: float = 0.005) -> DataFr
 
 
 def apply_tree(docs: DataFrame, tree: Split | int) -> DataFrame:
-    return keyed(docs).select(*[F.col(c) for c in docs.columns], route(tree).cast("int").alias("shard"))
+    """docs plus shard by a finished tree, without a join; a column of docs that is called shard gives way."""
+    rows = keyed(docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang", "source"))
+    return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "shard"], route(tree).cast("int").alias("shard"))
 
 
 def with_slots(sharded: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
@@ -167,7 +169,7 @@ def with_slots(sharded: DataFrame, order: list[str], buckets: int = 64) -> DataF
     it end. Bucket counts (shards x buckets rows) are the only global state.
     """
     bucket = F.pmod(F.xxhash64(*order), F.lit(buckets))
-    rows = sharded.withColumn("_bucket", bucket)
+    rows = sharded.drop("slot").withColumn("_bucket", bucket)
     per = rows.groupBy("shard", "_bucket").count().groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("_bucket", "count"))).alias("parts"))
     starts = per.select("shard", F.posexplode("parts").alias("at", "part"), "parts").select("shard", F.col("part._bucket").alias("_bucket"), F.expr("aggregate(slice(parts, 1, at), 0L, (t, x) -> t + x.count)").alias("_start"))
     starts = broadcast_if_small(materialize(starts, "shard-starts"), 100_000)
