@@ -19,6 +19,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ASSIGN_LEAST = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
+#: Words of which ordinary identifiers are made, so that a small corpus has a sample too.
+PLAIN = "the quick user name list value index count file path read write data table column row key map set get make build run test check start stop open close load save first last next item page line text word number total size length time date order group result error message request response server client config option default parent child node tree".split()
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "model")
 SPAN = "array<struct<start: int, rank: int, end: int, kind: string>>"
@@ -55,13 +57,19 @@ def located(text: Column, pattern: str, kind: str, group: int = 0, least: int =
 def labelled_sample(docs: DataFrame, spec: SecretSpec = SecretSpec()) -> DataFrame:
     """(token, secret): random strings in hexadecimal, base 64, and mixed-case and capital alphabets; ordinary words, and identifiers made of them.
 
-    The random ones are generated; the ordinary ones are the letter words of about sample_docs documents.
+    The random ones are generated; the ordinary ones are made of fixed words and of the letter words of about
+    sample_docs documents.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit(f"{spec.seed}-"), F.col("id").cast("string")), 256)
     base64 = F.base64(F.unhex(digest))
     kinds = F.array(F.substring(digest, 1, 40), base64, F.translate(F.substring(base64, 1, 32), "+/", "-_"), F.upper(F.substring(F.regexp_replace(base64, "[^A-Za-z0-9]", ""), 1, 32)), F.regexp_replace(base64, "[^A-Za-z0-9]", ""))
     random = spark.range(spec.random_rows).select(F.explode(kinds).alias("token"), F.lit(True).alias("secret"))
+    words = F.array(*[F.lit(w) for w in PLAIN])
+    pick = lambda n: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(n), F.lit(spec.seed)), F.lit(len(PLAIN))) + 1).cast("int")).alias(f"w{n}")
+    named = spark.range(spec.random_rows).select(pick(0), pick(1), pick(2), pick(3))
+    forms = "array(concat_ws('_', w0, w1, w2), concat_ws('-', w0, w1, w2, w3), concat(w0, initcap(w1), initcap(w2), initcap(w3)), concat(initcap(w0), initcap(w1), initcap(w2)), upper(concat_ws('_', w0, w1)), concat_ws('/', w0, w1, w2, w3), concat(w0, w1, w2))"
+    named = named.select(F.explode(F.expr(forms)).alias("token"), F.lit(False).alias("secret"))
     total = docs.count()
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(spec.seed)), 11) * F.lit(2.0**-53)
     sample = docs.where(chance < min(1.0, spec.sample_docs / max(1, total))).select(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b[A-Za-z]{2,}\b"), F.lit(0)).alias("w"))
@@ -69,7 +77,7 @@ def labelled_sample(docs: DataFrame, spec: SecretSpec = SecretSpec()) -> DataFra
         "flatten(transform(filter(sequence(0, size(w) div 3 - 1), i -> size(w) >= 3), i -> array(concat_ws('_', lower(w[3*i]), lower(w[3*i+1]), lower(w[3*i+2])), concat_ws('-', w[3*i], w[3*i+1], w[3*i+2]), "
         "concat(lower(w[3*i]), initcap(w[3*i+1]), initcap(w[3*i+2])), concat(lower(w[3*i]), lower(w[3*i+1])), concat_ws('/', w[3*i], w[3*i+1], w[3*i+2]), upper(concat_ws('_', w[3*i], w[3*i+1])), concat_ws('_', lower(w[3*i]), cast(i % 100 AS string)))))"
     )
-    return random.union(sample.select(F.explode(made).alias("token"), F.lit(False).alias("secret")))
+    return random.union(named).union(sample.select(F.explode(made).alias("token"), F.lit(False).alias("secret")))
 
 
 def fit(labelled: DataFrame) -> str:
