@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import chat_digest, format_chats
 from .common import read
@@ -16,6 +17,7 @@ from .quality import quality
 from .secretscan import secret_digest
 from .sharding import shard_digest
 from .simhash import simhash_components
+from .sql import ORACLE_SQL
 from .suffix import remove_repeats
 
 
@@ -59,7 +61,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(read(spark, sf_dir, "documents"))
+    return line_dedup(read(spark, sf_dir, "documents")).withColumn("removed", F.array_join("removed", ","))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -74,5 +76,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}
