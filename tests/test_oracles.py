@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from strandwise.plans import catalog
@@ -19,7 +20,7 @@ def duck(small):
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return bool(v)
