@@ -284,7 +284,7 @@ def collect(spark, d):
 @query("W7_position_in_group", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS idx FROM lineitem")
 def position_in_group(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) - 1).alias("idx"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) - 1).cast("long").alias("idx"))
 
 
 @query("O1_sorted", "SELECT n_name, n_regionkey FROM nation ORDER BY n_regionkey DESC, n_name")
