@@ -18,7 +18,9 @@ from .common import broadcast_if_small, materialize
 
 #: Bits of a sort key: the dimension, the text's hash (equal texts stay side by side), the document's hash.
 DIGITS = (15, 16, 16, 16)
-DIMENSIONS = ("lang", "source", "log_size", "text_hash")
+#: Dimensions that equal texts share, so that a group of copies has one place in the tree; and the row's own labels.
+TEXT_DIMENSIONS = ("log_size", "log_lines", "non_ascii", "text_hash")
+ALL_DIMENSIONS = ("lang", "source", *TEXT_DIMENSIONS)
 OVERHEAD = 16
 
 
@@ -36,18 +38,22 @@ def row_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
     """docs plus _size and one 63-bit sort key per dimension; null lang, source and text have values of their own."""
     text = F.coalesce(F.col("text"), F.lit(""))
     limit = F.lit(1 << DIGITS[0])
-    dims = [
-        F.when(F.col("lang").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("lang"), limit)),
-        F.when(F.col("source").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("source"), limit)),
-        F.least(F.floor(F.log2(row_size(F.col("text"))) * 768), limit - 1),
-        F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 49),
-    ]
+    log = lambda x: F.least(F.floor(F.log2(x) * 768), limit - 1)
+    label = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c), limit))
+    values = {
+        "lang": lambda: label("lang"),
+        "source": lambda: label("source"),
+        "log_size": lambda: log(row_size(F.col("text"))),
+        "log_lines": lambda: log(1 + F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))),
+        "non_ascii": lambda: F.floor((F.octet_length(text) - F.length(text)) / row_size(F.col("text")) * (limit - 1)),
+        "text_hash": lambda: F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 49),
+    }
     low = F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 32), 16).bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id"), 48))
-    keys = [F.shiftleft(d.cast("long"), 48).bitwiseOR(low).alias(f"_k{i}") for i, d in enumerate(dims)]
+    keys = [F.shiftleft(values[d]().cast("long"), 48).bitwiseOR(low).alias(f"_k{i}") for i, d in enumerate(dimensions)]
     return docs.select("*", row_size(F.col("text")).alias("_size"), *keys)
 
 
@@ -55,8 +61,8 @@ def literal(values: list) -> str:
     return f"array({', '.join(f'{v}L' for v in values)})"
 
 
-def route(tree: Split | int) -> Column:
-    """The leaf of a row with keys _k0.._k3: a walk down the tree's node table, a few steps a row."""
+def route(tree: Split | int, n_keys: int) -> Column:
+    """The leaf of a row with keys _k0, _k1 and so on: a walk down the tree's node table, a few steps a row."""
     table: list[list[int]] = []
 
     def add(node: Split | int) -> int:
@@ -71,21 +77,20 @@ def route(tree: Split | int) -> Column:
 
     add(tree)
     dim, cut, left, right = (literal([row[i] for row in table]) for i in range(4))
-    keys = f"array({', '.join(f'_k{i}' for i in range(len(DIMENSIONS)))})"
+    keys = f"array({', '.join(f'_k{i}' for i in range(n_keys))})"
     step = f"CASE WHEN {dim}[n] < 0 THEN n WHEN {keys}[{dim}[n]] < {cut}[n] THEN cast({left}[n] AS int) ELSE cast({right}[n] AS int) END"
     walk = f"aggregate(sequence(0, {depth(tree)}), 0, (n, i) -> {step})"
     return F.expr(f"cast({cut}[{walk}] AS int)")
 
 
-def grow(rows: DataFrame, shards: int, slack: float) -> Split | int:
-    """The tree over rows (_size, _k0.._k3). slack: part of a leaf's bytes by which a cut may miss to keep a group of equal keys whole."""
+def grow(rows: DataFrame, n: int, shards: int, slack: float) -> Split | int:
+    """The tree over rows (_size and n keys _k0, _k1 and so on). slack: part of a leaf's bytes by which a cut may miss to keep a group of equal keys whole."""
     total = rows.agg(F.sum("_size")).first()[0] or 0
     allowed = slack * total / shards
     done: dict[tuple[int, int], tuple[int, int]] = {}
     level, world = [(0, shards)], None
-    n = len(DIMENSIONS)
     while level := [x for x in level if x[1] - x[0] > 1]:
-        here = rows.withColumn("node", route(partial(done, 0, shards))).where(F.col("node").isin([lo for lo, _ in level]))
+        here = rows.withColumn("node", route(partial(done, 0, shards), n)).where(F.col("node").isin([lo for lo, _ in level]))
         spans = [f(F.shiftright(f"_k{i}", 48)).alias(f"{f.__name__}{i}") for i in range(n) for f in (F.min, F.max)]
         found = {r.node: r for r in here.groupBy("node").agg(F.sum("_size").alias("w"), *spans).collect()}
         if world is None and found:
@@ -143,23 +148,25 @@ def partial(done: dict, lo: int, hi: int) -> Split | int:
     return Split(*done[lo, hi], partial(done, lo, mid), partial(done, mid, hi))
 
 
-def kd_shards(docs: DataFrame, shards: int = 40, slack: float = 0.005) -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int = 40, slack: float = 0.05, dimensions: tuple[str, ...] = TEXT_DIMENSIONS) -> DataFrame:
     """docs plus shard (int): a pass for the metadata, small passes for the tree, and one expression for the rows.
 
     Needs doc_id, text, lang and source. A leaf aims at an equal part of all bytes (UTF-8 bytes of the
-    text plus 16 a row; null text: 16). Equal texts are side by side on every dimension, so they share
-    a shard unless a cut falls inside a group heavier than slack of a leaf; then the group is split by
-    document. Rows alike in id, text, lang and source stay together. Nulls have places of their own.
-    Fewer rows than shards leave shards empty; an empty table gives no rows. Extra columns are kept.
+    text plus 16 a row; null text: 16). With the default dimensions equal texts go to one shard, unless a
+    cut falls inside a group of them that outweighs slack of a leaf; then that group is split by document.
+    ALL_DIMENSIONS also splits by language and source, which parts copies with different labels. Rows
+    alike in all of these stay together. Nulls have places of their own. Fewer rows than shards leave
+    shards empty; an empty table gives no rows. Extra columns are kept.
     """
-    rows = materialize(keyed(docs.select("doc_id", "text", "lang", "source")).select("_size", *[f"_k{i}" for i in range(len(DIMENSIONS))]), "shard-keys")
-    return apply_tree(docs, grow(rows, shards, slack))
+    keys = [f"_k{i}" for i in range(len(dimensions))]
+    rows = materialize(keyed(docs.select("doc_id", "text", "lang", "source"), dimensions).select("_size", *keys), "shard-keys")
+    return apply_tree(docs, grow(rows, len(dimensions), shards, slack), dimensions)
 
 
-def apply_tree(docs: DataFrame, tree: Split | int) -> DataFrame:
+def apply_tree(docs: DataFrame, tree: Split | int, dimensions: tuple[str, ...] = TEXT_DIMENSIONS) -> DataFrame:
     """docs plus shard by a finished tree, without a join; a column of docs that is called shard gives way."""
-    rows = keyed(docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang", "source"))
-    return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "shard"], route(tree).cast("int").alias("shard"))
+    rows = keyed(docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang", "source"), dimensions)
+    return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "shard"], route(tree, len(dimensions)).cast("int").alias("shard"))
 
 
 def with_slots(sharded: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:

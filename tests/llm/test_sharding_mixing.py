@@ -30,6 +30,14 @@ def test_digest_and_balance(spark):
     assert row["size"] == len(text.encode()) + 16 and row.text_crc32 == zlib.crc32(text.encode())
 
 
+def test_copies_share_a_shard(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', 30 + cast(id % 500 AS int))").alias("text"), F.concat(F.lit("l"), (F.col("id") % 3).cast("string")).alias("lang"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"))
+    out = sharding.kd_shards(docs, 8).toPandas()
+    assert (out.groupby("text").shard.nunique() > 1).sum() <= 7 and out.groupby("text").shard.nunique().max() <= 2
+    apart = sharding.kd_shards(docs, 8, dimensions=sharding.ALL_DIMENSIONS).toPandas()
+    assert apart.shard.nunique() == 8
+
+
 def test_one_row_many_shards_and_none(awkward, nothing):
     assert sharding.shard_digest(awkward.limit(1), 40).count() == 1
     assert sharding.shard_digest(nothing, 40).count() == 0
