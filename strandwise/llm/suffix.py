@@ -34,7 +34,7 @@ class RepeatSpec:
     gram: int = 64
     most_windows: int = 2048
     shard_bytes: int = 1 << 20
-    dense: int = 4096
+    dense: int = 512
 
 
 # --- suffix arrays -----------------------------------------------------------------------------
