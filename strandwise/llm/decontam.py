@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, broadcast_if_small, materialize
+from .common import batch, broadcast_if_small, materialize, pieces
 
 #: Units that become a placeholder after a number, and numbers written as words.
 UNITS = frozenset(
@@ -132,7 +132,7 @@ def window_rows(texts: DataFrame, spec: DecontamSpec, sizes: list[int] | None, s
     def run(batches):
         vocabulary, known = shared.value if shared is not None else (None, None)
         cache = Words(vocabulary)
-        for b in batches:
+        for b in pieces(batches):
             out = {n: [] for n in SCHEMA.names}
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 kinds, places = cache.template(text or "")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, pieces
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
@@ -91,7 +91,7 @@ def fit(rows: DataFrame, spec: LangIdSpec = LangIdSpec()) -> Model:
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in pieces(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if lang not in sums:
                     sums[lang] = np.zeros(BUCKETS, np.int64)
@@ -132,7 +132,7 @@ def predict(docs: DataFrame, model: Model, lead: float = 0.2) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in pieces(batches):
             names, scores, flags = [], [], []
             for text in b.column(1).to_pylist():
                 if not m.languages or text is None or not any(map(str.isalpha, text)):

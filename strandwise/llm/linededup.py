@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize
+from .common import batch, materialize, pieces
 
 #: Lines with fewer words are matched exactly only: one edit of a very short line is another line.
 MIN_WORDS = 5
@@ -67,7 +67,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("halves", pa.list_(pa.int64()))])
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             out = {n: [] for n in schema.names}
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for no, line in enumerate((text or "").encode().split(b"\n")):
@@ -115,7 +115,7 @@ def line_texts(held: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("line", pa.binary())])
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             ids, nos, lines = [], [], []
             for doc_id, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
                 parts = text.encode().split(b"\n")

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WHITESPACE, batch
+from .common import WHITESPACE, batch, pieces
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases that mark a line as boilerplate (lower case).
@@ -128,7 +128,7 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str =
     ddl = "doc_id long, " + ", ".join(f"{n} {'boolean' if n in ('base_failed', 'kept') else 'string' if n == 'cleaned_text' else 'long'}" for n in names)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = [assess(t, rules) for t in b.column(1).to_pylist()]
             yield batch(schema, doc_id=b.column(0), **{n: [r[n] for r in rows] for n in names})
 
@@ -143,7 +143,7 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFram
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             mask = pa.array([assess(t, rules)["kept"] for t in b.column(at).to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, out)], schema=out).filter(mask)
 

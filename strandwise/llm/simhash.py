@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, connected_components, materialize
+from .common import batch, connected_components, materialize, pieces
 
 SEED = 42
 SEGMENTS = 16
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             fp = [fingerprint(shingle_hashes(t, size))[0] for t in b.column(1).to_pylist()]
             yield batch(schema, doc_id=b.column(0), fp=np.array(fp, np.uint64).view(np.int64))
 

@@ -142,11 +142,11 @@ ITEM = "A train from Lyon covers 120 km in 2 hours while a second train driven b
 
 @pytest.mark.parametrize("limit", [2_000_000, 0])
 def test_reparameterised_question_is_caught(spark, make, limit):
-    bench = spark.createDataFrame([(7, ITEM, "x"), (8, None, "x"), (9, "too short", "x"), (10, "six plain words make one window", "x")], "item_id long, text string, hash string")
+    bench = spark.createDataFrame([(7, ITEM, "x"), (8, None, "x"), (9, "too short", "x"), (10, "green plain words make tidy windows", "x")], "item_id long, text string, hash string")
     other = ITEM.replace("120", "450").replace("Lyon", "Porto").replace("Maria", "Bob").replace("90", "15").replace("3 hours", "8 hours").replace("2 hours", "5 hours")
     mixed = ITEM.replace("2 hours while", "2 hours while").replace("120 km", "77 km")
     words = "nothing of the kind is here to be seen at all by anyone who reads it"
-    texts = [f"Intro text. {ITEM} More.", f"Start.\n{other}", words, None, "", "say six plain words make one window again", ITEM[: len(ITEM) // 3], mixed]
+    texts = [f"Intro text. {ITEM} More.", f"Start.\n{other}", words, None, "", "say green plain words make tidy windows again", ITEM[: len(ITEM) // 3], mixed]
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(make(texts), bench, decontam.DecontamSpec(max_broadcast=limit)).collect()}
     assert set(got) == {(0, 7), (1, 7), (5, 10), (7, 7)}
     assert got[0, 7].n_changed == 0 and got[1, 7].n_changed >= 4
