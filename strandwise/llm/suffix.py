@@ -366,7 +366,8 @@ def dense_repeats(segments: DataFrame, spec: RepeatSpec) -> DataFrame:
                 yield batch(schema, h=[h] * n, s1=[s1] * n, s2=[s2] * n, w=list(range(n)), d1=[signed(d >> 64) for d in digests], d2=[signed(d & (1 << 64) - 1) for d in digests])
 
     windows = segments.mapInArrow(run, "h long, s1 long, s2 long, w long, d1 long, d2 long")
-    often = windows.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
+    # Written first, so that the join below shuffles both sides and a digest that very many share can be split.
+    often = materialize(windows.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2"), "often-windows")
     hits = windows.join(often, ["d1", "d2"], "left_semi").groupBy("h", "s1", "s2").agg(F.array_sort(F.collect_set(F.col("w").cast("int"))).alias("w"))
     return hits.select("h", "s1", "s2", F.expr("transform(w, x -> named_struct('a', x, 'b', x))").alias("hits"))
 
