@@ -102,6 +102,42 @@ def test_near_duplicates(spark, make, awkward, nothing):
     assert neardup.drop_near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_behind_nearer_templates(make):
+    """Partners at J >= 0.8 among templated texts below it: all groups as by brute force, in small cells and in cells dealt by blocks."""
+    rng = random.Random(12)
+    template = [f"t{i}" for i in range(300)]
+    texts = []
+    for k in range(60):
+        at = rng.randrange(230)
+        own = template[:at] + [f"own{k}x{i}" for i in range(38 + k % 12)] + template[at + 38 :]
+        texts.append(" ".join(own))
+        if k % 4 == 0:
+            texts.append(" ".join(w for i, w in enumerate(own) if i not in {at // 2, 60 + at // 2, 170, 210, 250, 290}))
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    linked = [(a, b) for a in range(len(texts)) for b in range(a) if alike(a, b) >= 0.8]
+    want = components(range(len(texts)), linked)
+    smallest = {n: min(m for m in want if want[m] == want[n]) for n in want}
+    assert len(set(smallest.values())) > 20 and len(linked) >= 15
+    for spec in (neardup.NearDupSpec(bands=16, bits=1, most_far=32), neardup.NearDupSpec(bands=16, bits=1, most_far=32, cap=4, block=8)):
+        assert {r.doc_id: r.keeper for r in neardup.near_duplicate_groups(make(texts), spec).collect()} == smallest
+
+
+@pytest.mark.parametrize("block", [4096, 50, 7])
+def test_every_pair_of_a_cell_meets(spark, block):
+    rng = np.random.default_rng(8)
+    rows = []
+    for key, n in ((1, 1), (2, 40), (3, 300), (4, 7), (5, 8), (6, 101)):
+        for lane in rng.integers(-(2**63), 2**63, n):
+            rows.append((key, len(rows), int(lane), int(rng.integers(0, 20))))
+    spec = neardup.NearDupSpec(most_far=28, cap=16, block=block)
+    cells = spark.createDataFrame(rows, "key long, id long, lane long, root long").repartition(3, "key").sortWithinPartitions("key")
+    far = lambda x, y: (x ^ y).bit_count() if x ^ y >= 0 else 64 - (~(x ^ y)).bit_count()
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[3] != y[3] and far(x[2], y[2]) <= 28}
+    got = [tuple(r) for r in neardup.every_candidate(cells, spec).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+
+
 # --- repeated strings --------------------------------------------------------------------------
 
 
