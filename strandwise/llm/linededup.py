@@ -3,8 +3,9 @@
 Every line emits what is left of it after deleting one word, as hashed keys. Two lines within one edit
 share such a key: a substitution leaves the same rest with the same word position missing, an insertion
 leaves the shorter line itself. Keys are joined by aggregation (the earliest line of each key), so a
-key shared by many lines costs one row a line and never their pairs. The earliest neighbour found for a
-line is verified by edit distance on the words, and the line goes if it holds.
+key shared by many lines costs one row a line and never their pairs. A rest without position only meets
+the line that it is: two lines that both leave it may be two edits apart. So whatever meets is a neighbour;
+the earliest found for a line is verified by edit distance on the words, and the line goes if it holds.
 
 Before that, a filter that loses nothing keeps lines that cannot match from emitting their keys: one
 edit leaves the first or the last half of the longer line untouched.
@@ -42,15 +43,20 @@ def halves(words: list[bytes]) -> list[int]:
     return out
 
 
-def variants(words: list[bytes]) -> tuple[list[int], list[bool]]:
-    """Keys of a line and whether each stands for the line itself: the rest after each deletion with and without the position."""
-    keys, own = [signed(xxhash.xxh3_64_intdigest(b"=" + b" ".join(words)))], [True]
+OWN, PLACE, REST = 0, 1, 2
+
+
+def variants(words: list[bytes]) -> tuple[list[int], list[int]]:
+    """Keys of a line and what each stands for: the line itself, or the rest after a deletion with or without the position."""
+    keys, kinds = [signed(xxhash.xxh3_64_intdigest(b"=" + b" ".join(words)))], [OWN]
     for i in range(len(words)):
         rest = b" ".join(words[:i] + words[i + 1 :])
         keys.append(signed(xxhash.xxh3_64_intdigest(b"%d?" % i + rest)))
+        kinds.append(PLACE)
         if i == 0 or words[i] != words[i - 1]:
             keys.append(signed(xxhash.xxh3_64_intdigest(b"=" + rest)))
-    return keys, own + [False] * (len(keys) - 1)
+            kinds.append(REST)
+    return keys, kinds
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -96,12 +102,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     keys = lines.select("h1", "h2", "first", F.explode("halves").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     chosen = keys.join(shared, "key", "left_semi").groupBy("h1", "h2").agg(F.first("first").alias("first"))
-    wanted = chosen.groupBy(F.col("first.doc_id").alias("_doc")).agg(F.collect_set("first.line_no").alias("_lines"))
+    wanted = chosen.groupBy(F.col("first.doc_id").alias("_doc")).agg(F.collect_set(F.struct("first.line_no", "h1")).alias("_lines"))
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
     texts = materialize(line_texts(held.select("doc_id", "text", "_lines")), "line-texts")
     rows = emitted(texts)
-    per = rows.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("first"))).alias("own_first"), F.min(F.when(~F.col("own"), F.col("first"))).alias("rest_first"), F.count("*").alias("n"))
-    met = rows.join(per.where("n > 1"), "key").withColumn("near", F.when(F.col("own"), F.col("rest_first")).when(F.col("own_first").isNotNull(), F.col("own_first")).otherwise(F.col("rest_first")))
+    own = F.col("kind") == OWN
+    per = rows.groupBy("key").agg(F.min(F.when(own, F.col("first"))).alias("own_first"), F.min(F.when(~own, F.col("first"))).alias("rest_first"), F.count("*").alias("n"))
+    met = rows.join(per.where("n > 1"), "key").withColumn("near", F.when(F.col("kind") == REST, F.col("own_first")).otherwise(F.col("rest_first")))
     near = met.where("near < first").groupBy("first").agg(F.min("near").alias("near"))
     first = texts.select(F.struct("doc_id", "line_no").alias("first"), "line")
     pairs = near.join(first, "first").join(first.select(F.col("first").alias("near"), F.col("line").alias("near_line")), "near")
@@ -118,32 +125,35 @@ def line_texts(held: DataFrame) -> DataFrame:
         for b in pieces(batches):
             ids, nos, lines = [], [], []
             for doc_id, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
-                parts = text.encode().split(b"\n")
-                ids += [doc_id] * len(wanted)
-                nos += wanted
-                lines += [b" ".join(parts[n].split()) for n in wanted]
+                parts = [b" ".join(x.split()) for x in (text or "").encode().split(b"\n")]
+                for no, h1 in ((x["line_no"], x["h1"]) for x in wanted):
+                    # A row that repeats the doc_id may hold another text.
+                    if no < len(parts) and line_id(parts[no])[0] == h1:
+                        ids.append(doc_id)
+                        nos.append(no)
+                        lines.append(parts[no])
             yield batch(schema, doc_id=ids, line_no=nos, line=lines)
 
     return held.mapInArrow(run, "doc_id long, line_no long, line binary")
 
 
 def emitted(texts: DataFrame) -> DataFrame:
-    schema = pa.schema([("key", pa.int64()), ("own", pa.bool_()), ("doc_id", pa.int64()), ("line_no", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("line_no", pa.int64())])
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 piece = b.slice(at, 512)
-                keys, own, sizes = [], [], []
+                keys, kinds, sizes = [], [], []
                 for line in piece.column(2).to_pylist():
                     k, o = variants(line.split(b" "))
                     keys += k
-                    own += o
+                    kinds += o
                     sizes.append(len(k))
                 take = np.repeat(np.arange(piece.num_rows), sizes)
-                yield batch(schema, key=keys, own=own, doc_id=piece.column(0).take(pa.array(take)), line_no=piece.column(1).take(pa.array(take)))
+                yield batch(schema, key=keys, kind=kinds, doc_id=piece.column(0).take(pa.array(take)), line_no=piece.column(1).take(pa.array(take)))
 
-    return texts.mapInArrow(run, "key long, own boolean, doc_id long, line_no long").select("key", "own", F.struct("doc_id", "line_no").alias("first"))
+    return texts.mapInArrow(run, "key long, kind int, doc_id long, line_no long").select("key", "kind", F.struct("doc_id", "line_no").alias("first"))
 
 
 def verified(pairs: DataFrame) -> DataFrame:

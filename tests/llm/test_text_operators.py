@@ -210,3 +210,14 @@ def test_line_dedup_against_brute_force(make):
 
 def test_line_dedup_awkward(awkward, nothing):
     assert linededup.line_dedup(awkward).count() == awkward.count() and linededup.line_dedup(nothing).count() == 0
+
+
+def test_neighbour_behind_an_earlier_line_with_the_same_rest(make):
+    texts = ["1. foo bar baz qux quux", "2. foo bar baz qux quux", "foo bar baz qux quux (a)", "foo bar baz qux quux (b)"]
+    assert [list(r.removed) for r in linededup.line_dedup(make(texts)).orderBy("doc_id").collect()] == [[], [0], [], [0]]
+
+
+def test_repeated_doc_id_with_another_text(spark):
+    rows = [(1, "one plain line of six words\nanother line that stands for itself"), (2, "something else is written here today\none plain line of seven words"), (2, None), (2, "short")]
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_lines, list(r.removed)) for r in got.collect()) == [(1, 2, []), (2, 0, [1]), (2, 1, [1]), (2, 2, [1])]
