@@ -4,6 +4,10 @@ Words become a template: lower case without outer punctuation, with numbers, nam
 typed placeholders. Windows of the benchmark's templates are hash-joined with the documents' windows; the
 hits of one alignment (document, item, offset) are then checked for slot consistency: one benchmark value
 must stand for one document value throughout. So a question with other numbers or names is still caught.
+
+Templates alone leave out windows of many placeholders, and a name is told by its capital. So each text has two
+further forms, searched in the same way and in union: the template with names as literal words, and the plain
+lower-case words, all windows of which count. A copy in other case or of numbers only is found by those.
 """
 
 from __future__ import annotations
@@ -32,12 +36,14 @@ OUTER = "\"'`“”‘’«»()[]{}<>*_.,;:!?…-–—"
 LINE = "\x01"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 OTHER, NAME, NUM, UNIT = 0, 1, 2, 3
+#: Forms of a text: template, template without names, plain words.
+FORMS = TEMPLATE, NAMELESS, PLAIN = 0, 1, 2
 CACHE = 500_000
 
 
 @dataclass(frozen=True)
 class DecontamSpec:
-    """window: words a window; least_literal: words in it that are no placeholder; an item is found if hits of a consistent alignment reach min_windows or share of its windows, whichever is less. Items of fewer than least_words words are not searched. The benchmark's vocabulary and window hashes are sent to the executors only up to max_broadcast of them."""
+    """window: words a window; least_literal: words in it that are no placeholder (plain windows: any); an item is found if hits of a consistent alignment reach min_windows or share of its windows, whichever is less. Items of fewer than least_words words are searched as plain words only. The benchmark's vocabulary and window hashes are sent to the executors only up to max_broadcast of them."""
 
     window: int = 8
     least_literal: int = 5
@@ -48,7 +54,7 @@ class DecontamSpec:
 
 
 class Words(dict):
-    """Word -> row of a table of what the word is at a sentence's start, inside a sentence, and to its neighbours.
+    """Word -> row of a table of what the word is at a sentence's start, inside a sentence, and to its neighbours, and of the plain word.
 
     With a vocabulary, literal words outside it get hash 0, which no window holds.
     """
@@ -56,14 +62,14 @@ class Words(dict):
     def __init__(self, vocabulary: frozenset | None = None):
         super().__init__()
         self.vocabulary = vocabulary
-        self.table = np.zeros((1024, 5), np.uint64)
+        self.table = np.zeros((1024, 6), np.uint64)
 
     def __missing__(self, word: str) -> int:
         at = len(self)
         if at == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         if word == LINE:
-            self.table[at] = (0, 0, 1, 0, 1)
+            self.table[at] = (0, 0, 1, 0, 1, 0)
         else:
             core = word.strip(OUTER)
             low = core.lower()
@@ -71,7 +77,7 @@ class Words(dict):
             literal = self.literal(low)
             unit = (2 if number else 0) | (1 if low in UNITS or core == "%" else 0)
             name = len(core) > 1 and core[0].isupper() and not number
-            self.table[at] = (NUM if number else literal, NUM if number else NAME if name else literal, word.rstrip("\"'”’)]")[-1:] in tuple(".!?:"), unit, 0)
+            self.table[at] = (NUM if number else literal, NUM if number else NAME if name else literal, word.rstrip("\"'”’)]")[-1:] in tuple(".!?:"), unit, 0, literal)
         self[word] = at
         return at
 
@@ -80,35 +86,37 @@ class Words(dict):
             return OTHER
         return max(8, xxhash.xxh3_64_intdigest(low.encode()))
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each word of the template, each word's place in the text's words)."""
+    def forms(self, text: str) -> tuple[list[np.ndarray], np.ndarray]:
+        """(hash of each word in each of FORMS, each word's place in the text's words)."""
         words = text.replace("\n", f" {LINE} ").split()
         if len(self) > CACHE:
             self.clear()
         rows = self.table_rows(list(map(self.__getitem__, words)))
         if not len(rows):
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
+            return [np.empty(0, np.uint64)] * len(FORMS), np.empty(0, np.int64)
         starts = np.concatenate([[True], rows[:-1, 2] > 0])
         keep = rows[:, 4] == 0
-        kinds = np.where(starts, rows[:, 0], rows[:, 1])[keep]
+        kinds, nameless, plain = np.where(starts, rows[:, 0], rows[:, 1])[keep], rows[keep, 0], rows[keep, 5]
         what = rows[keep, 3]
         after = np.concatenate([[False], (what[:-1] & np.uint64(2)) > 0])
-        kinds[after & ((what & np.uint64(1)) > 0) & (kinds != NUM)] = UNIT
-        return kinds, np.flatnonzero(keep)
+        unit = after & ((what & np.uint64(1)) > 0)
+        kinds[unit & (kinds != NUM)] = UNIT
+        nameless[unit & (nameless != NUM)] = UNIT
+        return [kinds, nameless, plain], np.flatnonzero(keep)
 
     def table_rows(self, at: list[int]) -> np.ndarray:
         return self.table[np.array(at, np.int64)] if at else self.table[:0]
 
 
-def windows(kinds: np.ndarray, size: int, least_literal: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows without unknown words and with enough literal ones."""
+def windows(kinds: np.ndarray, size: int, least_literal: int, form: int = TEMPLATE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows without unknown words and with enough literal ones. The hash tells the form."""
     n = len(kinds) - size + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     unknown = np.concatenate([[0], np.cumsum(kinds == OTHER)])
     literal = np.concatenate([[0], np.cumsum(kinds > UNIT)])
     at = np.flatnonzero((unknown[size:] == unknown[:n]) & (literal[size:] - literal[:n] >= min(least_literal, size)))
-    h = np.full(len(at), size, np.uint64)
+    h = np.full(len(at), size | form << 32, np.uint64)
     for j in range(size):
         h = (h ^ kinds[at + j]) * MULTIPLIER
         h ^= h >> np.uint64(32)
@@ -119,12 +127,12 @@ def slots(words: list[str], kinds: np.ndarray, places: np.ndarray, at: int, size
     return [f"{k}:{words[places[i]].strip(OUTER)}" for i in range(at, at + size) if (k := int(kinds[i])) <= UNIT]
 
 
-SCHEMA = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("pos", pa.int64()), ("n_windows", pa.int64()), ("slots", pa.list_(pa.string()))])
-DDL = "id long, hash long, pos long, n_windows long, slots array<string>"
+SCHEMA = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("pos", pa.int64()), ("n_windows", pa.int64()), ("form", pa.int64()), ("slots", pa.list_(pa.string()))])
+DDL = "id long, hash long, pos long, n_windows long, form long, slots array<string>"
 
 
 def window_rows(texts: DataFrame, spec: DecontamSpec, sizes: list[int] | None, shared=None) -> DataFrame:
-    """(id, hash, pos, n_windows, slots) of texts (id, text). sizes None: each text's own, as for benchmark items.
+    """(id, hash, pos, n_windows, form, slots) of texts (id, text), a row for each window of each form. sizes None: each text's own, as for benchmark items.
 
     shared: a broadcast (vocabulary, sorted window hashes) that holds windows back which can't join.
     """
@@ -135,20 +143,23 @@ def window_rows(texts: DataFrame, spec: DecontamSpec, sizes: list[int] | None, s
         for b in pieces(batches):
             out = {n: [] for n in SCHEMA.names}
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                kinds, places = cache.template(text or "")
+                forms, places = cache.forms(text or "")
+                n_words = len(places)
                 words = None
-                own = [min(spec.window, len(kinds))] if sizes is None and len(kinds) >= spec.least_words else sizes or []
-                for size in own:
-                    at, h = windows(kinds, size, spec.least_literal)
-                    total = len(at)
-                    if known is not None and len(at):
-                        hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
-                        at, h = at[hit], h[hit]
-                    if len(at):
-                        words = words or (text or "").replace("\n", f" {LINE} ").split()
-                        for i, x in zip(at.tolist(), h.view(np.int64).tolist()):
-                            for n, v in zip(SCHEMA.names, (key, x, i, total, slots(words, kinds, places, i, size))):
-                                out[n].append(v)
+                for size in ([min(spec.window, n_words)] if n_words else []) if sizes is None else sizes:
+                    for form, kinds in enumerate(forms):
+                        if form != PLAIN and size < spec.least_words:
+                            continue
+                        at, h = windows(kinds, size, 0 if form == PLAIN else spec.least_literal, form)
+                        total = len(at)
+                        if known is not None and len(at):
+                            hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+                            at, h = at[hit], h[hit]
+                        if len(at):
+                            words = words or (text or "").replace("\n", f" {LINE} ").split()
+                            for i, x in zip(at.tolist(), h.view(np.int64).tolist()):
+                                for n, v in zip(SCHEMA.names, (key, x, i, total, form, slots(words, kinds, places, i, size))):
+                                    out[n].append(v)
                 if len(out["id"]) > 20_000:
                     yield batch(SCHEMA, **out)
                     out = {n: [] for n in SCHEMA.names}
@@ -173,7 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, spec: DecontamSpec = Dec
     n_hits and n_changed (slots whose value differs: above 0 the question was re-parameterised) are of the
     best alignment. docs: doc_id, text; benchmark: item_id, text. Null or empty texts match nothing; rows
     that repeat a doc_id are reported once; a null doc_id is reported as null. Items shorter than a window
-    are one window of their own length. Extra columns are ignored; empty tables give no rows.
+    are one window of their own length; items without a word match nothing. Extra columns are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
     items = materialize(window_rows(benchmark.select(F.col("item_id").cast("long").alias("id"), "text"), spec, None), "bench-windows")
@@ -184,10 +195,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, spec: DecontamSpec = Dec
         hashes = np.sort(np.array([r.hash for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64))
         shared = spark.sparkContext.broadcast((frozenset(r.word for r in words.collect()), hashes))
     found = window_rows(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), spec, sizes, shared)
-    item = items.select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("item_pos"), F.col("n_windows").alias("item_windows"), F.col("slots").alias("item_slots"))
-    met = found.join(broadcast_if_small(item, spec.max_broadcast // 20), "hash").where(F.size("slots") == F.size("item_slots"))
-    met = met.select(F.col("id").alias("doc_id"), "item_id", "item_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"), F.arrays_zip("item_slots", "slots").alias("pairs"))
-    lined = met.groupBy("doc_id", "item_id", "item_windows", "offset").agg(F.countDistinct("item_pos").alias("n_hits"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    item = items.select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("item_pos"), F.col("n_windows").alias("item_windows"), "form", F.col("slots").alias("item_slots"))
+    met = found.drop("form").join(broadcast_if_small(item, spec.max_broadcast // 20), "hash").where(F.size("slots") == F.size("item_slots"))
+    met = met.select(F.col("id").alias("doc_id"), "item_id", "item_windows", "form", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"), F.arrays_zip("item_slots", "slots").alias("pairs"))
+    lined = met.groupBy("doc_id", "item_id", "item_windows", "form", "offset").agg(F.countDistinct("item_pos").alias("n_hits"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct("pairs.item_slots"))
     enough = F.col("n_hits") >= F.least(F.lit(spec.min_windows), F.ceil(F.col("item_windows") * spec.share))
     changed = F.size(F.filter("pairs", lambda p: p.item_slots != p.slots))
@@ -202,8 +213,8 @@ def benchmark_sizes(benchmark: DataFrame, spec: DecontamSpec) -> DataFrame:
     def run(batches):
         cache = Words()
         for b in batches:
-            n = {len(cache.template(t or "")[0]) for t in b.column(0).to_pylist()}
-            yield batch(schema, size=sorted({min(spec.window, x) for x in n if x >= spec.least_words}))
+            n = {len(cache.forms(t or "")[1]) for t in b.column(0).to_pylist()}
+            yield batch(schema, size=sorted({min(spec.window, x) for x in n if x}))
 
     return benchmark.select("text").mapInArrow(run, "size long")
 

@@ -166,6 +166,25 @@ def test_decontamination_awkward(spark, awkward, nothing):
     assert decontam.contaminated(awkward, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 0])
+def test_verbatim_copies_without_literal_windows_are_caught(spark, make, limit):
+    """Items of numbers, title case, capitals, names or few words; copies in other case; title case with other numbers."""
+    items = [
+        "12 km 3.5 kg 17 % 8 h 90 min 4 m 6 s 7 g 11 cm",
+        "The Capital Of The Old Kingdom Lies North Of The Great River",
+        "Alice Bruno Carla Dario Elena Fabio Gemma Hugo Irma Jonas",
+        ITEM,
+        "Name Its Capital",
+        "Which Large River Flows Through",
+        "On Day 12 The Old Mill Grinds 40 Sacks Of Good Wheat For The Town",
+    ]
+    texts = [f"here it says {t} and so on" for t in items] + [f"x {t.upper()} y" for t in items] + [f"x {t.lower()} y" for t in items]
+    texts += [items[6].replace("12", "31").replace("40", "75"), "12 km 3.5 kg 18 % 8 h 91 min 4 m 5 s 7 g", "no item is in this text at all", None, ""]
+    bench = spark.createDataFrame([*enumerate(items), (90, None), (91, " ")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(make(texts), bench, decontam.DecontamSpec(max_broadcast=limit)).collect()}
+    assert got == {(i, i % 7) for i in range(21)} | {(21, 6)}
+
+
 # --- line dedup --------------------------------------------------------------------------------
 
 
