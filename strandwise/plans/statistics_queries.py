@@ -124,6 +124,13 @@ def rank_by_abs(spark, d):
     return R.ranked(scores(spark, d), ["ranking"], "score", "event_id").where("rank <= 100").select("ranking", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
+def rank_by_abs_whole(spark, d):
+    return R.ranked(scores(spark, d), ["ranking"], "score", "event_id").select("ranking", "event_id", F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES["W1_rank_by_abs_whole"] = rank_by_abs_whole
+
+
 @query("O2_top_k", f"WITH {SC} SELECT event_id, score FROM sc WHERE ranking = 'score_3' ORDER BY abs(score) DESC, event_id LIMIT 25")
 def top_k(spark, d):
     return scores_wide(spark, d).select("event_id", F.col("score_3").alias("score")).orderBy(F.abs("score").desc(), "event_id").limit(25)

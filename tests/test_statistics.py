@@ -80,3 +80,22 @@ def test_weighted_cells_equal_copies(spark):
     top, rest = copies[:25], copies[25:]
     want = (sum(c[2] for c in top), sum(not c[2] for c in top), sum(c[2] for c in rest), sum(not c[2] for c in rest))
     assert (got.f_a, got.f_b, got.f_c, got.f_d) == want
+
+
+def test_whole_rankings_and_hits_against_brute_force(spark, small):
+    from strandwise.plans import catalog, roles
+
+    scores = roles.scores(spark, small).select("ranking", "event_id", "score").collect()
+    want = set()
+    for ranking in {r.ranking for r in scores}:
+        own = sorted((-abs(r.score), r.event_id) for r in scores if r.ranking == ranking and r.score is not None)
+        want |= {(ranking, e, i) for i, (_, e) in enumerate(own, 1)}
+    got = [(r.ranking, r.event_id, r["rank"]) for r in catalog.QUERIES["W1_rank_by_abs_whole"](spark, small).collect()]
+    assert len(got) == len(want) > 700 and set(got) == want
+    points = roles.records(spark, small).select("event_id", "pos").toPandas()
+    peaks = roles.peaks(spark, small).where("set_id = 'purchase'").toPandas()
+    hits = {}
+    for p in peaks.itertuples():
+        for e in points.event_id[(points.pos >= p.start) & (points.pos < p.end)]:
+            hits[e, p.accession] = hits.get((e, p.accession), 0) + 1
+    assert {(r.event_id, r.accession): r.n for r in catalog.QUERIES["J5_open_in_files_whole"](spark, small).collect()} == hits
