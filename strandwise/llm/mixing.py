@@ -1,11 +1,15 @@
 """Mixing sources to target weights: a multivariate-hypergeometric splitting tree over block quotas.
 
 Only DataFrame and SQL functions. A source's documents are permuted by hash and cut into blocks; the
-target says how many whole passes, whole blocks and, in one last block, single documents of a source
-the mix draws. The exact quotas of block draws are then split among the output shards by a binary
-tree: at each node the left half's count of every source is a multivariate hypergeometric draw, made
-item by item without replacement. Last, each source's permuted draws are dealt to the shards by their
-quotas, and rows are ordered by hash inside a shard.
+target says how many whole passes and whole blocks of a source the mix draws, and one remainder draw
+holds the last words: the parts of the next block that fit, and then single documents. The exact quotas
+of block draws are then split among the output shards by a binary tree: at each node the left half's
+count of every source is a multivariate hypergeometric draw, made item by item without replacement.
+Last, each source's permuted draws are dealt to the shards by their quotas, and rows are ordered by hash
+inside a shard.
+
+Sources are a dimension: their table and the tree's nodes (one row with a number a source) are held in
+one task, and the single documents, at most spec.fill a source, are broadcast up to SINGLE_ROWS of them.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from .common import broadcast_if_small, materialize, word_count
 
 @dataclass(frozen=True)
 class MixSpec:
-    """weights repeat over the sources in code-point order (null last); share is the mix's size as a part of all sizes; a source is repeated up to max_epochs times. blocks bounds the number of blocks over all sources (each has one at least). The words that whole blocks leave over are filled with single documents of the next block, or, in a source of up to fill_rows documents, of all later blocks."""
+    """weights repeat over the sources in code-point order (null last); share is the mix's size as a part of all sizes; a source is repeated up to max_epochs times. blocks bounds the number of blocks over all sources (each has one at least), block_rows is the least number of documents a block or part is meant to hold. What whole blocks and parts leave over is filled with single documents of the next fill ones in permuted order that are small enough."""
 
     weights: tuple[float, ...] = (3, 1, 2)
     share: float = 1.5
@@ -28,12 +32,13 @@ class MixSpec:
     shards: int = 16
     blocks: int = 4096
     block_rows: int = 16
-    fill_rows: int = 4096
+    fill: int = 256
     seed: int = 17
 
 
-#: Rows up to which a plan table is broadcast; beyond, it is joined by shuffle.
+#: Rows up to which a table of sources or blocks, and of single documents, is broadcast; beyond, it is joined by shuffle.
 PLAN_ROWS = 50_000
+SINGLE_ROWS = 500_000
 
 
 def permuted(spec: MixSpec) -> Column:
@@ -105,15 +110,49 @@ def split_tree(quotas: DataFrame, spec: MixSpec) -> DataFrame:
 
 @dataclass
 class MixPlan:
+    """sources: a row a source, with its remainder draw (cut, last, n_parts, rest_shard); blocks: (idx, slot, draws) of whole blocks; singles: (idx, doc_id)."""
+
     sources: DataFrame
     blocks: DataFrame
     singles: DataFrame
 
 
+def after_parts(at: DataFrame, cut: DataFrame, spec: MixSpec) -> DataFrame:
+    """(idx, last, left): inside each source's cut block, the part where the need ends and the words it lacks there."""
+    inside = at.join(cut, "idx").where("slot = cut").withColumn("part", slot_of(F.col("h"), F.col("n_parts"), 2))
+    sums = inside.groupBy("idx", "need", F.col("part").alias("slot")).agg(F.sum("size").alias("words"))
+    ends = sums.groupBy("idx", "need").agg(F.array_sort(F.collect_list(F.struct("slot", "words"))).alias("parts")).withColumn("end", F.expr(boundary("parts", "need")))
+    return ends.select("idx", F.col("end.cut").alias("last"), (F.col("need") - F.col("end.used")).alias("left"))
+
+
+def single_documents(at: DataFrame, cut: DataFrame, spec: MixSpec) -> DataFrame:
+    """(idx, doc_id): what fills a source's last words, one by one in permuted order, from the next spec.fill documents that could.
+
+    cut: (idx, cut, n_parts, last, left), a row a source. One more document is taken where overshooting by
+    it misses the target by less than leaving it out.
+    """
+    rest = at.join(cut, "idx").withColumn("part", F.when(F.col("slot") == F.col("cut"), slot_of(F.col("h"), F.col("n_parts"), 2)).otherwise(0))
+    rest = rest.where("slot > cut OR (slot = cut AND part >= last)").where("size > 0 AND size < 2 * left")
+    order = Window.partitionBy("idx").orderBy("slot", "part", "h", "doc_id")
+    near = rest.withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= spec.fill)
+    docs = near.groupBy("idx", "left", "_n", "doc_id").agg(F.sum("size").alias("words"))
+    docs = docs.groupBy("idx", "left").agg(F.array_sort(F.collect_list(F.struct("_n", "doc_id", "words"))).alias("docs"))
+    empty = "cast(array() AS array<struct<doc_id: bigint, words: bigint>>)"
+    one = "array(named_struct('doc_id', x.doc_id, 'words', x.words))"
+    fit = (
+        f"aggregate(docs, named_struct('left', left, 'ids', {empty}, 'rest', {empty}), (s, x) -> CASE WHEN x.words <= s.left "
+        f"THEN named_struct('left', s.left - x.words, 'ids', concat(s.ids, {one}), 'rest', s.rest) ELSE named_struct('left', s.left, 'ids', s.ids, 'rest', concat(s.rest, {one})) END)"
+    )
+    over = "slice(array_sort(transform(filter(fit.rest, x -> x.words < 2 * fit.left), x -> named_struct('miss', abs(x.words - fit.left), 'doc_id', x.doc_id))), 1, 1)"
+    chosen = f"concat(transform(fit.ids, x -> x.doc_id), transform({over}, x -> x.doc_id))"
+    return docs.select("idx", F.expr(fit).alias("fit")).select("idx", F.explode(F.expr(chosen)).alias("doc_id"))
+
+
 def plan(sizes: DataFrame, spec: MixSpec) -> MixPlan:
     """What each source gives: written tables of sources, of block draws by shard, and of the documents drawn singly.
 
-    sizes: (doc_id, source, size). All tables are bounded by the number of sources and spec.blocks.
+    sizes: (doc_id, source, size). One rule holds for sources of every size. All tables are bounded by the
+    number of sources, spec.blocks and spec.fill.
     """
     total = F.sum("n_docs").over(Window.partitionBy())
     n_blocks = F.greatest(F.lit(1), F.least(F.floor(F.col("n_docs") / spec.block_rows), F.floor(F.col("n_docs") * spec.blocks / total))).cast("long")
@@ -122,60 +161,49 @@ def plan(sizes: DataFrame, spec: MixSpec) -> MixPlan:
     src = src.withColumn("passes", passes).withColumn("need", F.col("target") - F.col("passes") * F.col("source_size"))
     src = materialize(src, "mix-sources")
     few = broadcast_if_small(src, PLAN_ROWS)
-    at = sizes.join(few, sizes.source.eqNullSafe(src.source)).select(sizes.doc_id, "idx", "n_docs", "size", "n_blocks", "need").withColumn("h", permuted(spec)).withColumn("slot", slot_of(F.col("h"), F.col("n_blocks")))
+    at = sizes.join(few, sizes.source.eqNullSafe(src.source)).select(sizes.doc_id, "idx", "size", "n_blocks").withColumn("h", permuted(spec)).withColumn("slot", slot_of(F.col("h"), F.col("n_blocks"))).drop("n_blocks")
     parts = at.groupBy("idx", "slot").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     per = parts.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("slot", "words", "n"))).alias("parts"))
-    cut = src.join(per, "idx").withColumn("end", F.expr(boundary("parts", "need")))
-    cut = cut.withColumn("cut", F.col("end.cut")).withColumn("need", F.col("need") - F.col("end.used"))
-    cut = cut.withColumn("n_parts", F.expr(f"CASE WHEN n_docs <= {spec.fill_rows} THEN 1L ELSE greatest(1L, least({spec.blocks}L, coalesce(filter(parts, p -> p.slot = cut)[0].n, 0L) div {spec.block_rows})) END"))
-    cut = materialize(cut.select("idx", "n_docs", "parts", "passes", "cut", "need", "n_parts"), "mix-cut")
-    small = broadcast_if_small(cut.where("cut IS NOT NULL").select("idx", "cut", "need", "n_parts"), PLAN_ROWS)
-    inside = at.drop("need").join(small, "idx").where(f"slot = cut OR (slot > cut AND n_docs <= {spec.fill_rows})").withColumn("part", slot_of(F.col("h"), F.col("n_parts"), 2))
-    rows = inside.groupBy("idx", "need", "n_parts", "part", "doc_id", "h").agg(F.sum("size").alias("words"))
-    sums = rows.groupBy("idx", "need", F.col("part").alias("slot")).agg(F.sum("words").alias("words"))
-    ends = sums.groupBy("idx", "need").agg(F.array_sort(F.collect_list(F.struct("slot", "words"))).alias("parts")).withColumn("end", F.expr(boundary("parts", "need")))
-    ends = ends.select("idx", F.col("end.cut").alias("last"), (F.col("need") - F.col("end.used")).alias("left"))
-    rows = materialize(rows.join(ends, "idx").where("part <= last OR last IS NULL"), "mix-rows")
-    empty = "cast(array() AS array<struct<doc_id: bigint, words: bigint>>)"
-    fit = (
-        f"aggregate(docs, named_struct('left', left, 'ids', {empty}, 'rest', {empty}), (s, x) -> CASE WHEN x.words <= s.left "
-        "THEN named_struct('left', s.left - x.words, 'ids', concat(s.ids, array(named_struct('doc_id', x.doc_id, 'words', x.words))), 'rest', s.rest) "
-        "ELSE named_struct('left', s.left, 'ids', s.ids, 'rest', concat(s.rest, array(named_struct('doc_id', x.doc_id, 'words', x.words)))) END)"
-    )
-    # One more document where overshooting by it misses the target by less than leaving it out.
-    over = "slice(array_sort(transform(filter(fit.rest, x -> x.words < 2 * fit.left), x -> named_struct('miss', abs(x.words - fit.left), 'doc_id', x.doc_id, 'words', x.words))), 1, 1)"
-    chosen = f"concat(transform(fit.ids, x -> x.doc_id), transform({over}, x -> x.doc_id))"
-    last = rows.where("part = last").groupBy("idx", "left").agg(F.array_sort(F.collect_list(F.struct("h", "doc_id", "words"))).alias("docs"))
-    last = last.select("idx", F.expr(fit).alias("fit")).select("idx", F.explode(F.expr(chosen)).alias("doc_id"))
-    singles = materialize(rows.where("part < last OR last IS NULL").select("idx", "doc_id").union(last).withColumn("single", F.lit(True)), "mix-singles")
+    cut = src.select("idx", "passes", "need").join(per, "idx").withColumn("end", F.expr(boundary("parts", "need")))
+    cut = cut.withColumn("cut", F.when(F.col("need") > 0, F.col("end.cut"))).withColumn("need", F.col("need") - F.col("end.used"))
+    cut = cut.withColumn("n_parts", F.expr(f"greatest(1L, least({spec.blocks}L, coalesce(get(filter(parts, p -> p.slot = cut), 0).n, 0L) div {spec.block_rows}))"))
+    cut = materialize(cut.select("idx", "parts", "passes", "cut", "need", "n_parts"), "mix-cut")
+    ends = materialize(after_parts(at, broadcast_if_small(cut.where("cut IS NOT NULL").select("idx", "cut", "need", "n_parts"), PLAN_ROWS), spec), "mix-ends")
+    ended = cut.select("idx", "cut", "n_parts").join(ends, "idx")
+    singles = materialize(single_documents(at, broadcast_if_small(ended, PLAN_ROWS), spec), "mix-singles")
     draws = (
-        f"flatten(transform(parts, p -> transform(filter(sequence(0, passes), c -> c < passes OR cut IS NULL AND need > 0 OR p.slot <= cut OR (p.slot > cut AND n_docs <= {spec.fill_rows})), "
-        f"c -> named_struct('h', xxhash64({spec.seed}, idx, p.slot, c), 'slot', p.slot, 'copy', c, 'partial', coalesce(c = passes AND p.slot >= cut, false)))))"
+        f"flatten(transform(parts, p -> transform(filter(sequence(0, passes), c -> c < passes OR p.slot <= cut), "
+        f"c -> named_struct('h', xxhash64({spec.seed}, idx, p.slot, c), 'slot', p.slot, 'copy', c, 'rest', coalesce(c = passes AND p.slot = cut, false)))))"
     )
     deals = cut.withColumn("draws", F.array_sort(F.expr(draws)))
     quotas = split_tree(deals.select("idx", F.size("draws").cast("long").alias("q")), spec)
     dealt = quotas.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("shard", "q"))).alias("quota"))
     deals = deals.join(dealt, "idx").withColumn("shards", F.expr("flatten(transform(quota, x -> array_repeat(x.shard, cast(x.q AS int))))"))
-    deals = deals.select("idx", F.explode(F.arrays_zip("draws", "shards")).alias("x"))
-    blocks = deals.groupBy("idx", F.col("x.draws.slot").alias("slot")).agg(F.array_sort(F.collect_list(F.struct(F.col("x.draws.copy").alias("copy"), F.col("x.draws.partial").alias("partial"), F.col("x.shards").alias("shard")))).alias("draws"))
-    return MixPlan(src, materialize(blocks, "mix-blocks"), singles)
+    deals = materialize(deals.select("idx", F.explode(F.arrays_zip("draws", "shards")).alias("x")).select("idx", "x.draws.slot", "x.draws.copy", "x.draws.rest", F.col("x.shards").alias("shard")), "mix-deals")
+    blocks = deals.where("NOT rest").groupBy("idx", "slot").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("draws"))
+    rest = deals.where("rest").select("idx", F.col("shard").alias("rest_shard"))
+    sources = src.join(ended, "idx", "left").join(rest, "idx", "left").select("source", "idx", "n_blocks", "source_size", "target", "passes", "cut", "n_parts", "last", "rest_shard")
+    return MixPlan(materialize(sources, "mix-plan"), materialize(blocks, "mix-blocks"), singles)
 
 
 def with_draws(docs: DataFrame, spec: MixSpec, made: MixPlan) -> DataFrame:
     """docs plus source_size, target and mix_draws (array of copy and shard): no shuffle while the plan is small."""
-    src = broadcast_if_small(made.sources.select(F.col("source").alias("_source"), "idx", "n_blocks", "source_size", "target"), PLAN_ROWS)
+    src = broadcast_if_small(made.sources.withColumnRenamed("source", "_source"), PLAN_ROWS)
     out = docs.join(src, F.col("source").eqNullSafe(F.col("_source")))
-    out = out.withColumn("_slot", slot_of(permuted(spec), F.col("n_blocks")))
+    out = out.withColumn("_slot", slot_of(permuted(spec), F.col("n_blocks"))).withColumn("_part", slot_of(permuted(spec), F.col("n_parts"), 2))
     blocks = broadcast_if_small(made.blocks.select(F.col("idx").alias("_idx"), F.col("slot").alias("_at"), "draws"), PLAN_ROWS)
     out = out.join(blocks, (F.col("idx") == F.col("_idx")) & (F.col("_slot") == F.col("_at")), "left")
-    singles = broadcast_if_small(made.singles.select(F.col("idx").alias("_of"), F.col("doc_id").alias("_doc"), "single"), PLAN_ROWS)
+    singles = broadcast_if_small(made.singles.select(F.col("idx").alias("_of"), F.col("doc_id").alias("_doc"), F.lit(True).alias("single")), SINGLE_ROWS)
     out = out.join(singles, (F.col("idx") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    mine = F.expr("coalesce(transform(filter(draws, d -> NOT d.partial OR single), d -> named_struct('copy', d.copy, 'shard', d.shard)), cast(array() AS array<struct<copy: int, shard: int>>))")
-    return out.withColumn("mix_draws", mine).select(*[docs[c] for c in docs.columns], "source_size", "target", "mix_draws")
+    none = F.expr("cast(array() AS array<struct<copy: int, shard: int>>)")
+    rest = F.when(F.coalesce(F.col("single") | ((F.col("_slot") == F.col("cut")) & (F.col("_part") < F.col("last"))), F.lit(False)), F.array(F.struct(F.col("passes").alias("copy"), F.col("rest_shard").alias("shard")))).otherwise(none)
+    return out.withColumn("mix_draws", F.concat(F.coalesce("draws", none), rest)).select(*[docs[c] for c in docs.columns], "source_size", "target", "mix_draws")
 
 
 def mix_counts(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per document row, drawn or not.
+    """doc_id, size, source_size, target, taken, shard_draws: one row per document row, drawn or not.
+
+    shard_draws holds the output shard of each of the row's draws, as the splitting tree dealt them.
 
     Size is the number of words (null text: 0). A null source is a source of its own, ordered last. A
     null doc_id and repeated ids are drawn together. Rows of size 0 are dealt like any other and take
@@ -183,7 +211,7 @@ def mix_counts(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     """
     sizes = materialize(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     made = plan(sizes, spec)
-    return with_draws(sizes, spec, made).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("mix_draws")).alias("taken"))
+    return with_draws(sizes, spec, made).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("mix_draws")).alias("taken"), F.col("mix_draws.shard").alias("shard_draws"))
 
 
 def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:

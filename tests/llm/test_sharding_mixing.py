@@ -92,6 +92,91 @@ def test_split_tree_is_exact(spark):
     assert spread.max() < 20 and (out.q >= 0).all()
 
 
+def fold(parts, need):
+    """Whole parts, in order, while they fit: (words used, the first part that does not fit)."""
+    used = 0
+    for at, words in parts:
+        if used + words > need:
+            return used, at
+        used += words
+    return used, None
+
+
+def expected_draws(docs, plan, spec):
+    """(times drawn) of each document by the definition, one source at a time. docs: id -> (source index, size, hash)."""
+    slot = lambda h, n, shift: ((h >> shift) & (1 << 31) - 1) * n >> 31
+    want = {}
+    for idx, target, n_blocks in plan:
+        mine = {i: (n, h & (1 << 64) - 1) for i, (x, n, h) in docs.items() if x == idx}
+        size = sum(n for n, _ in mine.values())
+        passes = int(target // size) if size else 0
+        need = target - passes * size
+        want |= dict.fromkeys(mine, passes)
+        if need <= 0:
+            continue
+        blocks = Counter()
+        for n, h in mine.values():
+            blocks[slot(h, n_blocks, 33)] += n
+        used, cut = fold(sorted(blocks.items()), need)
+        in_cut = {i: h for i, (n, h) in mine.items() if slot(h, n_blocks, 33) == cut}
+        n_parts = max(1, min(spec.blocks, len(in_cut) // spec.block_rows))
+        parts = Counter()
+        for i, h in in_cut.items():
+            parts[slot(h, n_parts, 2)] += mine[i][0]
+        more, last = fold(sorted(parts.items()), need - used)
+        left = need - used - more
+        drawn = {i for i, (n, h) in mine.items() if slot(h, n_blocks, 33) < cut} | {i for i, h in in_cut.items() if slot(h, n_parts, 2) < last}
+        place = lambda i: (slot(mine[i][1], n_blocks, 33), slot(mine[i][1], n_parts, 2) if i in in_cut else 0, mine[i][1] - (mine[i][1] >> 63 << 64), i)
+        rest = sorted((i for i in mine if i not in drawn and 0 < mine[i][0] < 2 * left), key=place)[: spec.fill]
+        skipped = []
+        for i in rest:
+            if mine[i][0] <= left:
+                left -= mine[i][0]
+                drawn.add(i)
+            else:
+                skipped.append(i)
+        over = [(abs(mine[i][0] - left), i) for i in skipped if mine[i][0] < 2 * left]
+        drawn |= {min(over)[1]} if over else set()
+        for i in drawn:
+            want[i] += 1
+    return want
+
+
+@pytest.mark.parametrize("fill", [256, 3])
+def test_draws_and_quotas_against_brute_force(spark, fill):
+    """Sources of 1 to 1,500 documents by one rule: every document's draws, and every shard's block draws against the tree's quotas."""
+    import random
+
+    rng = random.Random(21)
+    rows = [(k * 10_000 + i, f"s{k}", " ".join(["w"] * min(400, int(rng.paretovariate(0.8))))) for k, n in enumerate((1, 2, 7, 60, 400, 1500)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    spec = mixing.MixSpec(shards=5, blocks=64, block_rows=4, fill=fill)
+    out = mixing.mix_counts(docs, spec).toPandas().set_index("doc_id")
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mixing.permuted(spec).alias("h"))
+    made = mixing.plan(sizes.drop("h"), spec)
+    sources = {r.source: r for r in made.sources.collect()}
+    table = {r.doc_id: (sources[r.source].idx, r.size, r.h) for r in sizes.collect()}
+    want = expected_draws(table, [(r.idx, r.target, r.n_blocks) for r in sources.values()], spec)
+    assert {i: len(x) for i, x in out.shard_draws.items()} == want
+    assert (out.taken == out["size"] * out.shard_draws.map(len)).all()
+    # A block goes whole to one shard a draw, the tree's quotas are met exactly, and a mixed row is where its draw is.
+    deals = Counter((r.idx, d.shard) for r in made.blocks.collect() for d in r.draws) + Counter((r.idx, r.rest_shard) for r in sources.values() if r.rest_shard is not None)
+    total = [(r.idx, sum(n for (i, _), n in deals.items() if i == r.idx)) for r in sources.values()]
+    quotas = {(r.idx, r.shard): r.q for r in mixing.split_tree(spark.createDataFrame(total, "idx int, q long"), spec).collect() if r.q}
+    assert dict(deals) == quotas
+    mixed = Counter((r.doc_id, r.mix_shard) for r in mixing.mix(docs, spec).select("doc_id", "mix_shard").collect())
+    assert mixed == Counter((i, s) for i, x in out.shard_draws.items() for s in x)
+
+
+def test_split_follows_the_hypergeometric_law(spark):
+    """Mean and variance of a source's items on the left half, over seeds."""
+    n, k, left = 60, 24, 30
+    got = [r.q for seed in range(30) for r in mixing.split_tree(spark.createDataFrame([(1, k), (2, n - k)], "idx int, q long").coalesce(1), mixing.MixSpec(shards=2, seed=seed)).where("idx = 1 AND shard = 0").collect()]
+    mean, var = left * k / n, left * k / n * (n - k) / n * (n - left) / (n - 1)
+    m = sum(got) / len(got)
+    assert abs(m - mean) < 4.5 * (var / len(got)) ** 0.5 and 0.3 * var < sum((x - m) ** 2 for x in got) / len(got) < 2.2 * var
+
+
 def test_wrong_spec_column_free(awkward):
     with pytest.raises(Exception):
         mixing.mix_counts(awkward.drop("source"))
