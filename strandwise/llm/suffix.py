@@ -422,7 +422,7 @@ def cover(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), keep_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with keep_bytes also the kept bytes.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, changed (whether a byte is removed) of every document; with keep_bytes also the kept bytes.
 
     Texts are UTF-8 bytes; null is empty. Every byte under a string of spec.length bytes that also starts
     anywhere else, in any row or the same one, is removed; matches never cross documents. Rows that repeat
@@ -437,7 +437,7 @@ def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), keep_bytes:
     else:
         rows = rows.withColumn("row_id", F.col("doc_id"))
     found = repeats(rows.select("row_id", "text"), spec)
-    names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * keep_bytes
+    names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("changed", pa.bool_())] + [("kept", pa.binary())] * keep_bytes
     schema = pa.schema(names)
 
     def run(batches):
@@ -451,10 +451,10 @@ def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), keep_bytes:
                     kept.append(data[at:x])
                     at = y
                 kept = b"".join([*kept, data[at:]])
-                row = (doc_id, len(data), len(data) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept)
+                row = (doc_id, len(data), len(data) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), bool(cut), kept)
                 for n, v in zip(schema.names, row):
                     out[n].append(v)
             yield batch(schema, **out)
 
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, changed boolean" + ", kept binary" * keep_bytes
     return rows.join(found, "row_id", "left").select("doc_id", "text", "spans").mapInArrow(run, ddl)
