@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, connected_components, materialize, pieces
+from .common import batch, broadcast_if_small, connected_components, materialize, pieces
 
 SEED = 42
 SEGMENTS = 16
@@ -134,13 +134,14 @@ def runs_to_pairs(batches, cap: int = CELL_CAP, radius: int = RADIUS):
         yield out
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect exactly the fingerprints within RADIUS differing bits of one another.
+def fingerprint_links(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, degrees): edges (a, b) that connect exactly the fingerprints within RADIUS differing bits of one another, and (fp, n_links), how many of those each has.
 
     distinct: a column fp of distinct fingerprints. Members of over-full cells are linked by stars:
     two fingerprints differ in at most 2 bits just if some 64-bit word is within one bit of both, so
     all that share such a word are linked to the smallest of them. That is exact and makes 65 rows
-    a member instead of all pairs.
+    a member instead of all pairs. Two such members share exactly two words, so a member's others,
+    summed over its words, count each twice.
     """
     steps = f"sequence(-{SEGMENTS}, {SEGMENTS})"
     count = "(cell >> (3 * (abs(step) - 1))) & 7"
@@ -152,11 +153,17 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
         .selectExpr("cast(key AS long) AS key", "fp", "step")
     )
     met = materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(runs_to_pairs, "a long, b long"), "met")
-    dense = met.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
+    dense = materialize(met.where("b IS NULL").select(F.col("a").alias("fp")).distinct(), "crowded")
     flips = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
     words = dense.select("fp", F.explode(flips).alias("word"))
-    stars = words.join(words.groupBy("word").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1"), "word").where("fp <> low")
-    return met.where("b IS NOT NULL").union(stars.select("fp", "low").distinct())
+    shared = words.join(words.groupBy("word").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1"), "word")
+    pairs = met.where("b IS NOT NULL").distinct()
+    edges = pairs.union(shared.where("fp <> low").select("fp", "low").distinct())
+    # Pairs of two crowded members are counted by their words.
+    crowded = broadcast_if_small(dense.withColumn("crowded", F.lit(True)), 500_000)
+    other = pairs.join(crowded.toDF("a", "crowded_a"), "a", "left").join(crowded.toDF("b", "crowded_b"), "b", "left").where("crowded_a IS NULL OR crowded_b IS NULL")
+    ones = other.select(F.col("a").alias("fp"), F.lit(2).cast("long").alias("n")).union(other.select("b", F.lit(2).cast("long"))).union(shared.select("fp", F.col("n") - 1))
+    return edges, ones.groupBy("fp").agg((F.sum("n") / 2).cast("long").alias("n_links"))
 
 
 def simhash_components(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,17 +171,16 @@ def simhash_components(docs: DataFrame, size: int = 3, id_col: str = "doc_id", t
 
     Documents are linked if their fingerprints differ in at most 2 bits. Equal fingerprints are one
     node, so a large group of copies costs one row; n_links counts the other distinct fingerprints
-    the node was compared with and linked to (a star's centre for over-full cells). Null and empty
+    that the document's is linked to. Null and empty
     texts have fingerprint zero and are linked like any other. Repeated rows each give a row; a null
     id is kept and never is a component's name unless its whole component is null. Extra columns are
     ignored. An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs, size, id_col, text_col), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    edges = materialize(fingerprint_links(nodes.select("fp")), "links")
+    edges, degrees = fingerprint_links(nodes.select("fp"))
     roots = connected_components(edges)
-    links = edges.union(edges.select("b", "a")).distinct().groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = joined.join(names, "root").join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = joined.join(names, "root").join(degrees, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")

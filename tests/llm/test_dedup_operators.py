@@ -53,10 +53,11 @@ def test_links_against_brute_force(spark, cap, monkeypatch):
     u = np.array(fps, np.int64).view(np.uint64)
     linked = [(a, b) for i, a in enumerate(fps) for j, b in enumerate(fps[:i]) if np.bitwise_count(u[i] ^ u[j]) <= 2]
     want = components(fps, linked)
-    got = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    got, degrees = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"))
     have = components(fps, [(r.a, r.b) for r in got.collect()])
     same = lambda c: {frozenset(k for k in c if c[k] == v) for v in set(c.values())}
     assert same(have) == same(want)
+    assert {r.fp: r.n_links for r in degrees.collect()} == dict(Counter(x for p in linked for x in p))
 
 
 def test_components(spark):
@@ -185,7 +186,7 @@ def test_repeats_against_brute_force(make, dense):
     spec = suffix.RepeatSpec(length=40, gram=8, most_windows=64, shard_bytes=2000, dense=dense)
     got = suffix.remove_repeats(make(texts), spec, keep_bytes=True).orderBy("doc_id").collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_repeats(texts, 40)
-    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and r.changed == (r.n_removed > 0) for r in got)
 
 
 def test_repeats_awkward(awkward, nothing):
