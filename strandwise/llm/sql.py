@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BOILERPLATE, QualityRules
+from .quality import BOILERPLATE, LINE_END, LINK, SENTENCE_END, SHOUT, QualityRules
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 ESCAPED = r"regexp_replace({x}, '<(\\*)\|', '<\1\\|', 'g')"
@@ -21,6 +21,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 """
 
 _R = QualityRules()
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
 _PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
 
 OP8 = rf"""
@@ -33,11 +34,15 @@ often AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n
 rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM often) GROUP BY r),
 ln AS (SELECT r, nr, line, regexp_extract_all(line, {WORDS}) AS lw FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM d)),
 lr AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY nr) > 1 AS again FROM ln WHERE len(lw) > 0),
-lf AS (SELECT r, again, list_sum(list_transform(lw, lambda x: length(x))) AS chars, again
-    OR len(list_filter(lw, lambda x: x IN ('|', '»', '>', '•', '·'))) >= greatest(2, {_R.separator_share} * len(lw))
+ls AS (SELECT *, len(lw) <= {_R.menu_words} AND NOT regexp_matches(lw[-1], {_quoted(LINE_END)}) AS short FROM lr),
+lm AS (SELECT *, short AND count(*) OVER (PARTITION BY r, stop, short) >= {_R.menu_lines} AS menu FROM (SELECT *, count(*) FILTER (NOT short) OVER (PARTITION BY r ORDER BY nr) AS stop FROM ls)),
+lf AS (SELECT r, again, list_sum(list_transform(lw, lambda x: length(x))) AS chars, again OR menu
+    OR len(list_filter(lw, lambda x: NOT regexp_matches(x, '[\pL\pN]'))) >= greatest(2, {_R.separator_share} * len(lw))
+    OR len(list_filter(lw, lambda x: regexp_matches(x, {_quoted(LINK)}))) > {_R.link_share} * len(lw)
     OR (len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > {_R.symbol_share} * len(lw) AND len(lw) >= 3)
-    OR len(list_filter(lw, lambda x: ends_with(x, '!!'))) > {_R.shout_share} * len(lw)
-    OR (length(line) <= 400 AND ({_PHRASES})) AS gone FROM lr),
+    OR len(list_filter(lw, lambda x: regexp_matches(x, {_quoted(SHOUT)}))) > {_R.shout_share} * len(lw)
+    OR (len(lw) >= {_R.list_words} AND len(list_filter(lw, lambda x: regexp_matches(x, {_quoted(SENTENCE_END)}))) = 0)
+    OR (length(line) <= 400 AND ({_PHRASES})) AS gone FROM lm),
 s AS (SELECT r, count(*) FILTER (again) AS n_dup_lines, count(*) FILTER (gone) AS n_lines_removed, CAST(coalesce(sum(chars) FILTER (gone), 0) AS BIGINT) AS lost_chars FROM lf GROUP BY r),
 f AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   n_words < {_R.min_words} OR 100 * coalesce(n_repeat_words, 0) > {_R.max_repeat_percent} * n_words AS base_failed, coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(lost_chars, 0) AS lost_chars

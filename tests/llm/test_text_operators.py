@@ -105,6 +105,34 @@ def test_lines_are_cleaned():
     assert out["cleaned_text"].split("\n") == ["Plain words make a fine line of text here and there."] and not out["kept"]
 
 
+def test_line_rules_one_by_one():
+    rules = quality.QualityRules()
+    fault = lambda line: quality.line_fault(line, line.split(), rules)
+    assert fault("Inicio » Noticias » Deportes") == fault("see https://a.example/x www.b.example") == "navigation"
+    assert fault("WOW!! So?! Cheap!!") == fault("$a #b c d") == fault(" ".join(["wort"] * 30)) == "punctuation"
+    assert fault("Tous droits réservés, Éditions X.") == fault("ALLE RECHTE VORBEHALTEN") == "boilerplate"
+    long_line = " ".join(["wort"] * 29)
+    assert [fault(x) for x in (long_line, long_line + " ende. wort", "Ein Satz, der endet.", "What is this?", "read more at https://a.example today or any other day")] == [None] * 5
+    menu = ["Home", "Über uns", "", "Kontakt", "Impressum", "Mehr lesen"]
+    split = lambda lines: [x.split() for x in lines]
+    assert quality.menus(split([*menu, "A sentence stands here."]), rules) == {0, 1, 3, 4, 5} == quality.menus(split(menu), rules)
+    assert quality.menus(split(menu[:5]), rules) == quality.menus(split(["Ja.", *menu[:3], "Nein!", *menu[3:]]), rules) == set()
+    wrapped = "a line of text that was wrapped at a width\nand therefore ends without a sentence end\nuntil here."
+    assert quality.assess(wrapped, rules)["n_lines_removed"] == 0
+
+
+def test_kept_documents_are_cleaned(make, awkward, nothing):
+    rng = random.Random(2)
+    good = "\n".join(" ".join("".join(rng.choice("abdeinorst") for _ in range(5)) for _ in range(9)) + "." for _ in range(12))
+    docs = make([f"Home | News | Shop | Help\n{good}\nAll rights reserved.", good, None, "", "short"])
+    got = {r.doc_id: r for r in quality.keep_good(docs).collect()}
+    assert set(got) == {0, 1} and got[0].text == got[1].text == good and got[0].n_chars == len(good)
+    kept = quality.keep_good(awkward)
+    want = [r.asDict() | {"text": a["cleaned_text"], "n_chars": len(a["cleaned_text"])} for r in awkward.collect() if (a := quality.assess(r.text, quality.QualityRules()))["kept"]]
+    assert kept.schema == awkward.schema and sorted(map(str, (r.asDict() for r in kept.collect()))) == sorted(map(str, want)) and len(want) > 10
+    assert quality.keep_good(nothing).count() == 0
+
+
 # --- secrets -----------------------------------------------------------------------------------
 
 
