@@ -1,10 +1,13 @@
 """Sharding by a k-d tree: split at byte-weighted medians along the widest metadata dimension.
 
-Each node holds a number of leaves. Its rows are split along the dimension that is widest there, at
-the weighted quantile that gives both sides their leaves' share of the bytes. Quantiles are found by
-digit refinement: one pre-aggregated histogram of at most 65,536 bins per node and pass, so that only
-one row per node and pass reaches the driver. The finished tree is a small rule set and is applied to
-rows as one expression, without a join.
+A node that holds more than the target bytes is split along the dimension that is widest there, at the
+weighted quantile that gives both sides their leaves' share of the bytes. Quantiles are found by digit
+refinement: one pre-aggregated histogram a pass (the first one over all dimensions, which also tells their
+widths), so that only one row per node and dimension reaches the driver. The finished tree is a small rule
+set and is applied to rows as one expression.
+
+Equal texts are to share a shard, whatever their labels: a group of copies takes the smallest language and
+source of its members. Only groups whose members differ need that, and those are joined by text hash.
 """
 
 from __future__ import annotations
@@ -16,12 +19,14 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize
 
-#: Bits of a sort key: the dimension, the text's hash (equal texts stay side by side), the document's hash.
-DIGITS = (15, 16, 16, 16)
-#: Dimensions that equal texts share, so that a group of copies has one place in the tree; and the row's own labels.
-TEXT_DIMENSIONS = ("log_size", "log_lines", "non_ascii", "text_hash")
-ALL_DIMENSIONS = ("lang", "source", *TEXT_DIMENSIONS)
+#: Digits of a sort key: 15 bits of the dimension, 32 of the text's hash (equal texts stay side by side), 16 of the document's hash.
+DIGITS = (8, 16, 16, 7, 16)
+VALUES = 1 << 15
+DIMENSIONS = ("lang", "source", "log_size", "non_ascii")
+LABELS = ("lang", "source")
 OVERHEAD = 16
+#: Rows (16 bytes each) up to which the table of shared labels is broadcast; beyond, it is joined by shuffle.
+LABEL_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -38,23 +43,31 @@ def row_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
 
 
-def keyed(docs: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
-    """docs plus _size and one 63-bit sort key per dimension; null lang, source and text have values of their own."""
+def metadata(docs: DataFrame) -> DataFrame:
+    """docs plus _size, _text (the text's hash), _doc (the id's hash) and a value below VALUES per dimension (_lang and so on); null labels are 0."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    limit = F.lit(1 << DIGITS[0])
-    log = lambda x: F.least(F.floor(F.log2(x) * 768), limit - 1)
-    label = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c), limit))
+    label = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c), F.lit(VALUES - 1)) + 1)
     values = {
-        "lang": lambda: label("lang"),
-        "source": lambda: label("source"),
-        "log_size": lambda: log(row_size(F.col("text"))),
-        "log_lines": lambda: log(1 + F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))),
-        "non_ascii": lambda: F.floor((F.octet_length(text) - F.length(text)) / row_size(F.col("text")) * (limit - 1)),
-        "text_hash": lambda: F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 49),
+        "lang": label("lang"),
+        "source": label("source"),
+        "log_size": F.least(F.floor(F.log2(row_size(F.col("text"))) * 768), F.lit(VALUES - 1)),
+        "non_ascii": F.floor((F.octet_length(text) - F.length(text)) / row_size(F.col("text")) * (VALUES - 1)),
     }
-    low = F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 32), 16).bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id"), 48))
-    keys = [F.shiftleft(values[d]().cast("long"), 48).bitwiseOR(low).alias(f"_k{i}") for i, d in enumerate(dimensions)]
-    return docs.select("*", row_size(F.col("text")).alias("_size"), *keys)
+    return docs.select("*", row_size(F.col("text")).alias("_size"), F.xxhash64(text).alias("_text"), F.shiftrightunsigned(F.xxhash64("doc_id"), 48).alias("_doc"), *[values[d].cast("int").alias(f"_{d}") for d in DIMENSIONS])
+
+
+def shared_labels(rows: DataFrame) -> DataFrame:
+    """(_text, _lang1, _source1) of the groups of equal texts whose members' labels differ: their smallest ones. Counts are merged before the shuffle, so a hot group is one row a partition."""
+    per = rows.groupBy("_text").agg(*[f(f"_{x}").alias(f"_{x}{i}") for x in LABELS for i, f in ((1, F.min), (2, F.max))])
+    return per.where(" OR ".join(f"_{x}1 <> _{x}2" for x in LABELS)).select("_text", *[f"_{x}1" for x in LABELS])
+
+
+def keyed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """metadata's rows plus one 63-bit sort key per dimension; labels: a written table of shared_labels, broadcast up to LABEL_ROWS rows."""
+    low = F.shiftleft(F.shiftrightunsigned("_text", 32), 16).bitwiseOR(F.col("_doc"))
+    joined = rows.join(broadcast_if_small(labels, LABEL_ROWS), "_text", "left")
+    value = lambda d: F.coalesce(f"_{d}1", f"_{d}") if d in LABELS else F.col(f"_{d}")
+    return joined.select(*rows.columns, *[F.shiftleft(value(d).cast("long"), 48).bitwiseOR(low).alias(f"_k{i}") for i, d in enumerate(DIMENSIONS)])
 
 
 def literal(values: list) -> str:
@@ -83,56 +96,69 @@ def route(tree: Split | int, n_keys: int) -> Column:
     return F.expr(f"cast({cut}[{walk}] AS int)")
 
 
-def grow(rows: DataFrame, n: int, shards: int, slack: float) -> Split | int:
-    """The tree over rows (_size and n keys _k0, _k1 and so on). slack: part of a leaf's bytes by which a cut may miss to keep a group of equal keys whole."""
-    total = rows.agg(F.sum("_size")).first()[0] or 0
-    allowed = slack * total / shards
+FOLD = (
+    "aggregate(parts, named_struct('used', 0L, 'cut', cast(null AS bigint), 'words', 0L), (s, x) -> CASE WHEN s.cut IS NOT NULL THEN s "
+    "WHEN s.used + x.words <= need THEN named_struct('used', s.used + x.words, 'cut', cast(null AS bigint), 'words', 0L) "
+    "ELSE named_struct('used', s.used, 'cut', x.slot, 'words', x.words) END)"
+)
+
+
+def leaves(rows: DataFrame, target_bytes: int) -> int:
+    """How many leaves the tree needs so that none aims at more than target_bytes. rows: _size."""
+    return max(1, -(-(rows.agg(F.sum("_size")).first()[0] or 0) // target_bytes))
+
+
+def grow(rows: DataFrame, n: int, shards: int, slack: float = 0.05, close: float = 0.01) -> Split | int:
+    """The tree over rows (_size and n keys _k0, _k1 and so on). A cut may miss by close of a leaf's bytes, and by half of slack where only a finer one would part equal texts."""
+    leaf = (rows.agg(F.sum("_size")).first()[0] or 0) / shards
+    keys = [f"_k{i}" for i in range(n)]
     done: dict[tuple[int, int], tuple[int, int]] = {}
     level, world = [(0, shards)], None
     while level := [x for x in level if x[1] - x[0] > 1]:
         here = rows.withColumn("node", route(partial(done, 0, shards), n)).where(F.col("node").isin([lo for lo, _ in level]))
-        spans = [f(F.shiftright(f"_k{i}", 48)).alias(f"{f.__name__}{i}") for i in range(n) for f in (F.min, F.max)]
-        found = {r.node: r for r in here.groupBy("node").agg(F.sum("_size").alias("w"), *spans).collect()}
+        share = {lo: ((lo + hi) // 2 - lo) / (hi - lo) for lo, hi in level}
+        shift = sum(DIGITS) - DIGITS[0]
+        # The first digit, for every dimension: widths, bytes, and where the quantile lies.
+        bins = here.select("node", "_size", F.posexplode(F.array(*keys)).alias("dim", "_key")).groupBy("node", "dim", F.shiftrightunsigned("_key", shift).alias("slot")).agg(F.sum("_size").alias("words"))
+        per = bins.groupBy("node", "dim").agg(F.array_sort(F.collect_list(F.struct("slot", "words"))).alias("parts"), F.sum("words").alias("w"), (F.max("slot") - F.min("slot")).alias("width"))
+        per = per.withColumn("need", F.col("w") * F.expr(f"array({', '.join(f'{share.get(k, 0.0)!r}D' for k in range(shards))})[node]"))
+        found = {(r.node, r.dim): r for r in per.select("node", "dim", "w", "width", "need", F.expr(FOLD).alias("end")).collect()}
         if world is None and found:
-            world = [max(1, found[0][f"max{i}"] - found[0][f"min{i}"]) for i in range(n)]
+            world = [max(1, found[0, i].width) for i in range(n)]
         dims, want, prefix, before, cut = {}, {}, {}, {}, {}
+
+        def narrow(k, end, shift, bits):
+            """Follow node k's quantile into the digit where it lies; the cut is set where that is close enough."""
+            if end.cut is None:
+                cut[k] = (prefix[k] + 1) << (shift + bits)
+                return
+            prefix[k] = (prefix[k] << bits) | end.cut
+            before[k] += end.used
+            if end.words <= close * leaf or (shift <= DIGITS[-1] and end.words <= slack * leaf) or shift == 0:
+                cut[k] = (prefix[k] + ((want[k] - before[k]) * 2 > end.words)) << shift
+
         for lo, hi in level:
-            r = found.get(lo)
-            if r is None:
+            if (lo, 0) not in found:
                 done[lo, hi] = (0, 0)
                 continue
-            dims[lo] = max(range(n), key=lambda i: ((r[f"max{i}"] - r[f"min{i}"]) / world[i], -i))
-            want[lo] = r.w * ((lo + hi) // 2 - lo) / (hi - lo)
-            prefix[lo], before[lo] = 0, 0
-        shift = sum(DIGITS)
-        for bits in DIGITS:
+            dims[lo] = max(range(n), key=lambda i: (found[lo, i].width / world[i], -i))
+            r = found[lo, dims[lo]]
+            want[lo], prefix[lo], before[lo] = r.need, 0, 0
+            narrow(lo, r.end, shift, DIGITS[0])
+        for bits in DIGITS[1:]:
             shift -= bits
             open_ = [k for k in dims if k not in cut]
             if not open_:
                 break
-            chosen = literal([dims.get(k, 0) for k in range(shards)])
             at = literal([prefix[k] if k in open_ else -1 for k in range(shards)])
             need = ", ".join(f"{float(want[k] - before[k]) if k in open_ else 0.0!r}D" for k in range(shards))
-            key = F.expr(f"array({', '.join(f'_k{i}' for i in range(n))})[{chosen}[node]]")
+            key = F.expr(f"array({', '.join(keys)})[{literal([dims.get(k, 0) for k in range(shards)])}[node]]")
             digit = F.shiftrightunsigned("_key", shift).bitwiseAND(F.lit((1 << bits) - 1))
-            open_rows = here.withColumn("_key", key).where(F.shiftrightunsigned("_key", shift + bits) == F.expr(f"{at}[node]"))
+            open_rows = here.where(F.col("node").isin(open_)).withColumn("_key", key).where(F.shiftrightunsigned("_key", shift + bits) == F.expr(f"{at}[node]"))
             bins = open_rows.groupBy("node", digit.alias("slot")).agg(F.sum("_size").alias("words"))
             per = bins.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("slot", "words"))).alias("parts")).withColumn("need", F.expr(f"array({need})[node]"))
-            fold = (
-                "aggregate(parts, named_struct('used', 0L, 'cut', cast(null AS bigint), 'words', 0L), (s, x) -> CASE WHEN s.cut IS NOT NULL THEN s "
-                "WHEN s.used + x.words <= need THEN named_struct('used', s.used + x.words, 'cut', cast(null AS bigint), 'words', 0L) "
-                "ELSE named_struct('used', s.used, 'cut', x.slot, 'words', x.words) END)"
-            )
-            for r in per.select("node", F.expr(fold).alias("end")).collect():
-                k, end = r.node, r.end
-                if end.cut is None:
-                    cut[k] = (prefix[k] + 1) << (shift + bits)
-                    continue
-                prefix[k] = (prefix[k] << bits) | end.cut
-                before[k] += end.used
-                lacks = want[k] - before[k]
-                if end.words <= allowed or shift == 0:
-                    cut[k] = (prefix[k] + (lacks * 2 > end.words)) << shift
+            for r in per.select("node", F.expr(FOLD).alias("end")).collect():
+                narrow(r.node, r.end, shift, bits)
         for lo, hi in level:
             if lo in dims:
                 done[lo, hi] = (dims[lo], cut[lo])
@@ -148,25 +174,40 @@ def partial(done: dict, lo: int, hi: int) -> Split | int:
     return Split(*done[lo, hi], partial(done, lo, mid), partial(done, mid, hi))
 
 
-def kd_shards(docs: DataFrame, shards: int = 40, slack: float = 0.05, dimensions: tuple[str, ...] = TEXT_DIMENSIONS) -> DataFrame:
-    """docs plus shard (int): a pass for the metadata, small passes for the tree, and one expression for the rows.
+@dataclass
+class ShardPlan:
+    """A finished tree, and the shared labels of the copies that differ in theirs (a written table)."""
+
+    tree: Split | int
+    labels: DataFrame
+
+
+def plan_shards(docs: DataFrame, shards: int | None = 40, target_bytes: int | None = None, slack: float = 0.05) -> ShardPlan:
+    """The tree for docs: a pass for the metadata and small passes for the cuts. shards None: as many leaves as target_bytes asks for."""
+    names = ["_size", "_text", "_doc", *[f"_{d}" for d in DIMENSIONS]]
+    rows = materialize(metadata(docs.select("doc_id", "text", "lang", "source")).select(*names), "shard-metadata")
+    labels = materialize(shared_labels(rows), "shard-labels")
+    keys = materialize(keyed(rows, labels).select("_size", *[f"_k{i}" for i in range(len(DIMENSIONS))]), "shard-keys")
+    return ShardPlan(grow(keys, len(DIMENSIONS), shards or leaves(keys, target_bytes), slack), labels)
+
+
+def kd_shards(docs: DataFrame, shards: int | None = 40, slack: float = 0.05, target_bytes: int | None = None) -> DataFrame:
+    """docs plus shard (int).
 
     Needs doc_id, text, lang and source. A leaf aims at an equal part of all bytes (UTF-8 bytes of the
-    text plus 16 a row; null text: 16). With the default dimensions equal texts go to one shard, unless a
-    cut falls inside a group of them that outweighs slack of a leaf; then that group is split by document.
-    ALL_DIMENSIONS also splits by language and source, which parts copies with different labels. Rows
-    alike in all of these stay together. Nulls have places of their own. Fewer rows than shards leave
-    shards empty; an empty table gives no rows. Extra columns are kept.
+    text plus 16 a row; null text: 16), given as a number of shards or, with shards None, as target_bytes.
+    Equal texts go to one shard whatever their labels, unless a cut falls inside a group of them that
+    outweighs slack of a leaf; then that group is split by document. Rows alike in text and id stay
+    together. Null labels have a place of their own. Fewer rows than shards leave shards empty; an empty
+    table gives no rows. Extra columns are kept; one called shard gives way.
     """
-    keys = [f"_k{i}" for i in range(len(dimensions))]
-    rows = materialize(keyed(docs.select("doc_id", "text", "lang", "source"), dimensions).select("_size", *keys), "shard-keys")
-    return apply_tree(docs, grow(rows, len(dimensions), shards, slack), dimensions)
+    return apply_tree(docs, plan_shards(docs, shards, target_bytes, slack))
 
 
-def apply_tree(docs: DataFrame, tree: Split | int, dimensions: tuple[str, ...] = TEXT_DIMENSIONS) -> DataFrame:
-    """docs plus shard by a finished tree, without a join; a column of docs that is called shard gives way."""
-    rows = keyed(docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang", "source"), dimensions)
-    return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "shard"], route(tree, len(dimensions)).cast("int").alias("shard"))
+def apply_tree(docs: DataFrame, made: ShardPlan) -> DataFrame:
+    """docs plus shard by a finished tree: one expression, behind a broadcast join while few groups of copies differ in their labels."""
+    rows = keyed(metadata(docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang", "source")), made.labels)
+    return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "shard"], route(made.tree, len(DIMENSIONS)).cast("int").alias("shard"))
 
 
 def with_slots(sharded: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:

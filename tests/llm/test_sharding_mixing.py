@@ -31,11 +31,59 @@ def test_digest_and_balance(spark):
 
 
 def test_copies_share_a_shard(spark):
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', 30 + cast(id % 500 AS int))").alias("text"), F.concat(F.lit("l"), (F.col("id") % 3).cast("string")).alias("lang"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"))
+    """Copies with different labels, and a group that outweighs a shard."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat(chr(97 + cast(id % 26 AS int)), 30 + cast(id % 500 AS int))").alias("text"), F.concat(F.lit("l"), (F.col("id") % 3).cast("string")).alias("lang"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"))
     out = sharding.kd_shards(docs, 8).toPandas()
-    assert (out.groupby("text").shard.nunique() > 1).sum() <= 7 and out.groupby("text").shard.nunique().max() <= 2
-    apart = sharding.kd_shards(docs, 8, dimensions=sharding.ALL_DIMENSIONS).toPandas()
-    assert apart.shard.nunique() == 8
+    assert (out.groupby("text").shard.nunique() > 1).sum() == 0 and out.shard.nunique() == 8
+    hot = docs.union(spark.range(3000).select(F.col("id") + 5000, F.expr("repeat('hot', 90)"), F.lit("l1"), F.lit(None).cast("string")))
+    out = sharding.kd_shards(hot, 8).toPandas()
+    sizes = out.text.str.len().add(16).groupby(out.shard).sum()
+    split = out.groupby("text").shard.nunique()
+    assert split.drop("hot" * 90).max() == 1 < split["hot" * 90] and sizes.max() / sizes.mean() < 1.06 and sizes.min() / sizes.mean() > 0.94
+
+
+def test_tree_against_its_definition(spark, small):
+    """Every split of the tree: the widest dimension, the weighted quantile; every row: the leaf that a walk down the tree gives."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    made = sharding.plan_shards(docs, 7)
+    n = len(sharding.DIMENSIONS)
+    rows = [r.asDict() for r in sharding.keyed(sharding.metadata(docs), made.labels).collect()]
+    group = {}
+    for r in rows:
+        group.setdefault(r["text"] or "", []).append(r)
+    for same in group.values():
+        assert all(r["_k0"] >> 16 == min(x["_lang"] for x in same) << 32 | r["_k0"] >> 16 & (1 << 32) - 1 and r["_k1"] >> 48 == min(x["_source"] for x in same) for r in same)
+    leaf, shift = sum(r["_size"] for r in rows) / 7, sum(sharding.DIGITS) - sharding.DIGITS[0]
+    width = lambda x, i: max(r[f"_k{i}"] >> shift for r in x) - min(r[f"_k{i}"] >> shift for r in x)
+    world, place = [max(1, width(rows, i)) for i in range(n)], {}
+
+    def walk(node, mine, lo, hi):
+        if hi - lo == 1:
+            place.update((id(r), node) for r in mine)
+            return
+        spread = [width(mine, i) / world[i] for i in range(n)]
+        assert node.dimension == spread.index(max(spread))
+        left = [r for r in mine if r[f"_k{node.dimension}"] < node.cut]
+        right = [r for r in mine if r[f"_k{node.dimension}"] >= node.cut]
+        mid = (lo + hi) // 2
+        aim = sum(r["_size"] for r in mine) * (mid - lo) / (hi - lo)
+        # Nearer the aim than half of what lies at the cut; a document or group of copies cannot be cut finer.
+        lump = max(sum(r["_size"] for r in x) for x in group.values())
+        assert abs(sum(r["_size"] for r in left) - aim) <= max(0.01 * leaf, lump)
+        walk(node.left, left, lo, mid)
+        walk(node.right, right, mid, hi)
+
+    walk(made.tree, rows, 0, 7)
+    assert {(r.doc_id, r.text): r.shard for r in sharding.apply_tree(docs, made).collect()} == {(r["doc_id"], r["text"]): place[id(r)] for r in rows}
+
+
+def test_target_bytes_decide_the_number_of_leaves(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    total = docs.agg(F.sum(sharding.row_size(F.col("text")))).first()[0]
+    out = sharding.kd_shards(docs, None, target_bytes=total // 5 + 1)
+    sizes = {r.shard: r.b for r in out.groupBy("shard").agg(F.sum(sharding.row_size(F.col("text"))).alias("b")).collect()}
+    biggest = docs.agg(F.max(sharding.row_size(F.col("text")))).first()[0]
+    assert set(sizes) == set(range(5)) and max(sizes.values()) <= total / 5 + biggest
 
 
 def test_one_row_many_shards_and_none(awkward, nothing):
