@@ -126,17 +126,42 @@ def test_near_duplicates_behind_nearer_templates(make):
 
 @pytest.mark.parametrize("block", [4096, 50, 7])
 def test_every_pair_of_a_cell_meets(spark, block):
+    """Members with a partner, in whole cells and in cells dealt by pairs of blocks: every near pair of different roots stands in one group."""
     rng = np.random.default_rng(8)
     rows = []
     for key, n in ((1, 1), (2, 40), (3, 300), (4, 7), (5, 8), (6, 101)):
         for lane in rng.integers(-(2**63), 2**63, n):
             rows.append((key, len(rows), int(lane), int(rng.integers(0, 20))))
     spec = neardup.NearDupSpec(most_far=28, cap=16, block=block)
-    cells = spark.createDataFrame(rows, "key long, id long, lane long, root long").repartition(3, "key").sortWithinPartitions("key")
     far = lambda x, y: (x ^ y).bit_count() if x ^ y >= 0 else 64 - (~(x ^ y)).bit_count()
     want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[3] != y[3] and far(x[2], y[2]) <= 28}
-    got = [tuple(r) for r in neardup.every_candidate(cells, spec).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+    for size in ("10000", "9"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        cells = spark.createDataFrame(rows, "key long, id long, lane long, root long").repartition(3, "key").sortWithinPartitions("key")
+        groups = {}
+        for r in neardup.members(cells, spec).collect():
+            groups.setdefault((r.key, r.i, r.j), []).append((r.id, r.block))
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        met = Counter((min(a, b), max(a, b)) for (_, i, j), g in groups.items() for n, (a, x) in enumerate(g) for b, y in g[:n] if i == j or x != y)
+        assert set(met) >= want and max(met.values()) == 1 and len(want) > 1000 and all(len(g) <= 2 * max(block, 7) for g in groups.values())
+
+
+def test_links_of_a_cell_join_what_is_alike():
+    """cell_links against all pairs, in one block and across two; never more links than members less one."""
+    rng = np.random.default_rng(3)
+    base = [rng.choice(2000, 60, replace=False) for _ in range(6)]
+    for across in (False, True):
+        sets = [np.unique(np.concatenate([rng.permutation(base[rng.integers(6)])[: rng.integers(48, 61)], rng.integers(0, 2000, rng.integers(0, 6))])).astype(np.uint32) for _ in range(80)]
+        ids, root, lane = np.arange(80) * 3, rng.integers(0, 60, 80), np.zeros(80, np.int64)
+        low = np.arange(80) < 40 if across else np.ones(80, bool)
+        alike = lambda x, y: len(np.intersect1d(sets[x], sets[y])) >= 0.8 * len(np.union1d(sets[x], sets[y]))
+        pairs = [(x, y) for x in range(80) for y in range(x) if alike(x, y) and (not across or low[x] != low[y])]
+        got = neardup.cell_links(lane, root, ids, low, sets, neardup.NearDupSpec())
+        roots = [(3000 + int(r), int(i)) for r, i in zip(root, ids)]
+        nodes = [n for e in roots for n in e]
+        same = lambda c: {frozenset(k for k in c if c[k] == v) for v in set(c.values())}
+        assert same(components(nodes, roots + [(int(a), int(b)) for a, b in got])) == same(components(nodes, roots + [(3 * x, 3 * y) for x, y in pairs]))
+        assert 5 < len(got) < 80 and all(alike(a // 3, b // 3) for a, b in got)
 
 
 # --- repeated strings --------------------------------------------------------------------------
