@@ -27,13 +27,27 @@ def pair_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy("population", "v1", "v2").agg(F.count("*").alias("n"), F.sum("_x").alias("x"), F.sum("_y").alias("y"), F.sum(F.col("_x") * F.col("_y")).alias("xy"))
 
 
+def listwise_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(population, v1, v2, n, x, y, xy) over haplotypes that are complete in v1 and in every variant of right; n may be 0.
+
+    Completeness is a count a haplotype, so no haplotype matrix is built. The number of partners is one broadcast row.
+    """
+    partners = right.agg(F.countDistinct("variant").alias("_all"))
+    whole = right.groupBy("population", "hap").agg(F.count("allele").alias("_k")).join(F.broadcast(partners)).select("population", "hap", (F.col("_k") == F.col("_all")).alias("_whole"))
+    a = left.select("population", "hap", F.col("variant").alias("v1"), F.col("allele").alias("_x")).join(whole, ["population", "hap"])
+    b = right.select("population", "hap", F.col("variant").alias("v2"), F.col("allele").alias("_y"))
+    both = a.join(b, ["population", "hap"]).where("v1 <> v2").withColumn("_ok", F.col("_whole") & F.col("_x").isNotNull())
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("_ok"), c)), F.lit(0))
+    return both.groupBy("population", "v1", "v2").agg(F.count_if("_ok").alias("n"), total(F.col("_x")).alias("x"), total(F.col("_y")).alias("y"), total(F.col("_x") * F.col("_y")).alias("xy"))
+
+
 def linkage(counts: DataFrame, least: int = LEAST, small_n: str = "null") -> DataFrame:
     """counts plus p, q, r2 (capped at 1), d_prime, r2_max (most that the frequencies allow) and r2_fraction.
 
     Monomorphic pairs have r2 = d_prime = 0. Pairs with fewer than least haplotypes are null, zero or
     dropped, as small_n says.
     """
-    p, q, pq = F.col("x") / F.col("n"), F.col("y") / F.col("n"), F.col("xy") / F.col("n")
+    p, q, pq = (F.try_divide(F.col(c), F.col("n")) for c in ("x", "y", "xy"))
     rows = counts.withColumn("p", p).withColumn("q", q).withColumn("_d", pq - p * q)
     var = F.col("p") * (1 - F.col("p")) * F.col("q") * (1 - F.col("q"))
     top = F.when(F.col("_d") >= 0, F.least(F.col("p") * (1 - F.col("q")), (1 - F.col("p")) * F.col("q"))).otherwise(F.least(F.col("p") * F.col("q"), (1 - F.col("p")) * (1 - F.col("q"))))

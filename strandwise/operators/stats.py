@@ -118,20 +118,45 @@ def t_tail(t: Column, df: Column) -> Column:
     return tail(t, df)
 
 
+#: r from which a correlation counts as perfect: beyond, sums of doubles do not tell it from 1.
+PERFECT = 1 - 1e-12
+
+
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r as an aggregate; null where a column is constant or there is no pair, never a division error."""
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+
+
+def correlation_p(r: Column, n: Column) -> tuple[Column, Column]:
+    """(t, two-sided p) of a correlation of n pairs. r of 1 or -1: p 0. Null r, or fewer than three pairs: both null."""
+    t = F.when(n > 2, F.try_divide(r * F.sqrt(n - 2), F.sqrt(1 - r * r)))
+    p = F.when((n > 2) & (F.abs(r) < PERFECT), t_tail(F.coalesce(t, F.lit(0.0)), F.greatest(n - 2, F.lit(1)))).when((n > 2) & (F.abs(r) >= PERFECT), 0.0)
+    return t, p
+
+
 def regression(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Least squares of y on x over pairs that are both finite: n, slope, intercept, r, se of the slope, two-sided p."""
+    """Least squares of y on x over pairs that are both finite: n, slope, intercept, r, se of the slope, two-sided p.
+
+    A perfect line has se and p 0. With a constant x all but n are null; with a constant y the slope is 0 and
+    r, se and p are null. Fewer than three pairs have no se and p.
+    """
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    out = ok.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"))
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
-    return out.withColumn("se", F.abs(F.col("slope") / t)).withColumn("p", t_tail(t, F.col("n") - 2))
+    fit = F.try_divide(F.covar_pop(x, y), F.var_pop(x))
+    out = ok.groupBy(*by).agg(F.count("*").alias("n"), fit.alias("slope"), (F.avg(y) - fit * F.avg(x)).alias("intercept"), correlation(x, y).alias("r"))
+    t, p = correlation_p(F.col("r"), F.col("n"))
+    se = F.when((F.col("n") > 2) & (F.abs("r") >= PERFECT), 0.0).otherwise(F.abs(F.try_divide(F.col("slope"), t)))
+    return out.withColumn("se", se).withColumn("p", p)
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str, more_than: int = 10) -> DataFrame:
-    """Spearman's rho (Pearson's r of average ranks) and its two-sided p, for groups of more than more_than pairs."""
+    """Spearman's rho (Pearson's r of average ranks) and its two-sided p, for groups of more than more_than pairs.
+
+    Perfect agreement has p 0; a constant column has null rho and p.
+    """
     from .ranking import average_rank
 
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     rows = ok.withColumn("_rx", average_rank(by, x)).withColumn("_ry", average_rank(by, y))
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho")).where(F.col("n") > more_than)
-    t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
-    return out.withColumn("p", t_tail(t, F.col("n") - 2))
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("rho")).where(F.col("n") > more_than)
+    return out.withColumn("p", correlation_p(F.col("rho"), F.col("n"))[1])

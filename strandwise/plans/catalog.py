@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import interval_queries, relational_queries, statistics_queries
+from . import interval_queries, relational_queries, source_queries, statistics_queries
 
-QUERIES = interval_queries.QUERIES | relational_queries.QUERIES | statistics_queries.QUERIES
-ORACLE = interval_queries.ORACLE | relational_queries.ORACLE | statistics_queries.ORACLE
+QUERIES = interval_queries.QUERIES | relational_queries.QUERIES | statistics_queries.QUERIES | source_queries.QUERIES
+ORACLE = interval_queries.ORACLE | relational_queries.ORACLE | statistics_queries.ORACLE | source_queries.ORACLE

@@ -69,3 +69,11 @@ MG = REC + ", " + PK + ", " + merged_sql("mg", "(SELECT * FROM pk WHERE set_id =
 EL = MG + """, el AS (SELECT *, row_number() OVER (ORDER BY start, "end") - 1 AS elem_id FROM mg)"""
 HIT = """(SELECT event_id, EXISTS (SELECT 1 FROM mg WHERE rec.pos >= mg.start AND rec.pos < mg."end") AS in_peak FROM rec)"""
 HAP = "hap AS (SELECT CAST(label AS INTEGER) AS population, vec_id AS hap, CAST(i AS INTEGER) AS variant, CAST(embedding[i + 1] < 0 AS INTEGER) AS allele FROM embeddings, range(0, 64) t(i))"
+MISSING = "(vec_id * 31 + {i} * 17) % 211 = 0"
+HAPM = f"hap AS (SELECT CAST(label AS INTEGER) AS population, vec_id AS hap, CAST(i AS INTEGER) AS variant, CASE WHEN {MISSING.format(i='i')} THEN NULL ELSE CAST(embedding[i + 1] < 0 AS INTEGER) END AS allele FROM embeddings, range(0, 64) t(i))"
+
+
+def haplotypes_with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """haplotypes with about one allele of 211 missing."""
+    gap = F.expr(MISSING.format(i="variant").replace("vec_id", "hap"))
+    return haplotypes(spark, d).withColumn("allele", F.when(~gap, F.col("allele")))

@@ -9,7 +9,7 @@ from ..operators import linkage as L
 from ..operators import ranking as R
 from ..operators import resample as B
 from ..operators import stats as S
-from .roles import BIN, HAP, MG, REC, SC, elements, haplotypes, merged, merged_sql, records, scores, scores_wide, table
+from .roles import BIN, HAP, HAPM, MG, REC, SC, elements, haplotypes, haplotypes_with_gaps, merged, merged_sql, records, scores, scores_wide, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -213,9 +213,31 @@ def r2_dprime(spark, d):
     return pairs(spark, d).select("population", "v1", "v2", "n", F.round("r2", 9).alias("r2"), F.round("d_prime", 9).alias("d_prime"))
 
 
-@query("G4_r2_vector", f"WITH {LD} SELECT v1, v2, round(max(r2), 9) AS r2 FROM ld GROUP BY ALL")
+# One against many: only haplotypes complete in the variant and all its partners count; fewer than 20 give zeros.
+LISTWISE = HAPM + """, pr AS (SELECT count(DISTINCT variant) AS k FROM hap WHERE variant >= 8), wh AS (SELECT population, hap, count(allele) = any_value(k) AS whole FROM hap, pr WHERE variant >= 8 GROUP BY ALL),
+ ct AS (SELECT a.population, a.variant AS v1, b.variant AS v2, count(*) FILTER (whole AND a.allele IS NOT NULL) AS n, avg(a.allele) FILTER (whole) AS p, avg(b.allele) FILTER (whole AND a.allele IS NOT NULL) AS q, avg(a.allele * b.allele) FILTER (whole) AS pq
+ FROM hap a JOIN hap b USING (population, hap) JOIN wh USING (population, hap) WHERE a.variant < 8 AND b.variant >= 8 GROUP BY ALL)"""
+
+
+@query("G4_r2_vector", f"WITH {LISTWISE} SELECT population, v1, v2, n, round(CASE WHEN n >= 20 AND p * (1 - p) * q * (1 - q) > 0 THEN least(1, (pq - p * q) * (pq - p * q) / (p * (1 - p) * q * (1 - q))) ELSE 0 END, 9) AS r2 FROM ct")
 def r2_vector(spark, d):
-    return pairs(spark, d).groupBy("v1", "v2").agg(F.round(F.max("r2"), 9).alias("r2"))
+    h = haplotypes_with_gaps(spark, d)
+    rows = L.linkage(L.listwise_counts(h.where("variant < 8"), h.where("variant >= 8")), small_n="zero")
+    return rows.select("population", "v1", "v2", "n", F.round("r2", 9).alias("r2"))
+
+
+PAIRWISE = HAPM + """, af AS (SELECT population, variant, avg(allele) AS f FROM hap WHERE variant >= 8 GROUP BY ALL), cm AS (SELECT variant FROM af GROUP BY 1 HAVING max(f) >= 0.55),
+ ct AS (SELECT a.population, a.variant AS v1, b.variant AS v2, count(*) AS n, avg(a.allele) AS p, avg(b.allele) AS q, avg(a.allele * b.allele) AS pq FROM hap a JOIN hap b USING (population, hap) JOIN cm ON cm.variant = b.variant
+ WHERE a.variant < 8 AND b.variant >= 8 AND a.allele IS NOT NULL AND b.allele IS NOT NULL GROUP BY ALL)"""
+
+
+@query("J7_candidates_partners_populations", f"WITH {PAIRWISE} SELECT population, v1, v2, n, round(CASE WHEN n < 20 THEN NULL WHEN p * (1 - p) * q * (1 - q) > 0 THEN least(1, (pq - p * q) * (pq - p * q) / (p * (1 - p) * q * (1 - q))) ELSE 0 END, 9) AS r2 FROM ct")
+def candidates_partners(spark, d):
+    """Every candidate with every partner that is common in some population, in every population: pairwise-complete haplotypes, null below 20."""
+    h = haplotypes_with_gaps(spark, d)
+    partners = h.where("variant >= 8")
+    common = partners.join(L.common_somewhere(partners, 0.55), "variant", "left_semi")
+    return L.linkage(L.pair_counts(h.where("variant < 8"), common)).select("population", "v1", "v2", "n", F.round("r2", 9).alias("r2"))
 
 
 @query("G5_max_attainable", f"WITH {LD} SELECT population, v1, v2, round(r2_max, 9) AS r2_max, round(CASE WHEN r2_max > 0 THEN r2 / r2_max ELSE 0 END, 9) AS fraction FROM ld")

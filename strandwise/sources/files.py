@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,46 @@ def point_lookup(vcf: DataFrame, pos: int, ref: str | None = None, alt: str | No
     return rows.join(F.broadcast(first), F.struct("ref", "alts") == F.col("r")).drop("r")
 
 
+def read_ld_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(variant, population, variation2, r2, d_prime) of landed pair files variant__population.json, arrays of objects; an empty array gives no rows. Figures are text in the files."""
+    rows = spark.read.schema("variation2 string, r2 string, d_prime string").json(path, multiLine=True)
+    name = F.split(F.regexp_replace(F.col("_metadata.file_name"), r"\.json(\.gz)?$", ""), "__")
+    return rows.where("variation2 IS NOT NULL").select(F.get(name, F.lit(0)).alias("variant"), F.get(name, F.lit(1)).alias("population"), "variation2", F.expr("try_cast(r2 AS double)").alias("r2"), F.expr("try_cast(d_prime AS double)").alias("d_prime"))
+
+
+def read_genes(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name, start, end) of landed gene arrays; a gene without a name goes by its id."""
+    rows = spark.read.schema("id string, external_name string, start long, end long").json(path, multiLine=True)
+    return rows.where("start IS NOT NULL").select("id", F.coalesce("external_name", "id").alias("name"), "start", "end")
+
+
+def read_regulatory(spark: SparkSession, path: str) -> DataFrame:
+    """(feature) of landed regulatory arrays: the description, or else the type."""
+    rows = spark.read.schema("description string, feature_type string").json(path, multiLine=True)
+    return rows.select(F.coalesce("description", "feature_type").alias("feature")).where("feature IS NOT NULL")
+
+
+def read_through(spark: SparkSession, path: str, build) -> DataFrame:
+    """The table landed at path; where there is none, build() is written there first, once. What is landed is never built again."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    build().write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_bed(df: DataFrame, path: str) -> None:
+    """Tab-separated chrom, start, end without a header; refuses to overwrite."""
+    df.select("chrom", "start", "end").write.option("sep", "\t").mode("errorifexists").csv(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A result table as CSV with a header and empty fields for nulls; refuses to overwrite."""
+    df.write.option("header", True).mode("errorifexists").csv(path)
+
+
 def write_tsv(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
     """Gzipped TSV with a header; refuses to overwrite. rows_per_file rotates chunks."""
     out = df.write.option("sep", "\t").option("header", True).option("compression", "gzip")

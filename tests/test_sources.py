@@ -69,3 +69,16 @@ def test_two_definitions_of_coding(spark):
     t = spark.createDataFrame([("splice_region_variant",), ("Missense_variant",), (None,)], "c string")
     got = t.select(P.matches_any(F.col("c"), P.CODING_PATTERN).alias("p"), F.coalesce(F.col("c").isin(*P.CODING_TERMS), F.lit(False)).alias("t")).collect()
     assert [tuple(r) for r in got] == [(True, False), (True, False), (False, False)]
+
+
+def test_landed_json(spark, tmp_path):
+    (tmp_path / "rs1__POP_A.json").write_text('[{"variation2": "rs9", "r2": "0.5", "d_prime": "0.9", "other": 1}, {"variation2": "rs8", "r2": "x", "d_prime": null}]')
+    (tmp_path / "rs2__POP_B.json").write_text("[]")
+    got = {(r.variant, r.population, r.variation2, r.r2, r.d_prime) for r in files.read_ld_pairs(spark, str(tmp_path)).collect()}
+    assert got == {("rs1", "POP_A", "rs9", 0.5, 0.9), ("rs1", "POP_A", "rs8", None, None)}
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "a.json").write_text('[{"id": "G1", "start": 5, "end": 9}, {"id": "G2", "external_name": "ABC", "start": 20, "end": 30}]')
+    assert {tuple(r) for r in files.read_genes(spark, str(tmp_path / "g")).collect()} == {("G1", "G1", 5, 9), ("G2", "ABC", 20, 30)}
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.json").write_text('[{"description": "Enhancer", "feature_type": "regulatory"}, {"feature_type": "regulatory"}]')
+    assert sorted(r.feature for r in files.read_regulatory(spark, str(tmp_path / "r")).collect()) == ["Enhancer", "regulatory"]

@@ -99,3 +99,36 @@ def test_whole_rankings_and_hits_against_brute_force(spark, small):
         for e in points.event_id[(points.pos >= p.start) & (points.pos < p.end)]:
             hits[e, p.accession] = hits.get((e, p.accession), 0) + 1
     assert {(r.event_id, r.accession): r.n for r in catalog.QUERIES["J5_open_in_files_whole"](spark, small).collect()} == hits
+
+
+def test_perfect_lines_and_flat_columns(spark):
+    """Defined results where a division by zero lurks: perfect lines, constant columns, two pairs."""
+    up, flat = [(float(i), 2.0 * i + 1) for i in range(15)], [(float(i), 4.0) for i in range(15)]
+    groups = {"up": up, "down": [(x, -y) for x, y in up], "flat y": flat, "flat x": [(y, x) for x, y in flat], "two": up[:2]}
+    rows = spark.createDataFrame([(g, *p) for g, ps in groups.items() for p in ps], "g string, x double, y double")
+    got = {r.g: r for r in S.regression(rows, ["g"], "x", "y").collect()}
+    assert abs(got["up"].slope - 2) < 1e-12 and abs(got["up"].r - 1) < 1e-12 > abs(got["down"].r + 1) and got["up"].p == got["up"].se == got["down"].p == 0
+    assert got["flat y"].slope == 0 and got["flat y"].r is None and got["flat y"].p is None and got["flat x"].slope is None and got["flat x"].p is None
+    assert got["two"].p is None and got["two"].se is None
+    rho = {r.g: (r.rho, r.p) for r in S.spearman(rows, ["g"], "x", "y").collect()}
+    assert {g: (r if r is None else round(r, 9), p) for g, (r, p) in rho.items()} == {"up": (1.0, 0.0), "down": (-1.0, 0.0), "flat y": (None, None), "flat x": (None, None)}
+
+
+def test_listwise_against_pairwise_missing(spark):
+    """Zeros below 20 complete haplotypes, one against many; a haplotype with a gap in any partner is left out for all of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2, (4, 60)).astype(float)
+    a[1] = np.where(rng.random(60) < 0.8, a[0], 1 - a[0])
+    a[2, ::7] = np.nan
+    a[0, 3] = np.nan
+    rows = [(p, h, v, None if np.isnan(a[v, h]) else int(a[v, h])) for p, n in (("big", 60), ("small", 22)) for h in range(n) for v in range(4)]
+    haps = spark.createDataFrame(rows, "population string, hap long, variant int, allele int")
+    got = {(r.population, r.v2): (r.n, r.r2) for r in L.linkage(L.listwise_counts(haps.where("variant = 0"), haps.where("variant > 0")), small_n="zero").collect()}
+    for p, n in (("big", 60), ("small", 22)):
+        ok = ~np.isnan(a[:, :n]).any(axis=0)
+        for v in (1, 2, 3):
+            x, y = a[0, :n][ok], a[v, :n][ok]
+            want = np.corrcoef(x, y)[0, 1] ** 2 if ok.sum() >= 20 else 0.0
+            assert got[p, v][0] == ok.sum() and abs(got[p, v][1] - want) < 1e-9
