@@ -17,13 +17,15 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables, as the cluster names it.
 
-    Only where spark.checkpoint.dir is unset (local tests) a temporary folder is made and
-    remembered in the session.
+    Only in a local session without spark.checkpoint.dir (tests) a temporary folder is made and
+    remembered in the session; on a cluster that setting is required.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("strandwise.scratch.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-strandwise-")
         spark.conf.set("strandwise.scratch.dir", path)
     return path.rstrip("/")
