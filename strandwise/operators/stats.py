@@ -125,7 +125,7 @@ PERFECT = 1 - 1e-12
 def correlation(x: str, y: str) -> Column:
     """Pearson's r as an aggregate; null where a column is constant or there is no pair, never a division error."""
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
 def correlation_p(r: Column, n: Column) -> tuple[Column, Column]:
