@@ -62,25 +62,30 @@ class Words(dict):
     def __init__(self, vocabulary: frozenset | None = None):
         super().__init__()
         self.vocabulary = vocabulary
-        self.table = np.zeros((1024, 6), np.uint64)
+        # Row 0 is that of all unknown words without a capital, unit or sentence end.
+        self.table, self.rows = np.zeros((1024, 6), np.uint64), 1
 
     def __missing__(self, word: str) -> int:
-        at = len(self)
+        row = (0, 0, 1, 0, 1, 0) if word == LINE else self.row(word)
+        if not any(row):
+            self[word] = 0
+            return 0
+        at, self.rows = self.rows, self.rows + 1
         if at == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        if word == LINE:
-            self.table[at] = (0, 0, 1, 0, 1, 0)
-        else:
-            core = word.strip(OUTER)
-            low = core.lower()
-            number = bool(NUMBER.match(core) or NUMBER_UNIT.match(core)) or low in NUMBER_WORDS
-            literal = self.literal(low)
-            unit = (2 if number else 0) | (1 if low in UNITS or core == "%" else 0)
-            name = len(core) > 1 and core[0].isupper() and not number
-            self.table[at] = (NUM if number else literal, NUM if number else NAME if name else literal, word.rstrip("\"'”’)]")[-1:] in tuple(".!?:"), unit, 0, literal)
+        self.table[at] = row
         self[word] = at
         return at
 
+    def row(self, word: str) -> tuple:
+        core = word.strip(OUTER)
+        low = core.lower()
+        number = low in NUMBER_WORDS or (not core.isalpha() and bool(NUMBER.match(core) or NUMBER_UNIT.match(core)))
+        literal = self.literal(low)
+        unit = (2 if number else 0) | (1 if low in UNITS or core == "%" else 0)
+        name = len(core) > 1 and core[0].isupper() and not number
+        return (NUM if number else literal, NUM if number else NAME if name else literal, word.rstrip("\"'”’)]")[-1:] in tuple(".!?:"), unit, 0, literal)
+
     def literal(self, low: str) -> int:
         if self.vocabulary is not None and low not in self.vocabulary:
             return OTHER
@@ -91,6 +96,7 @@ class Words(dict):
         words = text.replace("\n", f" {LINE} ").split()
         if len(self) > CACHE:
             self.clear()
+            self.rows = 1
         rows = self.table_rows(list(map(self.__getitem__, words)))
         if not len(rows):
             return [np.empty(0, np.uint64)] * len(FORMS), np.empty(0, np.int64)
@@ -108,16 +114,25 @@ class Words(dict):
         return self.table[np.array(at, np.int64)] if at else self.table[:0]
 
 
-def windows(kinds: np.ndarray, size: int, least_literal: int, form: int = TEMPLATE) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows without unknown words and with enough literal ones. The hash tells the form."""
+def sums(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running numbers of unknown and of literal words."""
+    out = np.zeros((2, len(kinds) + 1), np.int32)
+    np.cumsum(kinds == OTHER, out=out[0, 1:])
+    np.cumsum(kinds > UNIT, out=out[1, 1:])
+    return out[0], out[1]
+
+
+def windows(kinds: np.ndarray, size: int, least_literal: int, form: int = TEMPLATE, counted: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows without unknown words and with enough literal ones. The hash tells the form. counted: the kinds' sums, if known."""
     n = len(kinds) - size + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    unknown = np.concatenate([[0], np.cumsum(kinds == OTHER)])
-    literal = np.concatenate([[0], np.cumsum(kinds > UNIT)])
-    at = np.flatnonzero((unknown[size:] == unknown[:n]) & (literal[size:] - literal[:n] >= min(least_literal, size)))
+    unknown, literal = counted or sums(kinds)
+    at = np.flatnonzero(unknown[size:] == unknown[:n])
+    if least_literal:
+        at = at[literal[at + size] - literal[at] >= min(least_literal, size)]
     h = np.full(len(at), size | form << 32, np.uint64)
-    for j in range(size):
+    for j in range(size if len(at) else 0):
         h = (h ^ kinds[at + j]) * MULTIPLIER
         h ^= h >> np.uint64(32)
     return at, h
@@ -145,12 +160,12 @@ def window_rows(texts: DataFrame, spec: DecontamSpec, sizes: list[int] | None, s
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 forms, places = cache.forms(text or "")
                 n_words = len(places)
-                words = None
+                words, counted = None, [sums(kinds) for kinds in forms]
                 for size in ([min(spec.window, n_words)] if n_words else []) if sizes is None else sizes:
                     for form, kinds in enumerate(forms):
                         if form != PLAIN and size < spec.least_words:
                             continue
-                        at, h = windows(kinds, size, 0 if form == PLAIN else spec.least_literal, form)
+                        at, h = windows(kinds, size, 0 if form == PLAIN else spec.least_literal, form, counted[form])
                         total = len(at)
                         if known is not None and len(at):
                             hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
