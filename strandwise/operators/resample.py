@@ -1,7 +1,8 @@
 """Stratified subsampling and the shared-draw cluster bootstrap, with draws derived from md5.
 
 Copies of a record share score and flag, so a bootstrap replicate is a weighted ranking: a record weighs as
-often as its element was drawn. Replicates are rows; nothing loops on the driver.
+often as its element was drawn. Replicates are rows of the few records that can reach the top; nothing loops
+on the driver.
 """
 
 from __future__ import annotations
@@ -26,15 +27,21 @@ def stratified(pool: DataFrame, target: DataFrame, value: str, edges: list[float
     return rows.withColumn("_n", F.row_number().over(order)).join(quota, "bin").where("_n <= quota").drop("_n", "quota")
 
 
-def draws(spark, configs: DataFrame, n_elements: int) -> DataFrame:
-    """(seed, replicates, rep, elem, k): how often each of n_elements elements is drawn in each replicate, n_elements draws a replicate.
+def replicated(df: DataFrame, seeds: list[int], replicates: int) -> DataFrame:
+    """df once per seed and replicate, as columns seed and rep; for narrow tables of bounded size only."""
+    out = df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    return out.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
 
-    configs: (seed, replicates). The same draws serve every comparator and both reference sets.
+
+def draws(spark, seeds: list[int], replicates: int, n_elements: int) -> DataFrame:
+    """(seed, rep, elem, k): how often each of n_elements elements is drawn in each replicate, n_elements draws a replicate.
+
+    The same draws serve every comparator and both reference sets. A replicate's draws depend on its seed and
+    number alone, so the first 500 of 5,000 replicates are those of a run of 500. Slots are dealt over tasks.
     """
-    reps = configs.withColumn("rep", F.explode(F.sequence(F.lit(0), F.col("replicates") - 1)))
-    slots = reps.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n_elements - 1))))
+    slots = replicated(spark.range(n_elements).withColumnRenamed("id", "slot"), seeds, replicates)
     elem = F.pmod(hash_number(F.col("seed").cast("string"), F.col("rep").cast("string"), F.col("slot").cast("string")), F.lit(n_elements))
-    return slots.withColumn("elem", elem).groupBy("seed", "replicates", "rep", "elem").agg(F.count("*").alias("k"))
+    return slots.withColumn("elem", elem).groupBy("seed", "rep", "elem").agg(F.count("*").alias("k"))
 
 
 def weighted_cells(rows: DataFrame, by: list[str], score: str, tie: str, flags: list[str], depth: int) -> DataFrame:
@@ -50,6 +57,39 @@ def weighted_cells(rows: DataFrame, by: list[str], score: str, tie: str, flags:
     return top.groupBy(*by).agg(*cells)
 
 
+def bootstrap_cells(rows: DataFrame, made: DataFrame, seeds: list[int], replicates: int, ranking: str, score: str, tie: str, flags: list[str], depth: int) -> DataFrame:
+    """weighted_cells of every replicate and ranking without a copy of the records per replicate.
+
+    rows have elem: null for fixed records, which count once in every replicate; others count as often as made
+    (seed, rep, elem, k) draws their element. Rows without score are left out. Per replicate there are only
+    the records that can reach the top, namely the depth best fixed ones and those drawn ones that beat the
+    last of these (of one element depth at most); all others enter through counts by element.
+    """
+    size = F.abs(F.col(score))
+    rows = rows.where(F.col(score).isNotNull()).select(ranking, tie, size.alias("_size"), "elem", *flags)
+    best = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_size"), F.col(tie)))).where(F.col("_n") <= depth)
+    sums = lambda k: [F.sum(F.when(c, k).otherwise(0)).alias(f"{f}_{n}") for f in flags for n, c in (("in", F.col(f)), ("out", ~F.col(f)))]
+    counts = rows.groupBy(ranking, "elem").agg(*sums(F.lit(1)))
+    names = [f"{f}_{n}" for f in flags for n in ("in", "out")]
+    fixed = replicated(counts.where("elem IS NULL").drop("elem"), seeds, replicates)
+    by_draw = counts.join(made, "elem").select(ranking, *[(F.col(n) * F.col("k")).alias(n) for n in names], "seed", "rep")
+    by = ["seed", "rep", ranking]
+    totals = fixed.unionByName(by_draw).groupBy(*by).agg(*[F.sum(n).alias(n) for n in names])
+    fixed_top = best(rows.where("elem IS NULL"), [ranking])
+    bar = fixed_top.where(F.col("_n") == depth).select(ranking, F.col("_size").alias("_bar"), F.col(tie).alias("_bar_tie"))
+    beats = F.col("_bar").isNull() | (F.col("_size") > F.col("_bar")) | ((F.col("_size") == F.col("_bar")) & (F.col(tie) < F.col("_bar_tie")))
+    live = best(rows.where("elem IS NOT NULL").join(bar, ranking, "left").where(beats).drop("_bar", "_bar_tie"), [ranking, "elem"]).drop("_n")
+    pool = replicated(fixed_top.drop("_n", "elem"), seeds, replicates).withColumn("k", F.lit(1).cast("long")).unionByName(live.join(made, "elem").drop("elem"))
+    order = Window.partitionBy(*by).orderBy(F.desc("_size"), F.col(tie))
+    before = F.coalesce(F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    top = pool.withColumn("_top", F.greatest(F.least(F.col("k"), F.lit(depth) - before), F.lit(0))).groupBy(*by).agg(*sums(F.col("_top")))
+    top = top.select(*by, *[F.col(n).alias(f"_{n}") for n in names])
+    cells = []
+    for f in flags:
+        cells += [F.col(f"_{f}_in").alias(f"{f}_a"), F.col(f"_{f}_out").alias(f"{f}_b"), (F.col(f"{f}_in") - F.col(f"_{f}_in")).alias(f"{f}_c"), (F.col(f"{f}_out") - F.col(f"_{f}_out")).alias(f"{f}_d")]
+    return totals.join(top, by).select(*by, *cells)
+
+
 def contrast_change(cells: DataFrame, by: list[str], reference: str, narrow: str, wide: str) -> DataFrame:
     """Per comparator ranking: (log OR of the reference ranking less the comparator's) on the narrow flag, less the same on the wide flag."""
     rows = cells.withColumn("_n", log_or(*[f"{narrow}_{c}" for c in "abcd"])).withColumn("_w", log_or(*[f"{wide}_{c}" for c in "abcd"])).select(*by, "ranking", (F.col("_n") - F.col("_w")).alias("_v"))

@@ -302,7 +302,10 @@ def bin_quota(spark, d):
     return table(spark, d, "supplier").withColumn("bin", bins).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("quota"))
 
 
-REPS = 40
+#: Replicates of the shared-draw bootstrap; the stability grid's are below it.
+REPS = 500
+GRID_SEEDS, GRID = [1, 2, 3], [500, 2000, 5000]
+
 
 def boot_rows(spark, d):
     """Scores with the element of their position, numbered anew over elements that hold records, and the two flags."""
@@ -316,7 +319,7 @@ BOOT_SQL = f"""WITH {SM}, {VIEW},
 el AS (SELECT start, "end", EXISTS (SELECT 1 FROM v2 WHERE floor((mg.start + mg."end") / 2) >= v2.start AND floor((mg.start + mg."end") / 2) < v2."end") AS shared FROM mg),
 lo AS (SELECT rec.event_id, el.start, el.shared FROM rec LEFT JOIN el ON rec.pos >= el.start AND rec.pos < el."end"),
 nar AS (SELECT start, row_number() OVER (ORDER BY start) - 1 AS elem FROM (SELECT DISTINCT start FROM lo WHERE NOT shared)),
-rows AS (SELECT sc.ranking, sc.event_id, sc.score, nar.elem, lo.start IS NOT NULL AS wide, coalesce(NOT lo.shared, false) AS narrow FROM sc JOIN lo USING (event_id) LEFT JOIN nar ON lo.start = nar.start WHERE sc.ranking IN ('score_1', 'score_2', 'score_3')),
+rows AS (SELECT sc.ranking, sc.event_id, sc.score, nar.elem, lo.start IS NOT NULL AS wide, coalesce(NOT lo.shared, false) AS narrow FROM sc JOIN lo USING (event_id) LEFT JOIN nar ON lo.start = nar.start),
 dr AS (SELECT rep, CAST('0x' || substr(md5('1|' || rep || '|' || slot), 1, 8) AS BIGINT) % (SELECT count(*) FROM nar) AS elem FROM range(0, {REPS}) r(rep), (SELECT unnest(range(0, (SELECT count(*) FROM nar))) AS slot)),
 wt AS (SELECT rep, elem, count(*) AS k FROM dr GROUP BY ALL),
 wr AS (SELECT r.rep, rows.*, CASE WHEN rows.elem IS NULL THEN 1 ELSE coalesce(wt.k, 0) END AS k FROM rows CROSS JOIN range(0, {REPS}) r(rep) LEFT JOIN wt ON wt.rep = r.rep AND wt.elem = rows.elem),
@@ -327,40 +330,34 @@ de AS (SELECT o.rep, o.ranking AS comparator, r.v - o.v AS delta FROM cl o JOIN
 """
 
 
-def boot_deltas(spark, d, configs):
-    rows = boot_rows(spark, d).where("ranking IN ('score_1', 'score_2', 'score_3')")
-    named = rows.where("narrow").select("start").distinct()
+def boot_deltas(spark, d, seeds, replicates):
     from pyspark.sql import Window
 
+    rows = boot_rows(spark, d)
+    named = rows.where("narrow").select("start").distinct()
     named = named.withColumn("elem", F.row_number().over(Window.orderBy("start")) - 1)
     rows = rows.join(named.withColumn("narrow", F.lit(True)), ["start", "narrow"], "left").select("ranking", "event_id", "score", "wide", "narrow", "elem")
-    n = named.count()
-    made = B.draws(spark, configs, max(1, n))
-    reps = configs.withColumn("rep", F.explode(F.sequence(F.lit(0), F.col("replicates") - 1)))
-    free = rows.where("elem IS NULL").crossJoin(F.broadcast(reps)).withColumn("k", F.lit(1).cast("long"))
-    drawn = rows.where("elem IS NOT NULL").join(made, "elem")
-    every = free.unionByName(drawn)
-    by = ["seed", "replicates", "rep"]
-    return B.contrast_change(B.weighted_cells(every, [*by, "ranking"], "score", "event_id", ["narrow", "wide"], 200), by, "score_1", "narrow", "wide")
+    made = B.draws(spark, seeds, replicates, max(1, named.count()))
+    cells = B.bootstrap_cells(rows, made, seeds, replicates, "ranking", "score", "event_id", ["narrow", "wide"], 200)
+    return B.contrast_change(cells, ["seed", "rep"], "score_1", "narrow", "wide")
 
 
 @query("B5_shared_draw_bootstrap", BOOT_SQL + "SELECT comparator, round(quantile_cont(delta, 0.025), 6) AS ci_low, round(quantile_cont(delta, 0.975), 6) AS ci_high, count(*) AS n FROM de GROUP BY 1")
 def shared_draw_bootstrap(spark, d):
-    configs = spark.createDataFrame([(1, REPS)], "seed int, replicates int")
-    out = B.interval_summary(boot_deltas(spark, d, configs), ["comparator"])
+    out = B.interval_summary(boot_deltas(spark, d, [1], REPS), ["comparator"])
     return out.select("comparator", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), "n")
 
 
-@query("TDEL_change_in_contrast", BOOT_SQL + "SELECT CAST(rep AS BIGINT) AS rep, comparator, round(delta, 6) AS delta FROM de WHERE rep < 5")
+@query("TDEL_change_in_contrast", BOOT_SQL + "SELECT CAST(rep AS BIGINT) AS rep, comparator, round(delta, 6) AS delta FROM de")
 def change_in_contrast(spark, d):
-    configs = spark.createDataFrame([(1, 5)], "seed int, replicates int")
-    return boot_deltas(spark, d, configs).select(F.col("rep").cast("long").alias("rep"), "comparator", F.round("delta", 6).alias("delta"))
+    return boot_deltas(spark, d, [1], REPS).select(F.col("rep").cast("long").alias("rep"), "comparator", F.round("delta", 6).alias("delta"))
 
 
 @query("B6_stability_grid")
 def stability_grid(spark, d):
-    configs = spark.createDataFrame([(s, r) for s in (1, 2, 3) for r in (10, 20)], "seed int, replicates int")
-    return B.interval_summary(boot_deltas(spark, d, configs), ["seed", "replicates", "comparator"])
+    """A run of fewer replicates is the start of the longest one, so every seed is drawn once."""
+    deltas = boot_deltas(spark, d, GRID_SEEDS, max(GRID)).withColumn("replicates", F.explode(F.array(*[F.lit(r) for r in GRID]))).where("rep < replicates")
+    return B.interval_summary(deltas, ["seed", "replicates", "comparator"])
 
 
 @query("B7_hash_draws", f"SELECT CAST(rep AS BIGINT) AS rep, CAST(slot AS BIGINT) AS slot, {MD5.format(x=chr(39) + '7|' + chr(39) + ' || rep || ' + chr(39) + '|' + chr(39) + ' || slot')} % 27 AS elem FROM range(0, 20) r(rep), range(0, 27) s(slot)")
@@ -370,7 +367,7 @@ def hash_draws(spark, d):
 
 
 @query("B2_haplotype_bootstrap", f"""WITH {HAP}, w AS (SELECT hap, population, row_number() OVER (PARTITION BY population ORDER BY hap) - 1 AS i, count(*) OVER (PARTITION BY population) AS n FROM (SELECT DISTINCT population, hap FROM hap)),
- dr AS (SELECT population, rep, CAST('0x' || substr(md5('3|' || population || '|' || rep || '|' || i), 1, 8) AS BIGINT) % n AS i FROM w, range(0, 50) r(rep)), kk AS (SELECT population, rep, i, count(*) AS k FROM dr GROUP BY ALL),
+ dr AS (SELECT population, rep, CAST('0x' || substr(md5('3|' || population || '|' || rep || '|' || i), 1, 8) AS BIGINT) % n AS i FROM w, range(0, 2000) r(rep)), kk AS (SELECT population, rep, i, count(*) AS k FROM dr GROUP BY ALL),
  xy AS (SELECT a.population, a.hap, a.allele AS x, b.allele AS y FROM hap a JOIN hap b USING (population, hap) WHERE a.variant = 0 AND b.variant = 9),
  s AS (SELECT kk.population, rep, sum(k) AS n, sum(k * x) AS x, sum(k * y) AS y, sum(k * x * y) AS xy FROM kk JOIN w ON kk.population = w.population AND kk.i = w.i JOIN xy ON xy.population = w.population AND xy.hap = w.hap GROUP BY ALL),
  r AS (SELECT population, CASE WHEN x > 0 AND x < n AND y > 0 AND y < n THEN least(1, power(xy / n - (x / n) * (y / n), 2) / ((x / n) * (1 - x / n) * (y / n) * (1 - y / n))) ELSE 0 END AS r2 FROM s)
@@ -382,7 +379,7 @@ def haplotype_bootstrap(spark, d):
     pair = h.groupBy("population", "hap").agg(F.max(F.when(F.col("variant") == 0, F.col("allele"))).alias("_x"), F.max(F.when(F.col("variant") == 9, F.col("allele"))).alias("_y"))
     by = Window.partitionBy("population")
     pair = pair.withColumn("i", F.row_number().over(by.orderBy("hap")) - 1).withColumn("n", F.count("*").over(by))
-    slot = pair.select("population", "n", "i").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(49))))
+    slot = pair.select("population", "n", "i").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(1999))))
     number = B.hash_number(F.lit("3"), F.col("population").cast("string"), F.col("rep").cast("string"), F.col("i").cast("string"))
     k = slot.select("population", "rep", F.pmod(number, F.col("n")).cast("int").alias("i")).groupBy("population", "rep", "i").agg(F.count("*").alias("k"))
     sums = k.join(pair.drop("n"), ["population", "i"]).groupBy("population", "rep").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("_x")).alias("x"), F.sum(F.col("k") * F.col("_y")).alias("y"), F.sum(F.col("k") * F.col("_x") * F.col("_y")).alias("xy"))

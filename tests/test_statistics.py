@@ -82,6 +82,30 @@ def test_weighted_cells_equal_copies(spark):
     assert (got.f_a, got.f_b, got.f_c, got.f_d) == want
 
 
+@pytest.mark.parametrize("n_fixed", [0, 10, 120])
+def test_bootstrap_cells_against_copied_records(spark, n_fixed):
+    """Every replicate of two rankings with its records copied out, ties in the score included; without, with few and with many fixed records."""
+    rng = random.Random(n_fixed)
+    data = []
+    for ranking in ("r1", "r2"):
+        for i in range(n_fixed + 90):
+            elem = None if i < n_fixed else rng.randrange(6)
+            data.append((ranking, i, None if rng.random() < 0.05 else round(rng.uniform(-1, 1), 1), rng.random() < 0.4, elem is not None, elem))
+    rows = spark.createDataFrame(data, "ranking string, id int, score double, f boolean, g boolean, elem int")
+    made = B.draws(spark, [1, 2], 7, 6)
+    times = {(r.seed, r.rep, r.elem): r.k for r in made.collect()}
+    assert all(sum(times.get((s, r, e), 0) for e in range(6)) == 6 for s in (1, 2) for r in range(7))
+    assert {k: n for k, n in times.items() if k[1] < 3} == {(r.seed, r.rep, r.elem): r.k for r in B.draws(spark, [1, 2], 3, 6).collect()}
+    got = B.bootstrap_cells(rows, made, [1, 2], 7, "ranking", "score", "id", ["f", "g"], 25).collect()
+    assert len(got) == 28
+    for r in got:
+        copies = [(-abs(x[2]), x[1], x[3], x[4]) for x in data if x[0] == r.ranking and x[2] is not None for _ in range(1 if x[5] is None else times.get((r.seed, r.rep, x[5]), 0))]
+        copies.sort()
+        for at, name in ((2, "f"), (3, "g")):
+            top, rest = [c[at] for c in copies[:25]], [c[at] for c in copies[25:]]
+            assert [r[f"{name}_{c}"] for c in "abcd"] == [sum(top), len(top) - sum(top), sum(rest), len(rest) - sum(rest)]
+
+
 def test_whole_rankings_and_hits_against_brute_force(spark, small):
     from strandwise.plans import catalog, roles
 
