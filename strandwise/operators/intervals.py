@@ -59,18 +59,23 @@ def support_regions(iv: DataFrame, keys: list[str], least: int, distinct_source:
     return edges.where(F.col("d") == 1).select(*keys, F.col("pos").alias("start"), "end")
 
 
-def locate_in_disjoint(points: DataFrame, merged: DataFrame, pos: str = "pos", keys: list[str] = (), pos_base: int = 0) -> DataFrame:
-    """points plus elem_id of the disjoint interval that holds them, or null: one sort per key, no join.
+def locate_in_disjoint(points: DataFrame, merged: DataFrame, pos: str = "pos", keys: list[str] = (), pos_base: int = 0, bin_width: int = 1 << 16) -> DataFrame:
+    """points plus elem_id of the disjoint interval that holds them, or null: one sort per key and bin, no join.
 
-    Points and interval starts are swept together; the last start at or before a point decides. Null
-    positions stay unmatched. pos_base=1 treats positions as 1-based.
+    Points and interval starts are swept together; the last start at or before a point decides. An interval is
+    dealt to each bin it reaches, from the bin's start on; as intervals are disjoint, that adds one row a bin at
+    most. Null positions stay unmatched and keep their task. pos_base=1 treats positions as 1-based.
     """
     keys = list(keys)
-    at = F.col(pos) - pos_base
+    at = (F.col(pos) - pos_base).cast("long")
     rows = points.withColumn("_row", F.struct(*points.columns))
-    left = rows.select(*keys, at.alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"), F.lit(None).cast("long").alias("_elem"), "_row")
-    right = merged.select(*keys, F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.col("end").cast("long").alias("_end"), F.col("elem_id").cast("long").alias("_elem"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
-    order = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    nowhere = F.when(at.isNull(), F.spark_partition_id())
+    left = rows.select(*keys, F.floor(at / bin_width).alias("_bin"), nowhere.alias("_part"), at.alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"), F.lit(None).cast("long").alias("_elem"), "_row")
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    bins = F.explode(F.sequence(F.floor(start / bin_width), F.floor(F.greatest(end - 1, start) / bin_width)))
+    right = merged.select(*keys, start.alias("start"), end.alias("_end"), F.col("elem_id").cast("long").alias("_elem"), bins.alias("_bin"))
+    right = right.select(*keys, "_bin", F.lit(None).cast("int").alias("_part"), F.greatest(F.col("start"), F.col("_bin") * bin_width).alias("_at"), F.lit(0).alias("_kind"), "_end", "_elem", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    order = Window.partitionBy(*keys, "_bin", "_part").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = left.unionByName(right).withColumn("_e", F.last("_end", True).over(order)).withColumn("_i", F.last("_elem", True).over(order))
     return swept.where("_kind = 1").select("_row.*", F.when(F.col("_at") < F.col("_e"), F.col("_i")).alias("elem_id"))
 

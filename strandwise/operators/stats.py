@@ -154,9 +154,9 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, more_than: int = 10)
 
     Perfect agreement has p 0; a constant column has null rho and p.
     """
-    from .ranking import average_rank
+    from .ranking import with_average_rank
 
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = ok.withColumn("_rx", average_rank(by, x)).withColumn("_ry", average_rank(by, y))
+    rows = with_average_rank(with_average_rank(ok, by, x, "_rx"), by, y, "_ry")
     out = rows.groupBy(*by).agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("rho")).where(F.col("n") > more_than)
     return out.withColumn("p", correlation_p(F.col("rho"), F.col("n"))[1])

@@ -77,13 +77,11 @@ def open_in_files(spark, d):
     return iv.hits(points, peaks(spark, d).where("set_id = 'purchase'"), BIN).groupBy("event_id", "accession").agg(F.count("*").alias("n"))
 
 
+@query("J5_open_in_files_whole", f"WITH {REC}, {PK} SELECT event_id, accession, count(*) AS n FROM rec r JOIN (SELECT * FROM pk WHERE set_id = 'purchase') p ON r.pos >= p.start AND r.pos < p.\"end\" GROUP BY ALL")
 def open_in_files_whole(spark, d):
     return iv.hits(records(spark, d).select("event_id", "pos"), peaks(spark, d).where("set_id = 'purchase'"), BIN).groupBy("event_id", "accession").agg(F.count("*").alias("n"))
 
 
-QUERIES["J5_open_in_files_whole"] = open_in_files_whole
-
-
 @query("I11_open_in_list", f"WITH {REC}, {PK} SELECT event_id, count(DISTINCT accession) AS n_open, string_agg(DISTINCT CAST(accession AS VARCHAR), ',' ORDER BY CAST(accession AS VARCHAR)) AS open_in FROM rec r JOIN (SELECT * FROM pk WHERE set_id = 'purchase') p ON r.pos >= p.start AND r.pos < p.\"end\" GROUP BY event_id")
 def open_in_list(spark, d):
     found = iv.hits(records(spark, d).select("event_id", "pos"), peaks(spark, d).where("set_id = 'purchase'"), BIN)

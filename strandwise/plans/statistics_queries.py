@@ -38,7 +38,7 @@ def flagged(spark, d):
 
 
 def tables(spark, d):
-    return R.two_by_two(R.ranked(flagged(spark, d), ["ranking"], "score", "event_id"), ["ranking"], "in_peak")
+    return R.top_tables(flagged(spark, d), ["ranking"], "score", "event_id", "in_peak")
 
 
 @query("enrich_top200", f"WITH {CELLS} SELECT ranking, CAST(depth AS BIGINT) AS depth, a, b, c, d, round({LOGOR}, 9) AS log_or FROM tb WHERE depth = 200")
@@ -81,16 +81,30 @@ def fisher_two(spark, d):
     return S.with_exact(tables(spark, d)).select("ranking", F.col("depth").cast("long").alias("depth"), F.round("p_two_sided", 6).alias("p"))
 
 
-@query("TCOR_conditional_odds_ratio")
+# The conditional estimate and both ends of its interval by halving the log odds ratio's range 80 times.
+EXACT = f"""WITH RECURSIVE {CELLS}, sp AS (SELECT *, greatest(0, a - d) AS x0, least(a + b, a + c) AS x1 FROM tb),
+w AS (SELECT ranking, depth, a, x, -lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS lw FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM sp)),
+st AS (SELECT ranking, depth, kind, 0 AS i, CAST(-60 AS DOUBLE) AS lo, CAST(60 AS DOUBLE) AS hi FROM sp, (VALUES ('est'), ('low'), ('high')) k(kind)
+ UNION ALL SELECT ranking, depth, kind, i + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END FROM (
+  SELECT ranking, depth, kind, i, lo, hi, mid, CASE kind WHEN 'est' THEN sum(x * e) / sum(e) < a WHEN 'low' THEN sum(CASE WHEN x >= a THEN e ELSE 0 END) / sum(e) < 0.025 ELSE sum(CASE WHEN x <= a THEN e ELSE 0 END) / sum(e) > 0.025 END AS up
+  FROM (SELECT st.*, (lo + hi) / 2 AS mid, x, a, exp(lw + x * (lo + hi) / 2 - max(lw + x * (lo + hi) / 2) OVER (PARTITION BY st.ranking, st.depth, kind)) AS e FROM st JOIN w ON st.ranking = w.ranking AND st.depth = w.depth WHERE i < 80)
+  GROUP BY ranking, depth, kind, i, lo, hi, mid, a)),
+sv AS (SELECT ranking, depth, exp(max(lo) FILTER (kind = 'est')) AS est, exp(max(lo) FILTER (kind = 'low')) AS low, exp(max(lo) FILTER (kind = 'high')) AS high FROM st WHERE i = 80 GROUP BY ALL),
+ex AS (SELECT ranking, CAST(depth AS BIGINT) AS depth, CASE WHEN x0 = x1 THEN NULL WHEN a = x0 THEN 0 WHEN a < x1 THEN round(est, 6) END AS odds_ratio, CASE WHEN a = x0 THEN 0 ELSE round(low, 6) END AS ci_low,
+ CASE WHEN a < x1 THEN round(high, 6) END AS ci_high, a = x1 AS ci_high_unbounded FROM sp JOIN sv USING (ranking, depth)) """
+
+
+@query("TCOR_conditional_odds_ratio", EXACT + "SELECT * FROM ex")
 def conditional_ratio(spark, d):
-    return S.with_exact(tables(spark, d)).select("ranking", "depth", "odds_ratio", "ci_low", "ci_high", "ci_high_unbounded")
+    x = S.with_exact(tables(spark, d))
+    return x.select("ranking", F.col("depth").cast("long").alias("depth"), *[F.round(c, 6).alias(c) for c in ("odds_ratio", "ci_low", "ci_high")], "ci_high_unbounded")
 
 
-@query("TCIX_excludes_one")
+@query("TCIX_excludes_one", EXACT + "SELECT ranking, coalesce(string_agg(CAST(depth AS VARCHAR), ',' ORDER BY depth) FILTER (ci_low > 1 OR ci_high < 1), '') AS depths_excluding_one FROM ex GROUP BY 1")
 def excludes_one(spark, d):
     x = S.with_exact(tables(spark, d))
     out = (F.col("ci_low") > 1) | (F.coalesce(F.col("ci_high"), F.lit(float("inf"))) < 1)
-    return x.groupBy("ranking").agg(F.array_sort(F.collect_list(F.when(out, F.col("depth")))).alias("depths_excluding_one"))
+    return x.groupBy("ranking").agg(F.array_join(F.array_sort(F.collect_list(F.when(out, F.col("depth")))), ",").alias("depths_excluding_one"))
 
 
 @query("TCON_contrast", f"WITH {CELLS}, lo AS (SELECT ranking, depth, {LOGOR} AS v FROM tb) SELECT o.ranking AS comparator, CAST(o.depth AS BIGINT) AS depth, round(r.v - o.v, 9) AS contrast FROM lo o JOIN lo r ON r.depth = o.depth AND r.ranking = 'score_1' WHERE o.ranking <> 'score_1'")
@@ -124,11 +138,9 @@ def rank_by_abs(spark, d):
     return R.ranked(scores(spark, d), ["ranking"], "score", "event_id").where("rank <= 100").select("ranking", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("W1_rank_by_abs_whole", f"WITH {SC} SELECT ranking, event_id, row_number() OVER (PARTITION BY ranking ORDER BY abs(score) DESC, event_id) AS rank FROM sc")
 def rank_by_abs_whole(spark, d):
-    return R.ranked(scores(spark, d), ["ranking"], "score", "event_id").select("ranking", "event_id", F.col("rank").cast("long").alias("rank"))
-
-
-QUERIES["W1_rank_by_abs_whole"] = rank_by_abs_whole
+    return R.ranked_whole(scores(spark, d), ["ranking"], "score", "event_id").select("ranking", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("O2_top_k", f"WITH {SC} SELECT event_id, score FROM sc WHERE ranking = 'score_3' ORDER BY abs(score) DESC, event_id LIMIT 25")
@@ -171,10 +183,16 @@ def residuals(spark, d):
     return rows.join(fit, "l_returnflag").select("l_orderkey", "l_linenumber", F.round(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"), 6).alias("residual"))
 
 
-@query("TLR_p_values")
+# With t = sqrt(v) tan(z), Student's tail is an integral of cos(z) ** (v - 1): Simpson's rule over 20,000 steps.
+@query("TLR_p_values", """WITH f AS (SELECT l_returnflag, count(*) AS n, regr_slope(l_quantity, l_discount) AS slope, regr_intercept(l_quantity, l_discount) AS intercept, corr(l_discount, l_quantity) AS r FROM lineitem WHERE l_discount IS NOT NULL AND l_quantity IS NOT NULL GROUP BY 1),
+ t AS (SELECT *, n - 2 AS v, r * sqrt((n - 2) / (1 - r * r)) AS t FROM f), z AS (SELECT *, atan(abs(t) / sqrt(v)) AS z0, least(pi() / 2, atan(abs(t) / sqrt(v)) + 40 / sqrt(v)) AS z1 FROM t),
+ q AS (SELECT l_returnflag, v, (z1 - z0) / 20000 AS h, z0 + i * (z1 - z0) / 20000 AS z, CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM z, range(0, 20001) s(i)),
+ p AS (SELECT l_returnflag, sum(w * exp((v - 1) * ln(greatest(cos(z), 1e-300)))) * max(h) / 3 * 2 / sqrt(pi()) * exp(lgamma((max(v) + 1) / 2) - lgamma(max(v) / 2)) AS p FROM q GROUP BY 1)
+ SELECT l_returnflag, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 9) AS r, round(abs(slope / t), 6) AS se, round(p, 6) AS p FROM z JOIN p USING (l_returnflag)""")
 def regression_p(spark, d):
     rows = table(spark, d, "lineitem").select("l_returnflag", F.col("l_discount").alias("x"), F.col("l_quantity").alias("y"))
-    return S.regression(rows, ["l_returnflag"], "x", "y")
+    out = S.regression(rows, ["l_returnflag"], "x", "y")
+    return out.select("l_returnflag", "n", *[F.round(c, 9 if c == "r" else 6).alias(c) for c in ("slope", "intercept", "r", "se", "p")])
 
 
 @query("TPR_pearson", "SELECT round(corr(l_quantity, l_extendedprice), 9) AS r FROM lineitem WHERE isfinite(l_quantity) AND isfinite(l_extendedprice)")
@@ -193,7 +211,7 @@ def spearman(spark, d):
 
 @query("W6_average_rank", f"SELECT p_partkey, {AVG_RANK.format(c='p_size')} AS avg_rank FROM part")
 def average_rank(spark, d):
-    return table(spark, d, "part").select("p_partkey", R.average_rank(["p_type"], "p_size").alias("avg_rank"))
+    return R.with_average_rank(table(spark, d, "part"), ["p_type"], "p_size", "avg_rank").select("p_partkey", "avg_rank")
 
 
 LD = HAP + """, ct AS (SELECT a.population, a.variant AS v1, b.variant AS v2, count(*) AS n, CAST(sum(a.allele) AS BIGINT) AS x, CAST(sum(b.allele) AS BIGINT) AS y, CAST(sum(a.allele * b.allele) AS BIGINT) AS xy

@@ -82,6 +82,10 @@ def test_sweep_equals_binned(spark, cases):
     points = spark.range(80).select(F.col("id").alias("event_id"), F.col("id").alias("pos"))
     swept = {(r.pos, r.elem_id) for r in iv.locate_in_disjoint(points, merged).collect() if r.elem_id is not None}
     assert swept == {(r.pos, r.elem_id) for r in iv.hits(points, merged, 8).collect()}
+    nowhere = points.unionByName(spark.createDataFrame([(90, None), (91, -7)], "event_id long, pos long"))
+    for width in (1, 3, 8, 1000):
+        found = iv.locate_in_disjoint(nowhere, merged, bin_width=width).collect()
+        assert len(found) == 82 and {(r.pos, r.elem_id) for r in found if r.elem_id is not None} == swept
     assert iv.locate_in_disjoint(points, merged, pos_base=1).where("elem_id IS NOT NULL").count() == len(swept)
 
 

@@ -64,6 +64,37 @@ def test_ranking_nulls_and_depths(spark):
     assert [tuple(r) for r in cells.collect()] == [("r", 1, 1, 0, 0, 2)]
 
 
+def test_ranks_by_buckets(spark):
+    """Ranks put together from buckets, on ties, zeros, both signs, extreme values and a null group."""
+    rng = random.Random(9)
+    values = [rng.choice([0.0, -0.0, 1e-300, 5e-324, 1e300, float("inf"), rng.uniform(-2, 2), round(rng.uniform(-2, 2), 1), float(rng.randint(-5, 5))]) for _ in range(400)]
+    data = [(rng.choice(["a", "b", None]), i, None if i % 37 == 0 else v * rng.choice([1, -1])) for i, v in enumerate(values)]
+    frame = spark.createDataFrame(data, "g string, id int, v double")
+    own = lambda g: [(i, v) for h, i, v in data if h == g and v is not None]
+    ranks = {r.id: r["rank"] for r in R.ranked_whole(frame, ["g"], "v", "id").collect()}
+    shares = {r.id: r.percentile for r in R.percentile_of(frame, ["g"], "v").collect()}
+    means = {r.id: r.m for r in R.with_average_rank(frame.where("v IS NOT NULL"), ["g"], "v", "m").collect()}
+    for g in ("a", "b", None):
+        rows = own(g)
+        for n, (i, v) in enumerate(sorted(rows, key=lambda r: (-abs(r[1]), r[0])), 1):
+            assert ranks[i] == n
+            assert abs(shares[i] - 100 * sum(abs(w) < abs(v) for _, w in rows) / len(rows)) < 1e-9
+            assert means[i] == sum(w < v for _, w in rows) + (sum(w == v for _, w in rows) + 1) / 2
+    assert len(ranks) == len(shares) == len(means) == sum(v is not None for *_, v in data)
+    spread = spark.createDataFrame([(v,) for v in sorted(v * k for v in values for k in (1, -1))], "v double").coalesce(1).select(R.value_bucket(F.col("v"))).collect()
+    assert spread == sorted(spread)
+
+
+def test_top_tables_equal_two_by_two(spark):
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(rng.choice(["a", "b", None]), i, rng.choice([None, rng.uniform(-1, 1), 0.5]), rng.random() < 0.3) for i in range(120)], "g string, id int, v double, f boolean")
+    want = R.two_by_two(R.ranked(rows, ["g"], "v", "id"), ["g"], "f", (5, 20, 33)).collect()
+    got = R.top_tables(rows, ["g"], "v", "id", "f", (5, 20, 33)).collect()
+    key = lambda r: (str(r.g), r.depth)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len({key(r) for r in got}) == len(got)
+    assert R.top_tables(rows.limit(0), ["g"], "v", "id", "f").count() == 0
+
+
 def test_null_keys_are_equal_in_dedup(spark):
     d = spark.createDataFrame([(None, 1), (None, 2), ("x", 3)], "k string, id int")
     assert sorted(r.id for r in R.first_by(d, ["k"], ["id"]).collect()) == [1, 3]
