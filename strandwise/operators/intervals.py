@@ -42,18 +42,33 @@ def with_elem_id(merged: DataFrame, keys: list[str]) -> DataFrame:
     return merged.withColumn("elem_id", F.row_number().over(Window.partitionBy(*keys).orderBy("start", "end")) - 1)
 
 
-def support_regions(iv: DataFrame, keys: list[str], least: int, distinct_source: str | None = None) -> DataFrame:
+def with_depth(iv: DataFrame, keys: list[str], bin_width: int = 1 << 16) -> DataFrame:
+    """(keys, pos, d, depth): every start (d 1) and end (d -1) in order, ends first, with the depth after it.
+
+    A position's depth is the sum of the bins before its own plus a running sum in its bin, so a task sorts a bin.
+    """
+    edges = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))))
+    events = iv.select(*keys, edges.alias("e")).select(*keys, "e.pos", "e.d").withColumn("_bin", F.floor(F.col("pos") / bin_width))
+    before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = events.groupBy(*keys, "_bin").agg(F.sum("d").alias("_sum"))
+    bins = bins.select(*[F.col(c).alias(f"_key_{c}") for c in keys], F.col("_bin").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = F.col("_bin").eqNullSafe(F.col("_at"))
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy("pos", "d").rowsBetween(Window.unboundedPreceding, 0)
+    return events.join(bins, same).select(*keys, "pos", "d", (F.col("_before") + F.sum("d").over(inside)).alias("depth"))
+
+
+def support_regions(iv: DataFrame, keys: list[str], least: int, distinct_source: str | None = None, bin_width: int = 1 << 16) -> DataFrame:
     """Regions where at least `least` intervals overlap, by a sweep over +1 and -1 events.
 
     At one position ends come before starts, so touching intervals stay apart, even for least = 1, and
     zero-length ones give nothing. With distinct_source, each source is merged first and counts once.
+    Only the regions' own edges meet in one task a key.
     """
     if distinct_source:
-        iv = merge(iv, [*keys, distinct_source])
-    events = iv.where("end > start").select(*keys, F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.pos", "e.d")
-    order = Window.partitionBy(*keys).orderBy("pos", "d")
-    depth = events.withColumn("depth", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    depth = depth.withColumn("was", F.col("depth") - F.col("d"))
+        iv = merge(iv, [*keys, distinct_source], bin_width)
+    depth = with_depth(iv.where("end > start"), keys, bin_width).withColumn("was", F.col("depth") - F.col("d"))
     edges = depth.where(((F.col("was") < least) & (F.col("depth") >= least)) | ((F.col("was") >= least) & (F.col("depth") < least)))
     edges = edges.withColumn("end", F.lead("pos").over(Window.partitionBy(*keys).orderBy("pos", "d")))
     return edges.where(F.col("d") == 1).select(*keys, F.col("pos").alias("start"), "end")

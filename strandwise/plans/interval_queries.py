@@ -42,12 +42,7 @@ def support_distinct(spark, d):
 
 @query("W2_running_depth", f"WITH {REC}, {PK}, ev AS (SELECT set_id, start AS pos, 1 AS d FROM pk UNION ALL SELECT set_id, \"end\", -1 FROM pk), dp AS (SELECT set_id, sum(d) OVER (PARTITION BY set_id ORDER BY pos, d ROWS UNBOUNDED PRECEDING) AS depth FROM ev) SELECT set_id, CAST(max(depth) AS BIGINT) AS max_depth FROM dp GROUP BY set_id")
 def running_depth(spark, d):
-    from pyspark.sql import Window
-
-    p = peaks(spark, d)
-    events = p.selectExpr("set_id", "start AS pos", "1 AS d").union(p.selectExpr("set_id", "`end`", "-1"))
-    w = Window.partitionBy("set_id").orderBy("pos", "d").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("depth", F.sum("d").over(w)).groupBy("set_id").agg(F.max("depth").alias("max_depth"))
+    return iv.with_depth(peaks(spark, d), ["set_id"]).groupBy("set_id").agg(F.max("depth").alias("max_depth"))
 
 
 @query("J2_point_in_merged", f"WITH {MG} SELECT event_id, EXISTS (SELECT 1 FROM mg WHERE rec.pos >= mg.start AND rec.pos < mg.\"end\") AS in_peak FROM rec")

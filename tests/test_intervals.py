@@ -52,10 +52,10 @@ def test_merge(cases, width):
     assert by_set(iv.merge(frame, ["set_id"], width)) == {k: brute_merge(v) for k, v in sets.items()}
 
 
-@pytest.mark.parametrize("k", [1, 2, 3])
-def test_support(cases, k):
+@pytest.mark.parametrize("k,width", [(1, 1), (1, 1000), (2, 7), (3, 2), (3, 1000)])
+def test_support(cases, k, width):
     sets, frame = cases
-    assert by_set(iv.support_regions(frame, ["set_id"], k)) == {k_: r for k_, v in sets.items() if (r := brute_support(v, k))}
+    assert by_set(iv.support_regions(frame, ["set_id"], k, bin_width=width)) == {k_: r for k_, v in sets.items() if (r := brute_support(v, k))}
 
 
 def test_touching_merge_but_stay_split_by_depth(cases):
