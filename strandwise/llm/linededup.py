@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, materialize, pieces
 
-#: Lines with fewer words are matched exactly only: one edit of a very short line is another line.
+#: Default of min_words; lines with fewer words are matched exactly only: one edit of a very short line is another line.
 MIN_WORDS = 5
 
 
@@ -68,7 +68,7 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return short[i:] == long[i + 1 :] if len(short) < len(long) else short[i + 1 :] == long[i + 1 :]
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line_no, h1, h2, halves): a row for each line that has a word; white space is not compared."""
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("halves", pa.list_(pa.int64()))])
 
@@ -79,7 +79,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 for no, line in enumerate((text or "").encode().split(b"\n")):
                     if words := line.split():
                         h1, h2 = line_id(b" ".join(words))
-                        for n, v in zip(schema.names, (doc_id, no, h1, h2, halves(words) if len(words) >= MIN_WORDS else [])):
+                        for n, v in zip(schema.names, (doc_id, no, h1, h2, halves(words) if len(words) >= min_words else [])):
                             out[n].append(v)
                 if len(out["doc_id"]) > 20_000:
                     yield batch(schema, **out)
@@ -89,15 +89,18 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, line_no long, h1 long, h2 long, halves array<long>")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line_no, near): the lines that go. near: an earlier line is one edit away; else an exact repeat.
 
     Lines are ordered by doc_id (null first), then line number. A line's first occurrence stays unless an
     earlier line is within one word edit; its later occurrences always go. Rows that repeat a doc_id
-    count as the same place. Lines without a word are never removed.
+    count as the same place. Lines without a word are never removed. Lines of fewer than min_words words
+    (2 at least: all lines of one word are one edit apart) are compared exactly only.
     """
+    if min_words < 2:
+        raise ValueError("min_words must be 2 or more")
     place = F.struct("doc_id", "line_no")
-    occ = materialize(occurrences(docs), "lines")
+    occ = materialize(occurrences(docs, min_words), "lines")
     lines = materialize(occ.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "distinct-lines")
     keys = lines.select("h1", "h2", "first", F.explode("halves").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -167,13 +170,13 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("first.doc_id", "first.line_no", "line", "near_line").mapInArrow(run, "doc_id long, line_no long")
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines (with a word), n_exact, n_near, removed (line numbers from 0, ascending).
 
     One row per document row; null or empty texts have no lines. An empty table gives no rows; extra
     columns are ignored.
     """
-    gone = removed_lines(docs).distinct().groupBy("doc_id").agg(F.sum((~F.col("near")).cast("long")).alias("n_exact"), F.sum(F.col("near").cast("long")).alias("n_near"), F.array_sort(F.collect_list("line_no")).alias("removed"))
+    gone = removed_lines(docs, min_words).distinct().groupBy("doc_id").agg(F.sum((~F.col("near")).cast("long")).alias("n_exact"), F.sum(F.col("near").cast("long")).alias("n_near"), F.array_sort(F.collect_list("line_no")).alias("removed"))
     gone = gone.withColumnRenamed("doc_id", "_doc")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))).cast("long").alias("n_lines"))
     out = base.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")

@@ -277,7 +277,8 @@ def distance_at_most_one(a, b):
     return d(len(a), len(b)) <= 1
 
 
-def test_line_dedup_against_brute_force(make):
+@pytest.mark.parametrize("least", [2, 3, 5])
+def test_line_dedup_against_brute_force(make, least):
     rng = random.Random(6)
     base = [[rng.choice("abcd") for _ in range(rng.randint(1, 9))] for _ in range(12)]
     texts = []
@@ -295,10 +296,10 @@ def test_line_dedup_against_brute_force(make):
     for d, n, w in order:
         first.setdefault(w, (d, n))
     for d, n, w in order:
-        near = len(w) >= 5 and any(len(x) >= 5 and first[x] < first[w] and distance_at_most_one(x, w) for x in first if x != w)
+        near = len(w) >= least and any(len(x) >= least and first[x] < first[w] and distance_at_most_one(x, w) for x in first if x != w)
         if near or first[w] != (d, n):
             want[d].append(n)
-    got = linededup.line_dedup(make(texts))
+    got = linededup.line_dedup(make(texts), least)
     assert {r.doc_id: list(r.removed) for r in got.collect()} == want
     kept = {r.doc_id: r.text for r in linededup.drop_lines(make(texts), got).collect()}
     assert all(kept[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]) for d, t in enumerate(texts))
