@@ -64,4 +64,53 @@ SELECT doc_id, count(occ.line) AS n_lines, count(*) FILTER (NOT near) AS n_exact
 FROM (SELECT doc_id FROM documents) d LEFT JOIN occ USING (doc_id) LEFT JOIN g USING (doc_id, line_no) GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op2_chat_formatting": OP2, "op8_quality_rules": OP8, "op10_line_dedup": OP10}
+
+def _add(weight: str, cost: str, label: str) -> str:
+    """A weight is nine digits of cost, then two characters an edit: its initial and the role that it writes."""
+    return f"lpad(CAST(CAST(left({weight}, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || substr({weight}, 10) || '{label}'"
+
+
+def _read(weight: str, initial: str) -> str:
+    return f"CASE WHEN must THEN NULL WHEN initial = '{initial}' THEN {_add(weight, 'extra', 'K' + initial)} ELSE {_add(weight, '3 + extra', 'R' + initial)} END"
+
+
+OP11 = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+k AS (SELECT *, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS kind FROM c),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n FROM d),
+s AS (SELECT *, left(role, 1) AS initial, coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal, NOT regexp_matches(text, '[^ 	-]') AS blank,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-]*$') AS short FROM o),
+f AS (SELECT conv_id, turn, role, text, n, initial, illegal, blank, NOT blank AND again AS duplicate, NOT blank AND NOT again AND short AS truncated, blank OR again AS must, CASE WHEN NOT blank AND NOT again AND short THEN 3 ELSE 0 END AS extra FROM s),
+t AS (SELECT conv_id, count(*) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+  count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY conv_id),
+r AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, '000000000' AS w0, CAST(NULL AS VARCHAR) AS w1, CAST(NULL AS VARCHAR) AS w2, CAST(NULL AS VARCHAR) AS w3 FROM t
+  UNION ALL
+  SELECT conv_id, n, {_add("w0", "4", "D-")}, least({_add("w1", "4", "D-")}, CASE WHEN initial = 's' AND NOT must THEN {_add("w0", "extra", "Ks")} END),
+    least({_add("i2", "4", "D-")}, {_read("w0", "u")}, {_read("w1", "u")}, {_read("i3", "u")}), least({_add("i3", "4", "D-")}, {_read("i2", "a")})
+  FROM (SELECT f.*, w0, w1, i2, least(w3, {_add("i2", "3", "Ia")}) AS i3 FROM (SELECT *, least(w2, {_add("w0", "3", "Iu")}, {_add("w1", "3", "Iu")}, {_add("w3", "3", "Iu")}) AS i2 FROM r) q JOIN f ON f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.n = q.n + 1)),
+e AS (SELECT t.*, least(w0, w3, {_add(f"least(w2, {_add('w1', '3', 'Iu')}, {_add('w0', '3', 'Iu')})", "3", "Ia")}) AS best FROM t JOIN r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.n = t.n),
+x AS (SELECT conv_id, p, substr(best, 8 + 2 * p, 1) AS label, substr(best, 9 + 2 * p, 1) AS initial FROM (SELECT conv_id, best, unnest(range(1, (length(best) - 9) // 2 + 1)) AS p FROM e)),
+y AS (SELECT *, count(*) FILTER (label <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS n FROM x),
+z AS (SELECT y.conv_id, string_agg(label, '' ORDER BY p) AS audit, string_agg(CASE WHEN label = 'K' THEN role WHEN y.initial = 'u' THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN label = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) FILTER (label <> 'D') AS repaired
+  FROM y LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM y.conv_id AND f.n = y.n GROUP BY y.conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(CAST(left(best, 9) AS INT), 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS words FROM documents),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(words) AS n, unnest(words) AS term FROM d) GROUP BY ALL),
+g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(words)) AS BIGINT) AS terms FROM d WHERE len(words) > 0),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, g GROUP BY term),
+s AS (SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score FROM p JOIN i USING (term) JOIN w USING (term), g GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, r) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+ORACLE_SQL = {"op2_chat_formatting": OP2, "op8_quality_rules": OP8, "op10_line_dedup": OP10, "op11_conversation_repair": OP11, "op12_lexical_search": OP12}
