@@ -1,7 +1,8 @@
 """Linkage statistics of pairs of alleles from phased haplotypes, by sufficient statistics.
 
-Haplotypes are rows (population, hap, variant, allele) with allele 0, 1 or null (missing). A pair's counts
-are sums over a self-join on (population, hap), reduced map-side; no haplotype matrix is built.
+Haplotypes are rows (population, hap, variant, allele) with a whole number hap and allele 0, 1 or null (missing).
+They are packed 64 to a row: one long holds the ALT bits of a variant, another the bits of those that are not
+missing. A pair's counts are bit counts of ANDs, so a self-join has a row for 64 haplotypes of a pair.
 """
 
 from __future__ import annotations
@@ -19,26 +20,48 @@ def genotype_alleles(gt: Column, collapse: bool = False) -> Column:
     return F.transform(alleles, lambda a: F.when(a > 0, 1).otherwise(a)) if collapse else alleles
 
 
+def packed(haps: DataFrame) -> DataFrame:
+    """(population, variant, word, alt, known): 64 haplotypes a row, haplotype h at bit h mod 64 of word floor(h / 64).
+
+    A repeated row of a haplotype and variant counts once; the ALT of two that differ wins. Numbers without gaps
+    fill the words best; others work, too. A null population is none and left out, as in a join.
+    """
+    bit = F.expr("shiftleft(1L, CAST(pmod(hap, 64) AS INT))")
+    zero = F.lit(0).cast("long")
+    return haps.where("population IS NOT NULL").groupBy("population", "variant", F.floor(F.col("hap") / 64).alias("word")).agg(
+        F.bit_or(F.when(F.col("allele") == 1, bit).otherwise(zero)).alias("alt"), F.bit_or(F.when(F.col("allele").isNotNull(), bit).otherwise(zero)).alias("known")
+    )
+
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    a = packed(left).select("population", "word", F.col("variant").alias("v1"), F.col("alt").alias("_x"), F.col("known").alias("_kx"))
+    b = packed(right).select("population", "word", F.col("variant").alias("v2"), F.col("alt").alias("_y"), F.col("known").alias("_ky"))
+    return a.join(b, ["population", "word"]).where("v1 <> v2")
+
+
+def _counted(pairs: DataFrame, ok: Column) -> DataFrame:
+    """Bit counts of each pair under the mask ok, summed over words."""
+    total = lambda mask: F.sum(F.bit_count(mask).cast("long"))
+    both = F.col("_x").bitwiseAND(F.col("_y"))
+    counts = {"n": ok, "x": ok.bitwiseAND(F.col("_x")), "y": ok.bitwiseAND(F.col("_y")), "xy": ok.bitwiseAND(both)}
+    return pairs.groupBy("population", "v1", "v2").agg(*[total(mask).alias(c) for c, mask in counts.items()])
+
+
 def pair_counts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(population, v1, v2, n, x, y, xy): pairwise-complete haplotypes, ALT counts, and joint ALT count."""
-    a = left.where("allele IS NOT NULL").select("population", "hap", F.col("variant").alias("v1"), F.col("allele").alias("_x"))
-    b = right.where("allele IS NOT NULL").select("population", "hap", F.col("variant").alias("v2"), F.col("allele").alias("_y"))
-    both = a.join(b, ["population", "hap"]).where("v1 <> v2")
-    return both.groupBy("population", "v1", "v2").agg(F.count("*").alias("n"), F.sum("_x").alias("x"), F.sum("_y").alias("y"), F.sum(F.col("_x") * F.col("_y")).alias("xy"))
+    """(population, v1, v2, n, x, y, xy): pairwise-complete haplotypes, ALT counts, and joint ALT count; pairs without a complete haplotype are left out."""
+    return _counted(_pairs(left, right), F.col("_kx").bitwiseAND(F.col("_ky"))).where("n > 0")
 
 
 def listwise_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     """(population, v1, v2, n, x, y, xy) over haplotypes that are complete in v1 and in every variant of right; n may be 0.
 
-    Completeness is a count a haplotype, so no haplotype matrix is built. The number of partners is one broadcast row.
+    A word's complete haplotypes are the AND of its partners' masks, or none if a partner has no row there. The
+    number of partners is one broadcast row.
     """
     partners = right.agg(F.countDistinct("variant").alias("_all"))
-    whole = right.groupBy("population", "hap").agg(F.count("allele").alias("_k")).join(F.broadcast(partners)).select("population", "hap", (F.col("_k") == F.col("_all")).alias("_whole"))
-    a = left.select("population", "hap", F.col("variant").alias("v1"), F.col("allele").alias("_x")).join(whole, ["population", "hap"])
-    b = right.select("population", "hap", F.col("variant").alias("v2"), F.col("allele").alias("_y"))
-    both = a.join(b, ["population", "hap"]).where("v1 <> v2").withColumn("_ok", F.col("_whole") & F.col("_x").isNotNull())
-    total = lambda c: F.coalesce(F.sum(F.when(F.col("_ok"), c)), F.lit(0))
-    return both.groupBy("population", "v1", "v2").agg(F.count_if("_ok").alias("n"), total(F.col("_x")).alias("x"), total(F.col("_y")).alias("y"), total(F.col("_x") * F.col("_y")).alias("xy"))
+    masks = packed(right).groupBy("population", "word").agg(F.bit_and("known").alias("_mask"), F.count("*").alias("_k"))
+    whole = masks.join(F.broadcast(partners)).select("population", "word", F.when(F.col("_k") == F.col("_all"), F.col("_mask")).otherwise(F.lit(0).cast("long")).alias("_whole"))
+    return _counted(_pairs(left, right).join(whole, ["population", "word"]), F.col("_whole").bitwiseAND(F.col("_kx")))
 
 
 def linkage(counts: DataFrame, least: int = LEAST, small_n: str = "null") -> DataFrame:

@@ -1,17 +1,24 @@
 """Stratified subsampling and the shared-draw cluster bootstrap, with draws derived from md5.
 
 Copies of a record share score and flag, so a bootstrap replicate is a weighted ranking: a record weighs as
-often as its element was drawn. Replicates are rows of the few records that can reach the top; nothing loops
-on the driver.
+often as its element was drawn. The few records that can reach the top are sorted once a ranking; a replicate is
+a fold of its weights over them. Nothing loops on the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stats import log_or
 
+#: Replicates that a task folds at a time; with the sorted records, what a task holds.
+BLOCK = 250
+
 
 def hash_number(*parts: Column) -> Column:
     """A 32-bit number from md5 of the parts joined by '|'; DuckDB computes the same."""
@@ -57,37 +64,69 @@ def weighted_cells(rows: DataFrame, by: list[str], score: str, tie: str, flags:
     return top.groupBy(*by).agg(*cells)
 
 
-def bootstrap_cells(rows: DataFrame, made: DataFrame, seeds: list[int], replicates: int, ranking: str, score: str, tie: str, flags: list[str], depth: int) -> DataFrame:
-    """weighted_cells of every replicate and ranking without a copy of the records per replicate.
+def presorted(rows: DataFrame, ranking: str, score: str, tie: str, flags: list[str], depth: int) -> DataFrame:
+    """One row a ranking: `top`, the records that can reach the top of a replicate, best first, and `counts`, all its records by element and flag.
 
-    rows have elem: null for fixed records, which count once in every replicate; others count as often as made
-    (seed, rep, elem, k) draws their element. Rows without score are left out. Per replicate there are only
-    the records that can reach the top, namely the depth best fixed ones and those drawn ones that beat the
-    last of these (of one element depth at most); all others enter through counts by element.
+    rows have elem: null for fixed records, else the number of the record's element. The records that can reach the
+    top are the depth best fixed ones and those of elements that beat the last of these, depth an element at most;
+    so a row is bounded by depth times the elements, however many records there are.
     """
     size = F.abs(F.col(score))
-    rows = rows.where(F.col(score).isNotNull()).select(ranking, tie, size.alias("_size"), "elem", *flags)
-    best = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_size"), F.col(tie)))).where(F.col("_n") <= depth)
-    sums = lambda k: [F.sum(F.when(c, k).otherwise(0)).alias(f"{f}_{n}") for f in flags for n, c in (("in", F.col(f)), ("out", ~F.col(f)))]
-    counts = rows.groupBy(ranking, "elem").agg(*sums(F.lit(1)))
-    names = [f"{f}_{n}" for f in flags for n in ("in", "out")]
-    fixed = replicated(counts.where("elem IS NULL").drop("elem"), seeds, replicates)
-    by_draw = counts.join(made, "elem").select(ranking, *[(F.col(n) * F.col("k")).alias(n) for n in names], "seed", "rep")
-    by = ["seed", "rep", ranking]
-    totals = fixed.unionByName(by_draw).groupBy(*by).agg(*[F.sum(n).alias(n) for n in names])
-    fixed_top = best(rows.where("elem IS NULL"), [ranking])
-    bar = fixed_top.where(F.col("_n") == depth).select(ranking, F.col("_size").alias("_bar"), F.col(tie).alias("_bar_tie"))
-    beats = F.col("_bar").isNull() | (F.col("_size") > F.col("_bar")) | ((F.col("_size") == F.col("_bar")) & (F.col(tie) < F.col("_bar_tie")))
-    live = best(rows.where("elem IS NOT NULL").join(bar, ranking, "left").where(beats).drop("_bar", "_bar_tie"), [ranking, "elem"]).drop("_n")
-    pool = replicated(fixed_top.drop("_n", "elem"), seeds, replicates).withColumn("k", F.lit(1).cast("long")).unionByName(live.join(made, "elem").drop("elem"))
-    order = Window.partitionBy(*by).orderBy(F.desc("_size"), F.col(tie))
-    before = F.coalesce(F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    top = pool.withColumn("_top", F.greatest(F.least(F.col("k"), F.lit(depth) - before), F.lit(0))).groupBy(*by).agg(*sums(F.col("_top")))
-    top = top.select(*by, *[F.col(n).alias(f"_{n}") for n in names])
-    cells = []
-    for f in flags:
-        cells += [F.col(f"_{f}_in").alias(f"{f}_a"), F.col(f"_{f}_out").alias(f"{f}_b"), (F.col(f"{f}_in") - F.col(f"_{f}_in")).alias(f"{f}_c"), (F.col(f"{f}_out") - F.col(f"_{f}_out")).alias(f"{f}_d")]
-    return totals.join(top, by).select(*by, *cells)
+    rows = rows.where(F.col(score).isNotNull()).select(F.col(ranking).alias("_ranking"), F.col(tie).alias("_tie"), size.alias("_size"), F.col("elem").cast("long").alias("elem"), *flags)
+    order = lambda *by: Window.partitionBy(*by).orderBy(F.desc("_size"), F.col("_tie"))
+    best = lambda df, *by: df.withColumn("_n", F.row_number().over(order(*by))).where(F.col("_n") <= depth)
+    fixed = best(rows.where("elem IS NULL"), "_ranking")
+    bar = fixed.where(F.col("_n") == depth).select("_ranking", F.col("_size").alias("_bar"), F.col("_tie").alias("_bar_tie"))
+    beats = F.col("_bar").isNull() | (F.col("_size") > F.col("_bar")) | ((F.col("_size") == F.col("_bar")) & (F.col("_tie") < F.col("_bar_tie")))
+    live = best(rows.where("elem IS NOT NULL").join(bar, "_ranking", "left").where(beats).drop("_bar", "_bar_tie"), "_ranking", "elem")
+    elem = F.coalesce("elem", F.lit(-1).cast("long")).alias("elem")
+    one = F.struct((-F.col("_size")).alias("_key"), "_tie", elem, *flags)
+    tops = fixed.unionByName(live).groupBy("_ranking").agg(F.transform(F.array_sort(F.collect_list(one)), lambda r: F.struct(r["elem"].alias("elem"), *[r[f].alias(f) for f in flags])).alias("top"))
+    sums = rows.groupBy("_ranking", elem).agg(*[F.count_if(c).alias(f"{f}_{n}") for f in flags for n, c in (("in", F.col(f)), ("out", ~F.col(f)))])
+    counts = sums.groupBy("_ranking").agg(F.collect_list(F.struct("elem", *[f"{f}_{n}" for f in flags for n in ("in", "out")])).alias("counts"))
+    return counts.join(tops, "_ranking", "left").withColumnRenamed("_ranking", "ranking")
+
+
+def bootstrap_cells(rows: DataFrame, n_elements: int, seeds: list[int], replicates: int, ranking: str, score: str, tie: str, flags: list[str], depth: int) -> DataFrame:
+    """(seed, rep, ranking, the cells a b c d of each flag at depth) of every replicate, without a copy or a sort of the records per replicate.
+
+    rows have elem: null for fixed records, which count once in every replicate; others count as often as draws()
+    draws their element. Rows without score are left out. The rankings' sorted records travel as one row to each
+    block of replicates; draws are made there, once for all rankings, and folded over each as a matrix of weights.
+    """
+    one = F.struct("ranking", "top", "counts")
+    together = presorted(rows, ranking, score, tie, flags, depth).groupBy().agg(F.array_sort(F.collect_list(one)).alias("rankings"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(len(seeds) * -(-replicates // BLOCK) - 1)))
+    dealt = together.select("rankings", blocks.alias("block")).repartition(len(seeds) * -(-replicates // BLOCK), "block")
+    names = [f"{f}_{c}" for f in flags for c in "abcd"]
+    schema = pa.schema([("seed", pa.int64()), ("rep", pa.int64()), (ranking, pa.string()), *[(n, pa.int64()) for n in names]])
+
+    def run(batches):
+        for b in batches:
+            for rankings, block in zip(b.column(0), b.column(1).to_pylist()):
+                seed, first = seeds[block // -(-replicates // BLOCK)], block % -(-replicates // BLOCK) * BLOCK
+                reps = np.arange(first, min(replicates, first + BLOCK))
+                k = np.zeros((len(reps), n_elements + 1), dtype=np.int64)
+                # The last column is the weight of fixed records, whose element is -1.
+                k[:, -1] = 1
+                for row, rep in zip(k, reps):
+                    drawn = [int(hashlib.md5(f"{seed}|{rep}|{slot}".encode()).hexdigest()[:8], 16) % n_elements for slot in range(n_elements)]
+                    row[:-1] = np.bincount(drawn, minlength=n_elements) if drawn else 0
+                for r in (rankings.as_py() or []):
+                    elem = np.array([t["elem"] for t in r["top"] or []], dtype=np.int64)
+                    weight = k[:, elem]
+                    before = np.cumsum(weight, axis=1) - weight
+                    top = np.clip(depth - before, 0, weight)
+                    at = np.array([c["elem"] for c in r["counts"]], dtype=np.int64)
+                    cells = {}
+                    for f in flags:
+                        inside = np.array([t[f] for t in r["top"] or []], dtype=bool)
+                        cells[f"{f}_a"], cells[f"{f}_b"] = top[:, inside].sum(axis=1), top[:, ~inside].sum(axis=1)
+                        for cell, less, side in (("c", "a", "in"), ("d", "b", "out")):
+                            cells[f"{f}_{cell}"] = k[:, at] @ np.array([c[f"{f}_{side}"] for c in r["counts"]], dtype=np.int64) - cells[f"{f}_{less}"]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), seed)), pa.array(reps), pa.array([r["ranking"]] * len(reps), pa.string()), *[pa.array(cells[n], pa.int64()) for n in names]], schema=schema)
+
+    return dealt.mapInArrow(run, f"seed long, rep long, {ranking} string, " + ", ".join(f"{n} long" for n in names))
 
 
 def contrast_change(cells: DataFrame, by: list[str], reference: str, narrow: str, wide: str) -> DataFrame:

@@ -28,43 +28,172 @@ def sample_or(a: str = "a", b: str = "b", c: str = "c", d: str = "d") -> Column:
     return F.when(low > 0, top / low).when(top > 0, F.lit(float("inf")))
 
 
-def _support(a: int, b: int, c: int, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values that a can take with the margins fixed, and the log of their hypergeometric weights."""
-    row, col, n = a + b, a + c, a + b + c + d
-    x = np.arange(max(0, row + col - n), min(row, col) + 1)
-    lf = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))]) if n else np.zeros(1)
-    return x, lf[row] - lf[x] - lf[row - x] + lf[n - row] - lf[col - x] - lf[n - row - col + x]
+#: A walk over weights ends where the rest is below this share of the sum; logarithms below this are 0 as doubles.
+NEGLIGIBLE, UNDERFLOW = 1e-19, -746.0
+#: Most neighbours taken at a time, so that memory is bounded whatever the support's width.
+STRETCH = 1 << 20
 
 
-def _weights(x: np.ndarray, log_w: np.ndarray, log_psi: float) -> np.ndarray:
-    w = log_w + x * log_psi
-    w = np.exp(w - w.max())
-    return w / w.sum()
+class _Hypergeometric:
+    """Weights f(x) = C(row, x) C(n - row, col - x) psi^x of the first cell with the margins fixed.
 
+    A weight is known by its ratio to its neighbour's alone, multiplied outward from the mode; no factorial is
+    formed, so there is nothing of the size of the table, only the stretch of x whose weights count.
+    """
 
-def _solve(f, rising_target: float) -> float:
-    """The log odds ratio at which the increasing function f meets the target."""
-    lo, hi = -60.0, 60.0
+    def __init__(self, a: int, b: int, c: int, d: int):
+        self.row, self.col, self.rest = a + b, a + c, d - a
+        self.first, self.last = max(0, -self.rest), min(a + b, a + c)
+
+    def mode(self, psi: float) -> int:
+        q = psi * (self.row + self.col) + self.rest + 2
+        const = psi * self.row * self.col - self.rest - 1
+        x = 2 * const / (q + math.sqrt(max(0.0, q * q - 4 * (psi - 1) * const))) if const > 0 else -1.0
+        return min(self.last, max(self.first, math.floor(x) + 1))
+
+    def ratios(self, x: np.ndarray, up: bool, psi: float) -> np.ndarray:
+        """f(x + 1) / f(x) if up, else f(x - 1) / f(x)."""
+        if up:
+            return (self.row - x) * (self.col - x) / ((x + 1) * (self.rest + x + 1)) * psi
+        return x * (self.rest + x) / ((self.row - x + 1) * (self.col - x + 1)) / psi
+
+    def stretches(self, x0: int, up: bool, psi: float, size: int):
+        """Ratios from x0 outward in arrays of growing length, to the support's end."""
+        x, left = x0, self.last - x0 if up else x0 - self.first
+        while left > 0:
+            k = min(size, left)
+            xs = np.arange(x, x + k, dtype=float) if up else np.arange(x, x - k, -1, dtype=float)
+            yield self.ratios(xs, up, psi)
+            x, left, size = (x + k if up else x - k), left - k, min(2 * size, STRETCH)
+
+    def spread(self, x: int) -> int:
+        """About ten standard deviations of the weights near x."""
+        return 16 + int(10 / math.sqrt(1 / (x + 1) + 1 / (self.row - x + 1) + 1 / (self.col - x + 1) + 1 / (self.rest + x + 1)))
+
+    def outward(self, x0: int, up: bool, psi: float) -> np.ndarray:
+        """f(x0 + j) / f(x0), or downward, for j = 1, 2, .. while they count; x0 is at the mode or beyond it on that side."""
+        out, weight, total = [], 1.0, 1.0
+        for r in self.stretches(x0, up, psi, min(STRETCH, self.spread(x0))):
+            w = weight * np.cumprod(r)
+            out.append(w)
+            weight, total = float(w[-1]), total + float(w.sum())
+            if weight < NEGLIGIBLE * total:
+                break
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def profile(self, psi: float):
+        """(mode, weights above it, weights below it, their sum with the mode's own 1, mean, variance)."""
+        m = self.mode(psi)
+        up, down = self.outward(m, True, psi), self.outward(m, False, psi)
+        total = 1 + float(up.sum()) + float(down.sum())
+        ju, jd = np.arange(1, len(up) + 1), np.arange(1, len(down) + 1)
+        shift = (float(up @ ju) - float(down @ jd)) / total
+        square = (float(up @ (ju * ju.astype(float))) + float(down @ (jd * jd.astype(float)))) / total
+        return m, up, down, total, m + shift, square - shift * shift
+
+    def beyond(self, x: int, up: bool, psi: float, profile) -> tuple[float, float]:
+        """(sum, sum of |x - mode|) of the weights from x outward, over the mode's; x is not on the mode's other side."""
+        m, side = profile[0], profile[1] if up else profile[2]
+        j = abs(x - m)
+        if j == 0:
+            side, j = np.concatenate([[1.0], side]), 1
+            return float(side.sum()), float(side @ np.arange(len(side)))
+        if j <= len(side):
+            w = side[j - 1 :]
+            return float(w.sum()), float(w @ np.arange(j, j + len(w)))
+        log = self.log_weight(x, m, up, psi)
+        if log < UNDERFLOW:
+            return 0.0, 0.0
+        w = math.exp(log) * np.concatenate([[1.0], self.outward(x, up, psi)])
+        return float(w.sum()), float(w @ np.arange(j, j + len(w)))
+
+    def log_weight(self, x: int, m: int, up: bool, psi: float) -> float:
+        """log f(x) / f(m) on one side of the mode, given up once it is too small for a double."""
+        left, log = abs(x - m), 0.0
+        for r in self.stretches(m, up, psi, self.spread(m)):
+            log += float(np.log(r[:left]).sum())
+            left -= len(r)
+            if left <= 0 or log < UNDERFLOW:
+                break
+        return log
+
+    def first_at_most(self, bound: float, m: int, up: bool) -> int | None:
+        """The nearest x on one side of the mode with log f(x) / f(m) at most bound (psi 1), if the support has one."""
+        x, log = m, 0.0
+        for r in self.stretches(m, up, 1.0, self.spread(m)):
+            with np.errstate(divide="ignore"):
+                logs = log + np.cumsum(np.log(r))
+            j = int(np.searchsorted(-logs, -bound))
+            if j < len(r):
+                return x + (j + 1 if up else -j - 1)
+            x, log = (x + len(r) if up else x - len(r)), float(logs[-1])
+        return None
+
+
+def _solve(step, start: float) -> float:
+    """The root of a rising function by Newton's steps, halved where they leave the bracket. step(s): (value, slope)."""
+    lo, hi, s = -80.0, 80.0, start
     for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if f(mid) < rising_target else (lo, mid)
-    return (lo + hi) / 2
+        value, slope = step(s)
+        if value == 0:
+            return s
+        lo, hi = (s, hi) if value < 0 else (lo, s)
+        near = s - value / slope if slope > 0 else math.nan
+        near = near if lo < near < hi else (lo + hi) / 2
+        if abs(near - s) < 1e-13 * max(1.0, abs(s)):
+            return near
+        s = near
+    return s
 
 
 def conditional(a: int, b: int, c: int, d: int, alpha: float = 0.05) -> tuple[float, float, float, float, float]:
-    """(conditional odds ratio, CI low, CI high, p greater, p two-sided). Infinite where a is at the top of its support; NaN estimate for a single-point support."""
-    x, log_w = _support(a, b, c, d)
-    w = _weights(x, log_w, 0.0)
-    greater = float(w[x >= a].sum())
-    two = float(w[w <= w[x == a][0] * (1 + 1e-7)].sum())
-    if len(x) == 1:
+    """(conditional odds ratio, CI low, CI high, p greater, p two-sided). Infinite where a is at the top of its support; NaN estimate for a single-point support.
+
+    Time and memory follow the width of the weights that count (about twenty standard deviations), not the table.
+    """
+    h = _Hypergeometric(a, b, c, d)
+    if h.first == h.last:
         return math.nan, 0.0, math.inf, 1.0, 1.0
-    mean = lambda s: float((_weights(x, log_w, s) * x).sum())
-    upper = lambda s: float(_weights(x, log_w, s)[x >= a].sum())
-    lower = lambda s: -float(_weights(x, log_w, s)[x <= a].sum())
-    est = 0.0 if a == x[0] else math.inf if a == x[-1] else math.exp(_solve(mean, a))
-    low = 0.0 if a == x[0] else math.exp(_solve(upper, alpha / 2))
-    high = math.inf if a == x[-1] else math.exp(_solve(lower, -alpha / 2))
+    centre = h.profile(1.0)
+    m, total = centre[0], centre[3]
+
+    def share(x: int, up: bool, psi: float, p) -> tuple[float, float]:
+        """(P, mean) of the values from x upward, or downward, under psi."""
+        if (x >= p[0]) == up or x == p[0]:
+            s, away = h.beyond(x, up, psi, p)
+            return s / p[3], p[0] + (away if up else -away) / s if s else float(x)
+        s, away = h.beyond(x - 1 if up else x + 1, not up, psi, p)
+        rest = p[3] - s
+        return rest / p[3], p[0] + ((p[4] - p[0]) * p[3] - (-away if up else away)) / rest
+
+    greater = share(a, True, 1.0, centre)[0] if a > h.first else 1.0
+    up = a > m or (a == m and m == h.last)
+    log_a = h.log_weight(a, m, a >= m, 1.0) if a != m else 0.0
+    if log_a >= -1e-7:
+        two = 1.0
+    else:
+        other = h.first_at_most(log_a + 1e-7, m, not up)
+        two = (h.beyond(a, up, 1.0, centre)[0] + (h.beyond(other, not up, 1.0, centre)[0] if other is not None else 0.0)) / total
+    guess = math.log((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)))
+    wide = 1.96 * math.sqrt(sum(1 / (v + 0.5) for v in (a, b, c, d)))
+
+    def mean(s: float):
+        p = h.profile(math.exp(s))
+        return p[4] - a, p[5]
+
+    def tail(upper: bool):
+        def step(s: float):
+            p = h.profile(math.exp(s))
+            part, centre_of_part = share(a, upper, math.exp(s), p)
+            value = math.log(part / (alpha / 2)) if part > 0 else -750.0
+            slope = abs(centre_of_part - p[4])
+            return (value, slope) if upper else (-value, slope)
+
+        return step
+
+    est = 0.0 if a == h.first else math.inf if a == h.last else math.exp(_solve(mean, guess))
+    low = 0.0 if a == h.first else math.exp(_solve(tail(True), guess - wide))
+    high = math.inf if a == h.last else math.exp(_solve(tail(False), guess + wide))
     return est, low, high, min(1.0, greater), min(1.0, two)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import ranking as R
+from ..operators.quantiles import quantiles
 from ..sources.files import conserved
 from .roles import REC, records, table
 
@@ -203,18 +204,18 @@ def fraction(spark, d):
 
 @query("A6_median", "SELECT l_returnflag, median(l_extendedprice) AS median_price FROM lineitem GROUP BY 1")
 def median(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.median("l_extendedprice").alias("median_price"))
+    return quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"median_price": 0.5}).drop("n")
 
 
 @query("A7_quantile", "SELECT round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem")
 def quantile(spark, d):
-    return table(spark, d, "lineitem").agg(F.round(F.percentile("l_extendedprice", 0.95), 6).alias("p95"))
+    return quantiles(table(spark, d, "lineitem"), [], "l_extendedprice", {"p95": 0.95}).select(F.round("p95", 6).alias("p95"))
 
 
 @query("A8_percentile_pair", "SELECT round(quantile_cont(l_extendedprice, 0.025), 6) AS low, round(quantile_cont(l_extendedprice, 0.975), 6) AS high FROM lineitem")
 def percentile_pair(spark, d):
-    q = table(spark, d, "lineitem").agg(F.percentile("l_extendedprice", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return q.select(F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+    q = quantiles(table(spark, d, "lineitem"), [], "l_extendedprice", {"low": 0.025, "high": 0.975})
+    return q.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("A9_extremes", "SELECT o_orderstatus, max(o_totalprice) AS largest, min(o_totalprice) AS smallest FROM orders GROUP BY 1")
@@ -224,7 +225,7 @@ def extremes(spark, d):
 
 @query("A11_group_median", "SELECT p_type, median(p_retailprice) AS median_price FROM part GROUP BY 1")
 def group_median(spark, d):
-    return table(spark, d, "part").groupBy("p_type").agg(F.median("p_retailprice").alias("median_price"))
+    return quantiles(table(spark, d, "part"), ["p_type"], "p_retailprice", {"median_price": 0.5}).drop("n")
 
 
 @query("A12_group_size", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")
@@ -272,7 +273,9 @@ def pivot(spark, d):
 
 @query("A26_strata_with_check", f"WITH {REC} SELECT pos BETWEEN 200000 AND 1400000 AS in_gene, event_type = 'purchase' AS coding, count(*) AS n, median(af) AS median_af FROM rec GROUP BY ALL")
 def strata(spark, d):
-    return records(spark, d).groupBy(F.col("pos").between(200000, 1400000).alias("in_gene"), (F.col("event_type") == "purchase").alias("coding")).agg(F.count("*").alias("n"), F.median("af").alias("median_af"))
+    rows = records(spark, d).select(F.col("pos").between(200000, 1400000).alias("in_gene"), (F.col("event_type") == "purchase").alias("coding"), "af")
+    sizes, middles = rows.groupBy("in_gene", "coding").agg(F.count("*").alias("n")), quantiles(rows, ["in_gene", "coding"], "af", {"median_af": 0.5}).drop("n")
+    return sizes.join(middles, ["in_gene", "coding"])
 
 
 @query("A27_collect_list", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_nationkey) FILTER (n_nationkey > 3) AS names FROM nation GROUP BY 1")

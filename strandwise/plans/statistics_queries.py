@@ -9,6 +9,7 @@ from ..operators import linkage as L
 from ..operators import ranking as R
 from ..operators import resample as B
 from ..operators import stats as S
+from ..operators.quantiles import quantiles
 from .roles import BIN, HAP, HAPM, MG, REC, SC, elements, haplotypes, haplotypes_with_gaps, merged, merged_sql, records, scores, scores_wide, table
 
 QUERIES, ORACLE = {}, {}
@@ -130,7 +131,9 @@ def win_count(spark, d):
 @query("A10_distribution_summary", f"WITH {SC} SELECT ranking, count(*) AS n, round(median(abs(score)), 9) AS median, round(quantile_cont(abs(score), 0.95), 9) AS p95, max(abs(score)) AS largest, round(avg(CAST(abs(score) > 0.01 AS INTEGER)), 9) AS over FROM sc GROUP BY 1")
 def distribution(spark, d):
     s = scores(spark, d).withColumn("x", F.abs("score"))
-    return s.groupBy("ranking").agg(F.count("*").alias("n"), F.round(F.median("x"), 9).alias("median"), F.round(F.percentile("x", 0.95), 9).alias("p95"), F.max("x").alias("largest"), F.round(F.avg((F.col("x") > 0.01).cast("int")), 9).alias("over"))
+    sums = s.groupBy("ranking").agg(F.count("*").alias("n"), F.max("x").alias("largest"), F.round(F.avg((F.col("x") > 0.01).cast("int")), 9).alias("over"))
+    at = quantiles(s, ["ranking"], "x", {"median": 0.5, "p95": 0.95}).select("ranking", F.round("median", 9).alias("median"), F.round("p95", 9).alias("p95"))
+    return sums.join(at, "ranking")
 
 
 @query("W1_rank_by_abs", f"WITH {SC} SELECT ranking, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY ranking ORDER BY abs(score) DESC, event_id) AS rank FROM sc) WHERE rank <= 100")
@@ -355,8 +358,7 @@ def boot_deltas(spark, d, seeds, replicates):
     named = rows.where("narrow").select("start").distinct()
     named = named.withColumn("elem", F.row_number().over(Window.orderBy("start")) - 1)
     rows = rows.join(named.withColumn("narrow", F.lit(True)), ["start", "narrow"], "left").select("ranking", "event_id", "score", "wide", "narrow", "elem")
-    made = B.draws(spark, seeds, replicates, max(1, named.count()))
-    cells = B.bootstrap_cells(rows, made, seeds, replicates, "ranking", "score", "event_id", ["narrow", "wide"], 200)
+    cells = B.bootstrap_cells(rows, max(1, named.count()), seeds, replicates, "ranking", "score", "event_id", ["narrow", "wide"], 200)
     return B.contrast_change(cells, ["seed", "rep"], "score_1", "narrow", "wide")
 
 
@@ -378,10 +380,14 @@ def stability_grid(spark, d):
     return B.interval_summary(deltas, ["seed", "replicates", "comparator"])
 
 
-@query("B7_hash_draws", f"SELECT CAST(rep AS BIGINT) AS rep, CAST(slot AS BIGINT) AS slot, {MD5.format(x=chr(39) + '7|' + chr(39) + ' || rep || ' + chr(39) + '|' + chr(39) + ' || slot')} % 27 AS elem FROM range(0, 20) r(rep), range(0, 27) s(slot)")
+@query("B7_hash_draws", f"WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS elem, count(*) OVER () AS all_of_them FROM nation), d AS (SELECT rep, {MD5.format(x=chr(39) + '7|' + chr(39) + ' || rep || ' + chr(39) + '|' + chr(39) + ' || elem')} % all_of_them AS elem FROM n, range(0, 20) r(rep)) SELECT CAST(rep AS BIGINT) AS rep, n_name, count(*) AS k FROM d JOIN n USING (elem) GROUP BY ALL")
 def hash_draws(spark, d):
-    rows = spark.range(20).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(26).cast("long"))).alias("slot"))
-    return rows.select("rep", "slot", F.pmod(B.hash_number(F.lit("7"), F.col("rep").cast("string"), F.col("slot").cast("string")), F.lit(27)).alias("elem"))
+    """How often each nation is drawn in each of 20 resamples of all nations."""
+    from pyspark.sql import Window
+
+    nations = table(spark, d, "nation").select("n_name", (F.row_number().over(Window.orderBy("n_nationkey")) - 1).cast("long").alias("elem"))
+    made = B.draws(spark, [7], 20, nations.count())
+    return made.join(nations, "elem").select(F.col("rep").cast("long").alias("rep"), "n_name", "k")
 
 
 @query("B2_haplotype_bootstrap", f"""WITH {HAP}, w AS (SELECT hap, population, row_number() OVER (PARTITION BY population ORDER BY hap) - 1 AS i, count(*) OVER (PARTITION BY population) AS n FROM (SELECT DISTINCT population, hap FROM hap)),

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.intervals import overlaps
+from .blocks import read_lines
 
 POPULATION = "array<struct<id: string, ac: long, an: long>>"
 BLOCK = f"struct<ac: long, an: long, populations: {POPULATION}>"
@@ -49,10 +50,17 @@ def flatten_region(variants: DataFrame, population: str, gene: tuple[int, int],
     )
 
 
-def read_bed(spark: SparkSession, paths: str | list[str], chrom: str | None = None, locus: tuple[int, int] | None = None, inclusive: bool = False) -> DataFrame:
-    """(accession, chrom, start, end) of BED files, other columns unread, filtered to a chromosome and an overlapped locus."""
-    rows = spark.read.csv(paths, sep="\t", schema="chrom string, start long, end long", comment="#")
-    rows = rows.withColumn("accession", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
+def read_bed(spark: SparkSession, paths: str | list[str], chrom: str | None = None, locus: tuple[int, int] | None = None, inclusive: bool = False, blocks: bool = False) -> DataFrame:
+    """(accession, chrom, start, end) of BED files, other columns unread, filtered to a chromosome and an overlapped locus.
+
+    blocks: for block-compressed files, of which only the blocks that a tabix index names for the locus are opened;
+    accession is then null, and paths is one file or folder.
+    """
+    if blocks:
+        rows = read_lines(spark, paths, "bed").withColumn("accession", F.lit(None).cast("string"))
+    else:
+        rows = spark.read.csv(paths, sep="\t", schema="chrom string, start long, end long", comment="#")
+        rows = rows.withColumn("accession", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
     if chrom is not None:
         rows = rows.where(F.col("chrom") == chrom)
     if locus is not None:
@@ -78,14 +86,21 @@ def read_panel(spark: SparkSession, path: str, populations: list[str]) -> DataFr
     return spark.read.text(path).where("NOT startswith(value, 'sample')").select(words[0].alias("sample"), words[1].alias("population")).where(F.col("population").isin(populations))
 
 
-def read_vcf(spark: SparkSession, path: str, chrom: str | None = None, between: tuple[int, int] | None = None, biallelic: bool = True) -> DataFrame:
-    """(chrom, pos, ref, alts, sample, gt) of a VCF's records, long by sample; samples by column number from 0."""
-    fields = F.split("value", "\t")
-    rows = spark.read.text(path).where("NOT startswith(value, '#')").select(fields[0].alias("chrom"), fields[1].cast("long").alias("pos"), fields[3].alias("ref"), F.split(fields[4], ",").alias("alts"), fields.alias("f"))
+def read_vcf(spark: SparkSession, path: str, chrom: str | None = None, between: tuple[int, int] | None = None, biallelic: bool = True, blocks: bool = False) -> DataFrame:
+    """(chrom, pos, ref, alts, sample, gt) of a VCF's records, long by sample; samples by column number from 0.
+
+    blocks: for block-compressed files; of an indexed one, only the blocks that hold the region are opened.
+    """
+    fields = F.split("line", "\t")
+    if blocks:
+        rows = read_lines(spark, path, "vcf").select("chrom", "pos", "line")
+    else:
+        rows = spark.read.text(path).where("NOT startswith(value, '#')").withColumnRenamed("value", "line").select(fields[0].alias("chrom"), fields[1].cast("long").alias("pos"), "line")
     if chrom is not None:
         rows = rows.where(F.col("chrom") == chrom)
     if between is not None:
         rows = rows.where(F.col("pos").between(*between))
+    rows = rows.select("chrom", "pos", fields[3].alias("ref"), F.split(fields[4], ",").alias("alts"), fields.alias("f"))
     if biallelic:
         rows = rows.where(F.size("alts") == 1)
     return rows.select("chrom", "pos", "ref", "alts", F.posexplode(F.expr("slice(f, 10, size(f) - 9)")).alias("sample", "call")).withColumn("gt", F.split("call", ":")[0]).drop("call")
@@ -153,12 +168,32 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def provenance(spark: SparkSession, rules: dict[str, str]) -> DataFrame:
-    """A one-row document of the rules in force."""
-    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in rules.items()])
+def provenance(spark: SparkSession, rules: dict[str, str], counts: dict[str, int] | None = None) -> DataFrame:
+    """A one-row document of the rules in force and of the counts measured while the result was written."""
+    found = [F.struct(*[F.lit(v).cast("long").alias(k) for k, v in counts.items()]).alias("counts")] if counts else []
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in rules.items()], *found)
 
 
 def conserved(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row if the row counts differ, none if they agree."""
     a, b = before.agg(F.count("*").alias("expected")), after.agg(F.count("*").alias("found"))
     return a.crossJoin(b).where("expected <> found")
+
+
+class RowsLost(ValueError):
+    """A step that should keep every row has written another number than it read."""
+
+
+def write_conserved(df: DataFrame, step, write, allowed_loss: int = 0) -> dict[str, int]:
+    """write(step(df)), with the rows before and after the step counted in that same pass; {"expected", "found"}.
+
+    step: a function of a DataFrame that should keep rows. RowsLost is raised if it has lost more than allowed_loss or
+    made any. Counts are of whole tables, also where the step shuffles; a step that may skip its input (a limit) has no
+    defined count before.
+    """
+    before, after = Observation(), Observation()
+    write(step(df.observe(before, F.count(F.lit(1)).alias("n"))).observe(after, F.count(F.lit(1)).alias("n")))
+    counts = {"expected": before.get["n"], "found": after.get["n"]}
+    if not 0 <= counts["expected"] - counts["found"] <= allowed_loss:
+        raise RowsLost(f"{counts['expected']} rows before, {counts['found']} after")
+    return counts

@@ -1,5 +1,6 @@
 """Exact statistics by their defining equations, linkage, ranking and bootstrap rules."""
 
+import hashlib
 import math
 import random
 
@@ -13,23 +14,6 @@ from strandwise.operators import resample as B
 from strandwise.operators import stats as S
 
 
-@pytest.mark.parametrize("cells", [(8, 2, 1, 5), (3, 47, 100, 4000), (25, 175, 800, 9000), (5, 0, 3, 9), (0, 5, 4, 8), (1, 1, 1, 1)])
-def test_conditional_defining_equations(cells):
-    a = cells[0]
-    x, w = S._support(*cells)
-    est, low, high, greater, two = S.conditional(*cells)
-    if 0 < est < math.inf:
-        p = S._weights(x, w, math.log(est))
-        assert abs((p * x).sum() - a) < 1e-6
-        assert abs(S._weights(x, w, math.log(low))[x >= a].sum() - 0.025) < 1e-8
-        assert abs(S._weights(x, w, math.log(high))[x <= a].sum() - 0.025) < 1e-8
-    if a == x[0]:
-        assert est == 0 and low == 0
-    if a == x[-1]:
-        assert est == math.inf and high == math.inf
-    assert 0 < greater <= 1 and 0 < two <= 1
-
-
 def test_known_values():
     _, _, _, greater, two = S.conditional(3, 1, 1, 3)
     assert abs(greater - 17 / 70) < 1e-12 and abs(two - 34 / 70) < 1e-12
@@ -56,6 +40,27 @@ def test_linkage_against_numpy(spark):
     assert few.first().r2 is None
 
 
+def test_packed_counts_against_rows(spark):
+    """Words of 64, haplotype numbers with gaps and below zero, repeated rows, missing alleles, and pairs that never meet."""
+    rng = random.Random(12)
+    haps = [-70, -1, 0, 1, 62, 63, 64, 65, 127, 128, 500, 10**12]
+    data = [(p, h, v, rng.choice([0, 1, 1, None])) for p in ("a", "b") for h in haps for v in range(5) if rng.random() < 0.8]
+    data += [("a", -1, 7, 1), ("b", 0, 8, None), (None, 3, 0, 1)]
+    frame = spark.createDataFrame(data + data[:9], "population string, hap long, variant int, allele int")
+    at = {(p, h, v): x for p, h, v, x in data if p}
+    want = {}
+    for (p, h, v), x in at.items():
+        for w in (2, 3, 4, 7, 8):
+            y = at.get((p, h, w))
+            if v < 2 and x is not None and y is not None:
+                want.setdefault((p, v, w), []).append((x, y))
+    want = {k: (len(s), sum(x for x, _ in s), sum(y for _, y in s), sum(x * y for x, y in s)) for k, s in want.items()}
+    got = {(r.population, r.v1, r.v2): (r.n, r.x, r.y, r.xy) for r in L.pair_counts(frame.where("variant < 2"), frame.where("variant >= 2")).collect()}
+    assert got == want
+    words = L.packed(frame)
+    assert words.count() == len({(p, h // 64, v) for p, h, v in at}) < len(at) and {f.name: f.dataType.simpleString() for f in words.schema if f.name in ("alt", "known")} == {"alt": "bigint", "known": "bigint"}
+
+
 def test_ranking_nulls_and_depths(spark):
     s = spark.createDataFrame([("r", 1, 0.5), ("r", 2, -0.9), ("r", 3, None), ("r", 4, 0.5)], "ranking string, id int, score double")
     assert [x.id for x in R.ranked(s, ["ranking"], "score", "id").orderBy("rank").collect()] == [2, 1, 4]
@@ -127,7 +132,7 @@ def test_bootstrap_cells_against_copied_records(spark, n_fixed):
     times = {(r.seed, r.rep, r.elem): r.k for r in made.collect()}
     assert all(sum(times.get((s, r, e), 0) for e in range(6)) == 6 for s in (1, 2) for r in range(7))
     assert {k: n for k, n in times.items() if k[1] < 3} == {(r.seed, r.rep, r.elem): r.k for r in B.draws(spark, [1, 2], 3, 6).collect()}
-    got = B.bootstrap_cells(rows, made, [1, 2], 7, "ranking", "score", "id", ["f", "g"], 25).collect()
+    got = B.bootstrap_cells(rows, 6, [1, 2], 7, "ranking", "score", "id", ["f", "g"], 25).collect()
     assert len(got) == 28
     for r in got:
         copies = [(-abs(x[2]), x[1], x[3], x[4]) for x in data if x[0] == r.ranking and x[2] is not None for _ in range(1 if x[5] is None else times.get((r.seed, r.rep, x[5]), 0))]
@@ -137,6 +142,42 @@ def test_bootstrap_cells_against_copied_records(spark, n_fixed):
             assert [r[f"{name}_{c}"] for c in "abcd"] == [sum(top), len(top) - sum(top), sum(rest), len(rest) - sum(rest)]
 
 
+def test_stability_grid_against_copied_records(spark, small):
+    """The first and last replicates of every seed of the grid with all records copied out, and its intervals from all deltas."""
+    from strandwise.plans import statistics_queries as Q
+
+    rows = Q.boot_rows(spark, small).toPandas()
+    elements = sorted(rows.start[rows.narrow].unique())
+    number = {s: i for i, s in enumerate(elements)}
+    rows["elem"] = [number[s] if n else -1 for s, n in zip(rows.start, rows.narrow)]
+    rows = rows[rows.score.notna()].assign(size=lambda r: r.score.abs()).sort_values(["size", "event_id"], ascending=[False, True])
+    deltas = Q.boot_deltas(spark, small, Q.GRID_SEEDS, max(Q.GRID)).toPandas()
+    assert len(deltas) == 3 * 5000 * 6
+    known = {(r.seed, r.rep, r.comparator): r.delta for r in deltas.itertuples()}
+    for seed in Q.GRID_SEEDS:
+        for rep in (0, 1, 2499, 4999):
+            drawn = [int(hashlib.md5(f"{seed}|{rep}|{slot}".encode()).hexdigest()[:8], 16) % len(elements) for slot in range(len(elements))]
+            value = {}
+            for ranking, own in rows.groupby("ranking"):
+                times = np.array([1 if e < 0 else drawn.count(e) for e in own.elem])
+                top = np.arange(times.sum()) < 200
+                logs = []
+                for flag in (own.narrow, own.wide):
+                    f = np.repeat(flag.to_numpy(dtype=bool), times)
+                    a, b, c, d = (top & f).sum(), (top & ~f).sum(), (~top & f).sum(), (~top & ~f).sum()
+                    logs.append(math.log((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))))
+                value[ranking] = logs[0] - logs[1]
+            for ranking in value:
+                if ranking != "score_1":
+                    assert abs(known[seed, rep, ranking] - (value["score_1"] - value[ranking])) < 1e-9
+    grid = {(r.seed, r.replicates, r.comparator): r for r in Q.stability_grid(spark, small).collect()}
+    assert len(grid) == 3 * 3 * 6
+    for (seed, n, comparator), r in grid.items():
+        own = deltas[(deltas.seed == seed) & (deltas.comparator == comparator) & (deltas.rep < n)].delta
+        low, high = np.quantile(own, [0.025, 0.975])
+        assert abs(r.ci_low - low) < 1e-9 and abs(r.ci_high - high) < 1e-9 and r.excludes_zero == (low > 0 or high < 0) and r.n == n
+
+
 def test_whole_rankings_and_hits_against_brute_force(spark, small):
     from strandwise.plans import catalog, roles
 
