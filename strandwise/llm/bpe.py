@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import sys
+import uuid
 from array import array
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, pieces
 
-#: Pieces kept with their ids, and the bytes of the longest kept; a worker starts anew when there are so many.
+#: Pieces of a generation kept with their ids, and the bytes of the longest kept.
 KEPT, KEPT_BYTES = 500_000, 48
 #: A vocabulary is read by the driver and sent to each worker; larger files are an error, not a larger broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -34,16 +35,19 @@ def load_ranks(path: str, max_bytes: int = MAX_VOCABULARY_BYTES) -> dict[bytes,
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
+#: Key of a position that begins no pair.
+NONE = 1 << 62
+
+
 class PairTree:
     """Leftmost minimum over positions; a key is rank and position in one number, so that of equal ranks the first is least."""
 
-    NONE = 1 << 62
-
     def __init__(self, keys: list[int]):
-        self.size = 1 << max(0, (len(keys) - 1).bit_length())
-        self.node = [self.NONE] * self.size + keys + [self.NONE] * (self.size - len(keys))
-        for i in range(self.size - 1, 0, -1):
-            self.node[i] = min(self.node[2 * i], self.node[2 * i + 1])
+        self.size = size = 1 << (len(keys) - 1).bit_length()
+        self.node = node = [NONE] * size + keys + [NONE] * (size - len(keys))
+        for i in range(size - 1, 0, -1):
+            a, b = node[2 * i], node[2 * i + 1]
+            node[i] = a if a < b else b
 
     def least(self) -> int:
         return self.node[1]
@@ -52,12 +56,13 @@ class PairTree:
         node, i = self.node, self.size + at
         node[i] = key
         while i > 1:
-            a, b = node[i], node[i ^ 1]
+            other = node[i ^ 1]
+            if other < key:
+                key = other
             i >>= 1
-            low = a if a < b else b
-            if node[i] == low:
-                break
-            node[i] = low
+            if node[i] == key:
+                return
+            node[i] = key
 
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
@@ -65,27 +70,27 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
-    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    n, rank_of = len(piece), ranks.get
+    end, before = list(range(1, n + 2)), list(range(-1, n))
 
     def key(i: int) -> int:
         mid = end[i]
         if mid >= n or end[mid] - i > longest:
-            return PairTree.NONE
-        rank = ranks.get(piece[i : end[mid]])
-        return PairTree.NONE if rank is None else rank << 32 | i
+            return NONE
+        rank = rank_of(piece[i : end[mid]])
+        return NONE if rank is None else rank << 32 | i
 
-    tree = PairTree([key(i) for i in range(n)])
-    while (low := tree.least()) < PairTree.NONE:
+    tree = PairTree([NONE if (rank := rank_of(piece[i : i + 2])) is None else rank << 32 | i for i in range(n - 1)] + [NONE])
+    put = tree.put
+    while (low := tree.least()) < NONE:
         i = low & 0xFFFFFFFF
-        gone = end[i]
-        end[i] = end[gone]
-        if end[i] < n:
-            before[end[i]] = i
-        tree.put(gone, PairTree.NONE)
-        tree.put(i, key(i))
-        if before[i] >= 0:
-            tree.put(before[i], key(before[i]))
+        gone, left = end[i], before[i]
+        end[i] = after = end[gone]
+        before[after] = i
+        put(gone, NONE)
+        put(i, key(i))
+        if left >= 0:
+            put(left, key(left))
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -93,26 +98,44 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int
     return ids
 
 
-class Encoder:
-    """One worker's encoder: the split pattern, the ranks, and the ids of short pieces seen before."""
+class Encoder(dict):
+    """A worker's encoder: the split pattern, the ranks, and, as this dict, pieces with their packed ids.
+
+    What was seen is kept in two generations of KEPT pieces, so that memory is bounded and frequent pieces stay.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__()
         self.ranks, self.longest, self.split = ranks, max(map(len, ranks), default=0), regex.compile(pattern).findall
-        self.seen: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> array:
-        out, seen = array("I"), self.seen
-        for piece in self.split(text):
-            ids = seen.get(piece)
-            if ids is None:
-                raw = piece.encode()
-                ids = merge_bytes(raw, self.ranks, self.longest)
-                if len(raw) <= KEPT_BYTES:
-                    if len(seen) >= KEPT:
-                        seen.clear()
-                    seen[piece] = ids
-            out.extend(ids)
-        return out
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            ids = packed(array("I", merge_bytes(raw, self.ranks, self.longest)))
+            if len(raw) > KEPT_BYTES:
+                return ids
+        if len(self) >= KEPT:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, packed."""
+        return b"".join(map(self.__getitem__, self.split(text)))
+
+
+#: The encoder of the last vocabulary that this worker has used; tasks of one job share it.
+_LAST: dict[str, Encoder] = {}
+
+
+def worker_encoder(name: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Encoder(ranks, pattern)
+    return _LAST[name]
 
 
 def packed(ids: array) -> bytes:
@@ -137,13 +160,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     A null text is empty and has no ids; repeated rows stay, a null doc_id stays null, extra columns are left out; an
     empty table gives no rows. No shuffle: a row is encoded where it is read. Special tokens are ordinary text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared, name = docs.sparkSession.sparkContext.broadcast(ranks), uuid.uuid4().hex
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        encoder = Encoder(shared.value, pattern)
+        encode_text = worker_encoder(name, shared.value, pattern).encode
         for b in pieces(batches, 256):
-            yield batch(schema, doc_id=b.column(0), ids=[packed(encoder.encode(t.as_py() or "")) for t in b.column(1)])
+            yield batch(schema, doc_id=b.column(0), ids=[encode_text(t.as_py() or "") for t in b.column(1)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 

@@ -8,7 +8,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandwise.llm.bpe import Encoder, PairTree, bpe_digest, decode, encode, load_ranks, merge_bytes, packed, unpacked
+from strandwise.llm.bpe import NONE, Encoder, PairTree, bpe_digest, decode, encode, load_ranks, merge_bytes, unpacked
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RANKS = load_ranks(PATH)
@@ -25,7 +25,7 @@ def test_leftmost_minimum():
         for _ in range(100):
             assert tree.least() == min(keys)
             i = rng.randrange(n)
-            keys[i] = PairTree.NONE if rng.random() < 0.3 else rng.randint(0, 5) << 32 | i
+            keys[i] = NONE if rng.random() < 0.3 else rng.randint(0, 5) << 32 | i
             tree.put(i, keys[i])
 
 
@@ -33,19 +33,19 @@ def test_leftmost_minimum():
 @given(st.text())
 def test_any_text_as_the_library(text):
     text = text.encode("utf-8", "replace").decode()
-    assert list(OURS.encode(text)) == THEIRS.encode_ordinary(text)
+    assert list(unpacked(OURS.encode(text))) == THEIRS.encode_ordinary(text)
 
 
 def test_every_code_point_is_split_as_by_the_library():
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for at in range(0, len(points), 4096):
         text = "".join(f"a{p}b {p}1{p} " for p in points[at : at + 4096])
-        assert list(OURS.encode(text)) == THEIRS.encode_ordinary(text)
+        assert list(unpacked(OURS.encode(text))) == THEIRS.encode_ordinary(text)
 
 
 @pytest.mark.parametrize("piece", ["a" * 20_000, "é" * 5_000, "\n" * 7_000, "the" * 3_000, "=-" * 4_000, "9" * 3_001])
 def test_very_long_pieces(piece):
-    assert list(OURS.encode(piece)) == THEIRS.encode_ordinary(piece)
+    assert list(unpacked(OURS.encode(piece))) == THEIRS.encode_ordinary(piece)
 
 
 def test_a_piece_that_is_a_token_is_not_merged():
@@ -77,7 +77,13 @@ def test_round_trip_and_nothing(spark, awkward, nothing):
     want = [(r["doc_id"], (r["text"] or "").encode()) for r in awkward.collect()]
     assert sorted(map(str, [(r["doc_id"], bytes(r["decoded"])) for r in both.collect()])) == sorted(map(str, want))
     assert encode(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
-    assert list(unpacked(packed(OURS.encode("one two")))) == THEIRS.encode_ordinary("one two")
+    assert list(unpacked(OURS.encode("one two"))) == THEIRS.encode_ordinary("one two")
+
+
+def test_pieces_are_forgotten_in_generations(monkeypatch):
+    monkeypatch.setattr("strandwise.llm.bpe.KEPT", 3)
+    encoder, text = Encoder(RANKS, public_tokenizers.PATTERN), "one two three four two one zwei drei vier two " * 5
+    assert list(unpacked(encoder.encode(text))) == THEIRS.encode_ordinary(text) and len(encoder) <= 3 and len(encoder.older) <= 3
 
 
 def test_a_vocabulary_beyond_the_bound_is_an_error():
