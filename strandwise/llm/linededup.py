@@ -16,10 +16,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, pieces
+from .common import batch, broadcast_if_small, materialize, pieces
 
 #: Default of min_words; lines with fewer words are matched exactly only: one edit of a very short line is another line.
 MIN_WORDS = 5
@@ -68,125 +68,147 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return short[i:] == long[i + 1 :] if len(short) < len(long) else short[i + 1 :] == long[i + 1 :]
 
 
+#: Where a line stands. row is null but for rows whose doc_id has several texts: there it tells them apart.
+PLACE_FIELDS = ("doc_id", "row", "line_no")
+
+
+def place(prefix: str = "") -> Column:
+    return F.struct(*[F.col(prefix + c).alias(c) for c in PLACE_FIELDS])
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text) of docs; row is the hash of the text where a doc_id (null too) has several texts, else null."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    several = docs.select("doc_id", text_hash().alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
+    several = materialize(several.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_several")), "repeated-ids")
+    if not several.limit(1).count():
+        return docs.select("doc_id", F.lit(None).cast("long").alias("row"), "text")
+    marked = docs.join(broadcast_if_small(several, 500_000), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return marked.select("doc_id", F.when(F.col("_several"), text_hash()).alias("row"), "text")
+
+
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no, h1, h2, halves): a row for each line that has a word; white space is not compared."""
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("halves", pa.list_(pa.int64()))])
+    """(doc_id, row, line_no, h1, h2, halves): a row for each line that has a word; white space is not compared. docs: as told_apart gives them."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line_no", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("halves", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in pieces(batches):
             out = {n: [] for n in schema.names}
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, row, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 for no, line in enumerate((text or "").encode().split(b"\n")):
                     if words := line.split():
                         h1, h2 = line_id(b" ".join(words))
-                        for n, v in zip(schema.names, (doc_id, no, h1, h2, halves(words) if len(words) >= min_words else [])):
+                        for n, v in zip(schema.names, (doc_id, row, no, h1, h2, halves(words) if len(words) >= min_words else [])):
                             out[n].append(v)
                 if len(out["doc_id"]) > 20_000:
                     yield batch(schema, **out)
                     out = {n: [] for n in schema.names}
             yield batch(schema, **out)
 
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, line_no long, h1 long, h2 long, halves array<long>")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, line_no long, h1 long, h2 long, halves array<long>")
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no, near): the lines that go. near: an earlier line is one edit away; else an exact repeat.
+    """(doc_id, row, line_no, near): the lines that go. near: an earlier line is one edit away; else an exact repeat. docs: as told_apart gives them.
 
-    Lines are ordered by doc_id (null first), then line number. A line's first occurrence stays unless an
-    earlier line is within one word edit; its later occurrences always go. Rows that repeat a doc_id
-    count as the same place. Lines without a word are never removed. Lines of fewer than min_words words
-    (2 at least: all lines of one word are one edit apart) are compared exactly only.
+    Lines are ordered by doc_id (null first), then, where an id has several texts, by the text's hash, then by
+    line number. A line's first occurrence stays unless an earlier line is within one word edit; its later
+    occurrences always go. Rows of the same id and text are one document and lose the same lines. Lines without a word
+    are never removed. Lines of fewer than min_words words (2 at least: all lines of one word are one edit apart)
+    are compared exactly only.
     """
     if min_words < 2:
         raise ValueError("min_words must be 2 or more")
-    place = F.struct("doc_id", "line_no")
     occ = materialize(occurrences(docs, min_words), "lines")
-    lines = materialize(occ.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "distinct-lines")
+    lines = materialize(occ.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.first("halves").alias("halves")), "distinct-lines")
     keys = lines.select("h1", "h2", "first", F.explode("halves").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     chosen = keys.join(shared, "key", "left_semi").groupBy("h1", "h2").agg(F.first("first").alias("first"))
-    wanted = chosen.groupBy(F.col("first.doc_id").alias("_doc")).agg(F.collect_set(F.struct("first.line_no", "h1")).alias("_lines"))
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    texts = materialize(line_texts(held.select("doc_id", "text", "_lines")), "line-texts")
+    wanted = chosen.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.row").alias("_row")).agg(F.collect_set(F.struct("first.line_no", "h1")).alias("_lines"))
+    held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("row").eqNullSafe(F.col("_row")))
+    texts = materialize(line_texts(held.select("doc_id", "row", "text", "_lines")), "line-texts")
     rows = emitted(texts)
     own = F.col("kind") == OWN
     per = rows.groupBy("key").agg(F.min(F.when(own, F.col("first"))).alias("own_first"), F.min(F.when(~own, F.col("first"))).alias("rest_first"), F.count("*").alias("n"))
     met = rows.join(per.where("n > 1"), "key").withColumn("near", F.when(F.col("kind") == REST, F.col("own_first")).otherwise(F.col("rest_first")))
     near = met.where("near < first").groupBy("first").agg(F.min("near").alias("near"))
-    first = texts.select(F.struct("doc_id", "line_no").alias("first"), "line")
+    first = texts.select(place().alias("first"), "line")
     pairs = near.join(first, "first").join(first.select(F.col("first").alias("near"), F.col("line").alias("near_line")), "near")
     gone = materialize(verified(pairs), "near-lines")
-    last = lines.select("h1", "h2", "first").join(gone.select(F.struct("doc_id", "line_no").alias("first"), F.lit(True).alias("gone")), "first", "left")
-    out = occ.select("doc_id", "line_no", "h1", "h2").join(last, ["h1", "h2"])
-    return out.where((F.struct("doc_id", "line_no") > F.col("first")) | F.col("gone")).select("doc_id", "line_no", F.coalesce("gone", F.lit(False)).alias("near"))
+    last = lines.select("h1", "h2", "first").join(gone.select(place().alias("first"), F.lit(True).alias("gone")), "first", "left")
+    out = occ.select(*PLACE_FIELDS, "h1", "h2").join(last, ["h1", "h2"])
+    return out.where((place() > F.col("first")) | F.col("gone")).select(*PLACE_FIELDS, F.coalesce("gone", F.lit(False)).alias("near"))
 
 
 def line_texts(held: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("line", pa.binary())])
+    schema = pa.schema([*((n, pa.int64()) for n in PLACE_FIELDS), ("line", pa.binary())])
 
     def run(batches):
         for b in pieces(batches):
-            ids, nos, lines = [], [], []
-            for doc_id, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
+            out = {n: [] for n in schema.names}
+            for doc_id, row, text, wanted in zip(*(b.column(i).to_pylist() for i in range(4))):
                 parts = [b" ".join(x.split()) for x in (text or "").encode().split(b"\n")]
-                for no, h1 in ((x["line_no"], x["h1"]) for x in wanted):
-                    # A row that repeats the doc_id may hold another text.
-                    if no < len(parts) and line_id(parts[no])[0] == h1:
-                        ids.append(doc_id)
-                        nos.append(no)
-                        lines.append(parts[no])
-            yield batch(schema, doc_id=ids, line_no=nos, line=lines)
+                for no in (x["line_no"] for x in wanted):
+                    for n, v in zip(schema.names, (doc_id, row, no, parts[no])):
+                        out[n].append(v)
+            yield batch(schema, **out)
 
-    return held.mapInArrow(run, "doc_id long, line_no long, line binary")
+    return held.mapInArrow(run, "doc_id long, row long, line_no long, line binary")
 
 
 def emitted(texts: DataFrame) -> DataFrame:
-    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("line_no", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), *((n, pa.int64()) for n in PLACE_FIELDS)])
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 piece = b.slice(at, 512)
                 keys, kinds, sizes = [], [], []
-                for line in piece.column(2).to_pylist():
+                for line in piece.column(3).to_pylist():
                     k, o = variants(line.split(b" "))
                     keys += k
                     kinds += o
                     sizes.append(len(k))
-                take = np.repeat(np.arange(piece.num_rows), sizes)
-                yield batch(schema, key=keys, kind=kinds, doc_id=piece.column(0).take(pa.array(take)), line_no=piece.column(1).take(pa.array(take)))
+                take = pa.array(np.repeat(np.arange(piece.num_rows), sizes))
+                yield batch(schema, key=keys, kind=kinds, **{n: piece.column(i).take(take) for i, n in enumerate(PLACE_FIELDS)})
 
-    return texts.mapInArrow(run, "key long, kind int, doc_id long, line_no long").select("key", "kind", F.struct("doc_id", "line_no").alias("first"))
+    return texts.mapInArrow(run, "key long, kind int, doc_id long, row long, line_no long").select("key", "kind", place().alias("first"))
 
 
 def verified(pairs: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64())])
+    schema = pa.schema([(n, pa.int64()) for n in PLACE_FIELDS])
 
     def run(batches):
         for b in batches:
-            keep = [within_one(x.split(b" "), y.split(b" ")) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
+            keep = [within_one(x.split(b" "), y.split(b" ")) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays(b.columns[:3], schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("first.doc_id", "first.line_no", "line", "near_line").mapInArrow(run, "doc_id long, line_no long")
+    return pairs.select(*[f"first.{n}" for n in PLACE_FIELDS], "line", "near_line").mapInArrow(run, "doc_id long, row long, line_no long")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_lines (with a word), n_exact, n_near, removed (line numbers from 0, ascending).
+    """doc_id, n_lines (with a word), n_exact, n_near, removed (line numbers from 0, ascending), text_hash.
 
-    One row per document row; null or empty texts have no lines. An empty table gives no rows; extra
-    columns are ignored.
+    One row per document row; null or empty texts have no lines. Rows that share a doc_id but not the text are
+    documents of their own, told apart by text_hash. An empty table gives no rows; extra columns are ignored.
     """
-    gone = removed_lines(docs, min_words).distinct().groupBy("doc_id").agg(F.sum((~F.col("near")).cast("long")).alias("n_exact"), F.sum(F.col("near").cast("long")).alias("n_near"), F.array_sort(F.collect_list("line_no")).alias("removed"))
-    gone = gone.withColumnRenamed("doc_id", "_doc")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))).cast("long").alias("n_lines"))
-    out = base.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    rows = told_apart(docs)
+    gone = removed_lines(rows, min_words).distinct().groupBy("doc_id", "row").agg(F.sum((~F.col("near")).cast("long")).alias("n_exact"), F.sum(F.col("near").cast("long")).alias("n_near"), F.array_sort(F.collect_list("line_no")).alias("removed"))
+    gone = gone.withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
+    with_word = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
+    base = rows.select("doc_id", "row", F.size(with_word).cast("long").alias("n_lines"), text_hash().alias("text_hash"))
+    out = base.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("row").eqNullSafe(F.col("_row")), "left")
     none = F.expr("cast(array() AS array<bigint>)")
-    return out.select("doc_id", "n_lines", F.coalesce("n_exact", F.lit(0)).alias("n_exact"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("removed", none).alias("removed"))
+    return out.select("doc_id", "n_lines", F.coalesce("n_exact", F.lit(0)).alias("n_exact"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("removed", none).alias("removed"), "text_hash")
 
 
 def drop_lines(docs: DataFrame, deduped: DataFrame) -> DataFrame:
     """docs with the removed lines cut out of their texts (deduped: line_dedup's result); other columns as they are."""
-    marks = deduped.select(F.col("doc_id").alias("_doc"), "removed").groupBy("_doc").agg(F.first("removed").alias("_gone"))
+    marks = deduped.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.first("removed").alias("_gone"))
     cut = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(_gone, cast(i AS bigint))), '\\n')")
-    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    joined = docs.join(marks, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash")), "left")
     return joined.select(*[F.when(F.size("_gone") > 0, cut).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])

@@ -64,7 +64,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(read(spark, sf_dir, "documents")).withColumn("removed", F.array_join("removed", ","))
+    return line_dedup(read(spark, sf_dir, "documents")).drop("text_hash").withColumn("removed", F.array_join("removed", ","))
 
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
