@@ -2,8 +2,8 @@
 
 A line goes by one of four rules. Navigation: separators without a letter or digit between its words, mostly
 links, or one of several short lines in a row that do not end as sentences do (a menu). Punctuation: words
-full of symbols, shouting, or a long list of words in which no sentence ends. Boilerplate: a phrase of cookie,
-licence and subscription notices. Repeat: equal to an earlier line of the text. Letters, digits and sentence
+full of symbols, shouting, or a long list of words in which no sentence ends. Boilerplate: the sentences with a
+phrase of cookie, licence and subscription notices are at least half of the line, however long it is. Repeat: equal to an earlier line of the text. Letters, digits and sentence
 ends are those of Unicode and hold for all languages; the phrases are English, German, French and Spanish, so
 other languages' notices are only found by the other rules. Scripts without spaces between words have few
 words a line: the shares still hold, the lengths in words (min_words, list_words, menu) judge them too short.
@@ -62,6 +62,8 @@ SENTENCE_END = "[.!?…。！？؟।][\"'”’»)\\]]*$"
 LINE_END = "[.!?:;…。！？؟।][\"'”’»)\\]]*$"
 LINK = "^[(<\"']*([Hh][Tt][Tt][Pp][Ss]?://|[Ww][Ww][Ww]\\.)"
 SHOUT = "[!?]{2}$"
+STOP = "[.!?…。！？؟।]"
+_STOP = re.compile(STOP)
 _SYMBOL = re.compile(f"[{SYMBOLS}]")
 _SENTENCE_END, _LINE_END, _LINK, _SHOUT = map(re.compile, (SENTENCE_END, LINE_END, LINK, SHOUT))
 
@@ -79,6 +81,7 @@ class QualityRules:
     menu_lines: int = 5
     menu_words: int = 3
     list_words: int = 30
+    boilerplate_share: float = 0.5
     max_loss: float = 0.5
 
 
@@ -96,8 +99,10 @@ def line_fault(line: str, words: list[str], rules: QualityRules) -> str | None:
         return "punctuation"
     if n >= rules.list_words and not any(map(_SENTENCE_END.search, words)):
         return "punctuation"
-    if len(line) <= 400 and any(p in low for p in BOILERPLATE):
-        return "boilerplate"
+    if any(p in low for p in BOILERPLATE):
+        parts = _STOP.split(low)
+        if sum(len(x) for x in parts if any(p in x for p in BOILERPLATE)) >= rules.boilerplate_share * sum(map(len, parts)):
+            return "boilerplate"
     return None
 
 

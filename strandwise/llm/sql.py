@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BOILERPLATE, LINE_END, LINK, SENTENCE_END, SHOUT, QualityRules
+from .quality import BOILERPLATE, LINE_END, LINK, SENTENCE_END, SHOUT, STOP, QualityRules
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 ESCAPED = r"regexp_replace({x}, '<(\\*)\|', '<\1\\|', 'g')"
@@ -22,7 +22,8 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 _R = QualityRules()
 _quoted = lambda x: "'" + x.replace("'", "''") + "'"
-_PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
+_PHRASES = " OR ".join(f"contains(x, '{p}')" for p in BOILERPLATE)
+_PARTS = f"string_split_regex(lower(line), {_quoted(STOP)})"
 
 OP8 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -42,7 +43,7 @@ lf AS (SELECT r, again, list_sum(list_transform(lw, lambda x: length(x))) AS cha
     OR (len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > {_R.symbol_share} * len(lw) AND len(lw) >= 3)
     OR len(list_filter(lw, lambda x: regexp_matches(x, {_quoted(SHOUT)}))) > {_R.shout_share} * len(lw)
     OR (len(lw) >= {_R.list_words} AND len(list_filter(lw, lambda x: regexp_matches(x, {_quoted(SENTENCE_END)}))) = 0)
-    OR (length(line) <= 400 AND ({_PHRASES})) AS gone FROM lm),
+    OR (len(list_filter([lower(line)], lambda x: {_PHRASES})) > 0 AND list_sum(list_transform(list_filter({_PARTS}, lambda x: {_PHRASES}), lambda x: length(x))) >= {_R.boilerplate_share} * list_sum(list_transform({_PARTS}, lambda x: length(x)))) AS gone FROM lm),
 s AS (SELECT r, count(*) FILTER (again) AS n_dup_lines, count(*) FILTER (gone) AS n_lines_removed, CAST(coalesce(sum(chars) FILTER (gone), 0) AS BIGINT) AS lost_chars FROM lf GROUP BY r),
 f AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   n_words < {_R.min_words} OR 100 * coalesce(n_repeat_words, 0) > {_R.max_repeat_percent} * n_words AS base_failed, coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(lost_chars, 0) AS lost_chars
@@ -80,8 +81,10 @@ k AS (SELECT *, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGI
   lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS kind FROM c),
 d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE kind <> 0),
 o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n FROM d),
-s AS (SELECT *, left(role, 1) AS initial, coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal, NOT regexp_matches(text, '[^ 	-]') AS blank,
-  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-]*$') AS short FROM o),
+s AS (SELECT *, left(role, 1) AS initial, coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS short FROM o),
 f AS (SELECT conv_id, turn, role, text, n, initial, illegal, blank, NOT blank AND again AS duplicate, NOT blank AND NOT again AND short AS truncated, blank OR again AS must, CASE WHEN NOT blank AND NOT again AND short THEN 3 ELSE 0 END AS extra FROM s),
 t AS (SELECT conv_id, count(*) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
   count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY conv_id),
