@@ -43,14 +43,15 @@ CACHE = 500_000
 
 @dataclass(frozen=True)
 class DecontamSpec:
-    """window: words a window; least_literal: words in it that are no placeholder (plain windows: any); an item is found if hits of a consistent alignment reach min_windows or share of its windows, whichever is less. Items of fewer than least_words words are searched as plain words only. The benchmark's vocabulary and window hashes are sent to the executors only up to max_broadcast of them."""
+    """window: words a window; least_literal: words in it that are no placeholder (plain windows: any); an item is found if hits of a consistent alignment reach min_windows or share of its windows, whichever is less. Items of fewer than least_words words are searched as plain words only, and count only as a whole sentence or line. The benchmark's vocabulary and window hashes are sent to the executors only up to broadcast_bytes, its windows' rows up to broadcast_rows."""
 
     window: int = 8
     least_literal: int = 5
     least_words: int = 5
     min_windows: int = 6
     share: float = 0.5
-    max_broadcast: int = 2_000_000
+    broadcast_bytes: int = 64 << 20
+    broadcast_rows: int = 100_000
 
 
 class Words(dict):
@@ -91,15 +92,15 @@ class Words(dict):
             return OTHER
         return max(8, xxhash.xxh3_64_intdigest(low.encode()))
 
-    def forms(self, text: str) -> tuple[list[np.ndarray], np.ndarray]:
-        """(hash of each word in each of FORMS, each word's place in the text's words)."""
+    def forms(self, text: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(hash of each word in each of FORMS, each word's place in the text's words, whether it begins a sentence or line)."""
         words = text.replace("\n", f" {LINE} ").split()
         if len(self) > CACHE:
             self.clear()
             self.rows = 1
         rows = self.table_rows(list(map(self.__getitem__, words)))
         if not len(rows):
-            return [np.empty(0, np.uint64)] * len(FORMS), np.empty(0, np.int64)
+            return [np.empty(0, np.uint64)] * len(FORMS), np.empty(0, np.int64), np.empty(0, bool)
         starts = np.concatenate([[True], rows[:-1, 2] > 0])
         keep = rows[:, 4] == 0
         kinds, nameless, plain = np.where(starts, rows[:, 0], rows[:, 1])[keep], rows[keep, 0], rows[keep, 5]
@@ -108,7 +109,7 @@ class Words(dict):
         unit = after & ((what & np.uint64(1)) > 0)
         kinds[unit & (kinds != NUM)] = UNIT
         nameless[unit & (nameless != NUM)] = UNIT
-        return [kinds, nameless, plain], np.flatnonzero(keep)
+        return [kinds, nameless, plain], np.flatnonzero(keep), starts[keep]
 
     def table_rows(self, at: list[int]) -> np.ndarray:
         return self.table[np.array(at, np.int64)] if at else self.table[:0]
@@ -158,7 +159,8 @@ def window_rows(texts: DataFrame, spec: DecontamSpec, sizes: list[int] | None, s
         for b in pieces(batches):
             out = {n: [] for n in SCHEMA.names}
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                forms, places = cache.forms(text or "")
+                forms, places, begins = cache.forms(text or "")
+                begins = np.append(begins, True)
                 n_words = len(places)
                 words, counted = None, [sums(kinds) for kinds in forms]
                 for size in ([min(spec.window, n_words)] if n_words else []) if sizes is None else sizes:
@@ -166,6 +168,9 @@ def window_rows(texts: DataFrame, spec: DecontamSpec, sizes: list[int] | None, s
                         if form != PLAIN and size < spec.least_words:
                             continue
                         at, h = windows(kinds, size, 0 if form == PLAIN else spec.least_literal, form, counted[form])
+                        if size < spec.least_words:
+                            whole = begins[at] & begins[at + size]
+                            at, h = at[whole], h[whole]
                         total = len(at)
                         if known is not None and len(at):
                             hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
@@ -199,19 +204,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, spec: DecontamSpec = Dec
     n_hits and n_changed (slots whose value differs: above 0 the question was re-parameterised) are of the
     best alignment. docs: doc_id, text; benchmark: item_id, text. Null or empty texts match nothing; rows
     that repeat a doc_id are reported once; a null doc_id is reported as null. Items shorter than a window
-    are one window of their own length; items without a word match nothing. Extra columns are ignored; empty tables give no rows.
+    are one window of their own length; one of under least_words words counts only where it begins and ends with a
+    sentence or line, as single words stand anywhere; items without a word match nothing. Extra columns are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
     items = materialize(window_rows(benchmark.select(F.col("item_id").cast("long").alias("id"), "text"), spec, None), "bench-windows")
     words = materialize(vocabulary(benchmark), "bench-words")
     sizes = materialize(benchmark_sizes(benchmark, spec), "bench-sizes").distinct().toPandas()["size"].tolist()
     shared = None
-    if items.count() <= spec.max_broadcast and words.count() <= spec.max_broadcast:
+    if 8 * items.count() + (words.agg(F.sum(F.octet_length("word") + 60)).first()[0] or 0) <= spec.broadcast_bytes:
         hashes = np.sort(np.array([r.hash for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64))
         shared = spark.sparkContext.broadcast((frozenset(r.word for r in words.collect()), hashes))
     found = window_rows(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), spec, sizes, shared)
     item = items.select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("item_pos"), F.col("n_windows").alias("item_windows"), "form", F.col("slots").alias("item_slots"))
-    met = found.drop("form").join(broadcast_if_small(item, spec.max_broadcast // 20), "hash").where(F.size("slots") == F.size("item_slots"))
+    met = found.drop("form").join(broadcast_if_small(item, spec.broadcast_rows), "hash").where(F.size("slots") == F.size("item_slots"))
     met = met.select(F.col("id").alias("doc_id"), "item_id", "item_windows", "form", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"), F.arrays_zip("item_slots", "slots").alias("pairs"))
     lined = met.groupBy("doc_id", "item_id", "item_windows", "form", "offset").agg(F.countDistinct("item_pos").alias("n_hits"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct("pairs.item_slots"))
