@@ -3,7 +3,7 @@
 A node that holds more than the target bytes is split along the dimension that is widest there, at the
 weighted quantile that gives both sides their leaves' share of the bytes. Quantiles are found by digit
 refinement: one pre-aggregated histogram a pass (the first one over all dimensions, which also tells their
-widths), so that only one row per node and dimension reaches the driver. The finished tree is a small rule
+widths: the range of a measure, the number of values of a label, whose hashes have no distance), so that only one row per node and dimension reaches the driver. The finished tree is a small rule
 set and is applied to rows as one expression.
 
 Equal texts are to share a shard, whatever their labels: a group of copies takes the smallest language and
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize
 
-#: Digits of a sort key: 15 bits of the dimension, 32 of the text's hash (equal texts stay side by side), 16 of the document's hash.
-DIGITS = (8, 16, 16, 7, 16)
+#: Digits of a sort key: 15 bits of the dimension, 32 of the text's hash, so that equal texts have one key and no cut parts them.
+DIGITS = (8, 16, 16, 7)
 VALUES = 1 << 15
 DIMENSIONS = ("lang", "source", "log_size", "non_ascii")
 LABELS = ("lang", "source")
@@ -44,7 +44,7 @@ def row_size(text: Column) -> Column:
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """docs plus _size, _text (the text's hash), _doc (the id's hash) and a value below VALUES per dimension (_lang and so on); null labels are 0."""
+    """docs plus _size, _text (the text's hash) and a value below VALUES per dimension (_lang and so on); null labels are 0."""
     text = F.coalesce(F.col("text"), F.lit(""))
     label = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c), F.lit(VALUES - 1)) + 1)
     values = {
@@ -53,7 +53,7 @@ def metadata(docs: DataFrame) -> DataFrame:
         "log_size": F.least(F.floor(F.log2(row_size(F.col("text"))) * 768), F.lit(VALUES - 1)),
         "non_ascii": F.floor((F.octet_length(text) - F.length(text)) / row_size(F.col("text")) * (VALUES - 1)),
     }
-    return docs.select("*", row_size(F.col("text")).alias("_size"), F.xxhash64(text).alias("_text"), F.shiftrightunsigned(F.xxhash64("doc_id"), 48).alias("_doc"), *[values[d].cast("int").alias(f"_{d}") for d in DIMENSIONS])
+    return docs.select("*", row_size(F.col("text")).alias("_size"), F.xxhash64(text).alias("_text"), *[values[d].cast("int").alias(f"_{d}") for d in DIMENSIONS])
 
 
 def shared_labels(rows: DataFrame) -> DataFrame:
@@ -63,11 +63,11 @@ def shared_labels(rows: DataFrame) -> DataFrame:
 
 
 def keyed(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """metadata's rows plus one 63-bit sort key per dimension; labels: a written table of shared_labels, broadcast up to LABEL_ROWS rows."""
-    low = F.shiftleft(F.shiftrightunsigned("_text", 32), 16).bitwiseOR(F.col("_doc"))
+    """metadata's rows plus one 47-bit sort key per dimension; labels: a written table of shared_labels, broadcast up to LABEL_ROWS rows."""
+    low = F.shiftrightunsigned("_text", 32)
     joined = rows.join(broadcast_if_small(labels, LABEL_ROWS), "_text", "left")
     value = lambda d: F.coalesce(f"_{d}1", f"_{d}") if d in LABELS else F.col(f"_{d}")
-    return joined.select(*rows.columns, *[F.shiftleft(value(d).cast("long"), 48).bitwiseOR(low).alias(f"_k{i}") for i, d in enumerate(DIMENSIONS)])
+    return joined.select(*rows.columns, *[F.shiftleft(value(d).cast("long"), 32).bitwiseOR(low).alias(f"_k{i}") for i, d in enumerate(DIMENSIONS)])
 
 
 def literal(values: list) -> str:
@@ -108,8 +108,8 @@ def leaves(rows: DataFrame, target_bytes: int) -> int:
     return max(1, -(-(rows.agg(F.sum("_size")).first()[0] or 0) // target_bytes))
 
 
-def grow(rows: DataFrame, n: int, shards: int, slack: float = 0.05, close: float = 0.01) -> Split | int:
-    """The tree over rows (_size and n keys _k0, _k1 and so on). A cut may miss by close of a leaf's bytes, and by half of slack where only a finer one would part equal texts."""
+def grow(rows: DataFrame, n: int, shards: int, close: float = 0.01) -> Split | int:
+    """The tree over rows (_size and n keys _k0, _k1 and so on). A cut may miss by close of a leaf's bytes, and by more where a group of equal texts is in the way: it moves to the group's nearer edge."""
     leaf = (rows.agg(F.sum("_size")).first()[0] or 0) / shards
     keys = [f"_k{i}" for i in range(n)]
     done: dict[tuple[int, int], tuple[int, int]] = {}
@@ -120,7 +120,7 @@ def grow(rows: DataFrame, n: int, shards: int, slack: float = 0.05, close: float
         shift = sum(DIGITS) - DIGITS[0]
         # The first digit, for every dimension: widths, bytes, and where the quantile lies.
         bins = here.select("node", "_size", F.posexplode(F.array(*keys)).alias("dim", "_key")).groupBy("node", "dim", F.shiftrightunsigned("_key", shift).alias("slot")).agg(F.sum("_size").alias("words"))
-        per = bins.groupBy("node", "dim").agg(F.array_sort(F.collect_list(F.struct("slot", "words"))).alias("parts"), F.sum("words").alias("w"), (F.max("slot") - F.min("slot")).alias("width"))
+        per = bins.groupBy("node", "dim").agg(F.array_sort(F.collect_list(F.struct("slot", "words"))).alias("parts"), F.sum("words").alias("w"), F.when(F.col("dim") < len(LABELS), F.count("*") - 1).otherwise(F.max("slot") - F.min("slot")).alias("width"))
         per = per.withColumn("need", F.col("w") * F.expr(f"array({', '.join(f'{share.get(k, 0.0)!r}D' for k in range(shards))})[node]"))
         found = {(r.node, r.dim): r for r in per.select("node", "dim", "w", "width", "need", F.expr(FOLD).alias("end")).collect()}
         if world is None and found:
@@ -134,7 +134,7 @@ def grow(rows: DataFrame, n: int, shards: int, slack: float = 0.05, close: float
                 return
             prefix[k] = (prefix[k] << bits) | end.cut
             before[k] += end.used
-            if end.words <= close * leaf or (shift <= DIGITS[-1] and end.words <= slack * leaf) or shift == 0:
+            if end.words <= close * leaf or shift == 0:
                 cut[k] = (prefix[k] + ((want[k] - before[k]) * 2 > end.words)) << shift
 
         for lo, hi in level:
@@ -182,26 +182,25 @@ class ShardPlan:
     labels: DataFrame
 
 
-def plan_shards(docs: DataFrame, shards: int | None = 40, target_bytes: int | None = None, slack: float = 0.05) -> ShardPlan:
+def plan_shards(docs: DataFrame, shards: int | None = 40, target_bytes: int | None = None) -> ShardPlan:
     """The tree for docs: a pass for the metadata and small passes for the cuts. shards None: as many leaves as target_bytes asks for."""
-    names = ["_size", "_text", "_doc", *[f"_{d}" for d in DIMENSIONS]]
+    names = ["_size", "_text", *[f"_{d}" for d in DIMENSIONS]]
     rows = materialize(metadata(docs.select("doc_id", "text", "lang", "source")).select(*names), "shard-metadata")
     labels = materialize(shared_labels(rows), "shard-labels")
     keys = materialize(keyed(rows, labels).select("_size", *[f"_k{i}" for i in range(len(DIMENSIONS))]), "shard-keys")
-    return ShardPlan(grow(keys, len(DIMENSIONS), shards or leaves(keys, target_bytes), slack), labels)
+    return ShardPlan(grow(keys, len(DIMENSIONS), shards or leaves(keys, target_bytes)), labels)
 
 
-def kd_shards(docs: DataFrame, shards: int | None = 40, slack: float = 0.05, target_bytes: int | None = None) -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int | None = 40, target_bytes: int | None = None) -> DataFrame:
     """docs plus shard (int).
 
     Needs doc_id, text, lang and source. A leaf aims at an equal part of all bytes (UTF-8 bytes of the
     text plus 16 a row; null text: 16), given as a number of shards or, with shards None, as target_bytes.
-    Equal texts go to one shard whatever their labels, unless a cut falls inside a group of them that
-    outweighs slack of a leaf; then that group is split by document. Rows alike in text and id stay
-    together. Null labels have a place of their own. Fewer rows than shards leave shards empty; an empty
+    Equal texts always go to one shard, whatever their labels and their number; a group that outweighs a leaf
+    makes that shard heavier than the rest (balance reports by how much). Null labels have a place of their own. Fewer rows than shards leave shards empty; an empty
     table gives no rows. Extra columns are kept; one called shard gives way.
     """
-    return apply_tree(docs, plan_shards(docs, shards, target_bytes, slack))
+    return apply_tree(docs, plan_shards(docs, shards, target_bytes))
 
 
 def apply_tree(docs: DataFrame, made: ShardPlan) -> DataFrame:
@@ -210,6 +209,12 @@ def apply_tree(docs: DataFrame, made: ShardPlan) -> DataFrame:
     return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "shard"], route(made.tree, len(DIMENSIONS)).cast("int").alias("shard"))
 
 
+def balance(sharded: DataFrame) -> DataFrame:
+    """One row: rows, bytes, shards that have rows, and the smallest and largest shard's bytes over the mean of these."""
+    per = sharded.groupBy("shard").agg(F.count("*").alias("n"), F.sum(row_size(F.col("text"))).alias("b"))
+    return per.agg(F.sum("n").alias("rows"), F.sum("b").alias("bytes"), F.count("*").alias("shards"), (F.min("b") / F.avg("b")).alias("least"), (F.max("b") / F.avg("b")).alias("most"))
+
+
 def with_slots(sharded: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
     """sharded plus slot: gapless from 0 in each shard.
 
