@@ -1,10 +1,12 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from strandwise.llm import neardup, simhash, suffix
 from strandwise.llm.common import connected_components
@@ -146,6 +148,64 @@ def test_every_pair_of_a_cell_meets(spark, block):
         assert set(met) >= want and max(met.values()) == 1 and len(want) > 1000 and all(len(g) <= 2 * max(block, 7) for g in groups.values())
 
 
+def test_rare_shingles_bring_every_similar_pair_together(spark):
+    """prefixes against all pairs: whatever is similar enough shares a kept shingle; templates below it hardly meet."""
+    rng = np.random.default_rng(17)
+    template = np.arange(200)
+    sets = []
+    for k in range(60):
+        own = np.concatenate([rng.permutation(template)[: int(rng.integers(150, 180))], 1000 + 100 * k + np.arange(25)])
+        sets.append(own)
+        if k % 5 == 0:
+            sets.append(np.concatenate([own[: len(own) - 4], [90_000 + k]]))
+    sets = [np.unique(x).astype(np.uint32) for x in sets]
+    table = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "id long, shingles binary")
+    kept = {}
+    for r in neardup.prefixes(table, neardup.NearDupSpec()).collect():
+        kept.setdefault(r.id, set()).add(r.shingle)
+    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if alike(sets[a], sets[b])]
+    assert len(near) >= 12 and all(kept[a] & kept[b] for a, b in near)
+    assert all(len(kept.get(i, ())) <= len(x) - np.ceil(0.8 * len(x)) + 1 for i, x in enumerate(sets))
+
+
+def test_rows_of_a_full_cell_are_linear(spark, make):
+    """One cell of templated texts below the similarity: rows stay in proportion to the documents, and the few real pairs are found."""
+    rng = random.Random(41)
+    template = [f"t{i}" for i in range(60)]
+    counts = {}
+    for n in (300, 1200):
+        texts = []
+        for k in range(n):
+            at = rng.randrange(60)
+            texts.append(" ".join(template[at:] + template[:at]) + " " + " ".join(f"own{k}x{i}" for i in range(45)))
+        texts += [t + " end" for t in texts[:20]]
+        docs, spec = make(texts), neardup.NearDupSpec(bits=1, bands=2, first_bands=1, most_far=64, block=64, cap=8)
+        classes = spark.createDataFrame([(i, i, *(rng.getrandbits(63) & ~1 for _ in range(4))) for i in range(len(texts))], "id long, root long, f0 long, f1 long, f2 long, f3 long")
+        cells = neardup.cells(classes, spec, 2).withColumn("key", F.lit(7).cast("long")).distinct()
+        held = neardup.members(cells.repartition("key").sortWithinPartitions("key"), spec, lambda ids: neardup.wanted_sets(docs, ids, spec))
+        together = {}
+        for r in held.collect():
+            together.setdefault((r.key, r.i, r.j), set()).add(r.id)
+        counts[n] = held.count()
+        assert all(any({i, n + i} <= g for g in together.values()) for i in range(20))
+    assert counts[1200] < 6 * counts[300] and counts[1200] < 40 * 1200
+
+
+def test_bits_grow_with_the_texts():
+    spec = neardup.NearDupSpec()
+    assert spec.sized(1000) == spec and spec.sized(200_000) == spec
+    grown = spec.sized(20_000_000_000)
+    assert grown.bits == 37 and 0.9 < grown.bands * 0.85**grown.bits / (spec.bands * 0.85**spec.bits) < 1.1
+
+
+def test_one_row_of_an_id_stays_and_always_the_same(spark):
+    rows = [(1, f"text number {i} of one id", "x") for i in range(30)] + [(2, "alone here", "y"), (None, "no id", "z"), (3, "same", "p"), (3, "same", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, second = (sorted(map(str, neardup.drop_near_duplicates(docs.repartition(n)).collect())) for n in (1, 7))
+    assert first == second and len(first) == 4
+
+
 def test_links_of_a_cell_join_what_is_alike():
     """cell_links against all pairs, in one block and across two; never more links than members less one."""
     rng = np.random.default_rng(3)
@@ -193,7 +253,11 @@ def brute_repeats(texts, length):
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
     out = []
     for d in data:
-        spans = suffix.cover([{"a": i, "b": i} for i in range(len(d) - length + 1) if seen[d[i : i + length]] > 1], length)
+        hit = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                hit[i : i + length] = b"\1" * length
+        spans = [m.span() for m in re.finditer(b"\1+", bytes(hit))]
         kept, at = b"", 0
         for a, b in spans:
             kept, at = kept + d[at:a], b

@@ -224,7 +224,7 @@ def test_reparameterised_question_is_caught(spark, make, limit):
     mixed = ITEM.replace("2 hours while", "2 hours while").replace("120 km", "77 km")
     words = "nothing of the kind is here to be seen at all by anyone who reads it"
     texts = [f"Intro text. {ITEM} More.", f"Start.\n{other}", words, None, "", "say green plain words make tidy windows again", ITEM[: len(ITEM) // 3], mixed]
-    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(make(texts), bench, decontam.DecontamSpec(max_broadcast=limit)).collect()}
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(make(texts), bench, decontam.DecontamSpec(broadcast_bytes=limit)).collect()}
     assert set(got) == {(0, 7), (1, 7), (5, 10), (7, 7)}
     assert got[0, 7].n_changed == 0 and got[1, 7].n_changed >= 4
     assert [r.doc_id for r in decontam.decontaminate(make(texts), bench).orderBy("doc_id").collect()] == [2, 3, 4, 6]
@@ -245,7 +245,7 @@ def test_decontamination_awkward(spark, awkward, nothing):
 
 @pytest.mark.parametrize("limit", [2_000_000, 0])
 def test_verbatim_copies_without_literal_windows_are_caught(spark, make, limit):
-    """Items of numbers, title case, capitals, names or few words; copies in other case; title case with other numbers."""
+    """Items of numbers, title case, capitals, names or few words (as whole sentences); copies in other case; title case with other numbers."""
     items = [
         "12 km 3.5 kg 17 % 8 h 90 min 4 m 6 s 7 g 11 cm",
         "The Capital Of The Old Kingdom Lies North Of The Great River",
@@ -255,10 +255,10 @@ def test_verbatim_copies_without_literal_windows_are_caught(spark, make, limit):
         "Which Large River Flows Through",
         "On Day 12 The Old Mill Grinds 40 Sacks Of Good Wheat For The Town",
     ]
-    texts = [f"here it says {t} and so on" for t in items] + [f"x {t.upper()} y" for t in items] + [f"x {t.lower()} y" for t in items]
+    texts = [f"here it says: {t}. and so on" for t in items] + [f"x: {t.upper()}. y" for t in items] + [f"x\n{t.lower()}\ny" for t in items]
     texts += [items[6].replace("12", "31").replace("40", "75"), "12 km 3.5 kg 18 % 8 h 91 min 4 m 5 s 7 g", "no item is in this text at all", None, ""]
     bench = spark.createDataFrame([*enumerate(items), (90, None), (91, " ")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(make(texts), bench, decontam.DecontamSpec(max_broadcast=limit)).collect()}
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(make(texts), bench, decontam.DecontamSpec(broadcast_bytes=limit)).collect()}
     assert got == {(i, i % 7) for i in range(21)} | {(21, 6)}
 
 
@@ -314,7 +314,68 @@ def test_neighbour_behind_an_earlier_line_with_the_same_rest(make):
     assert [list(r.removed) for r in linededup.line_dedup(make(texts)).orderBy("doc_id").collect()] == [[], [0], [], [0]]
 
 
-def test_repeated_doc_id_with_another_text(spark):
-    rows = [(1, "one plain line of six words\nanother line that stands for itself"), (2, "something else is written here today\none plain line of seven words"), (2, None), (2, "short")]
-    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((r.doc_id, r.n_lines, list(r.removed)) for r in got.collect()) == [(1, 2, []), (2, 0, [1]), (2, 1, [1]), (2, 2, [1])]
+def test_rows_that_share_a_doc_id_are_documents_of_their_own(spark):
+    """Lines go by row: what is an earlier copy in one row of an id is not cut out of another; rows of one id and text are alike."""
+    copy, own = "one line of text that is first here", "a unique line that nobody repeats at all"
+    rows = [(1, copy + "\nfirst row"), (2, "the header of row a\n" + copy), (2, "the header of row b is longer\n" + own), (2, None), (2, "short"), (None, copy), (None, own + " too"), (3, "twice the same row\n" + copy), (3, "twice the same row\n" + copy)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, doc_id long, text string")
+    got = linededup.line_dedup(docs)
+    kept = {r.n: r.text for r in linededup.drop_lines(docs, got).collect()}
+    assert len(kept) == len(rows) == got.count()
+    assert kept[5] == copy and kept[6] == own + " too" and kept[0] == "first row" and kept[1] == "the header of row a"
+    # The line of row 6, with a word more, stands before row 2's: null ids come first.
+    assert kept[2] == "the header of row b is longer" and kept[3] is None and kept[4] == "short" and kept[7] == kept[8] == "twice the same row"
+
+
+def test_shared_doc_ids_against_brute_force(spark):
+    """Any sharing of ids equals the same rows with ids of their own, put in order by id and then by the text's hash."""
+    rng = random.Random(21)
+    lines = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(4, 7))) for _ in range(30)]
+    rows = [(rng.choice([None, 1, 1, 2, 3, 4]), "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 4)))) for _ in range(40)]
+    shared = spark.createDataFrame(sorted(set(rows), key=str), "doc_id long, text string")
+    order = shared.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()
+    single = linededup.line_dedup(spark.createDataFrame([(i, r.text) for i, r in enumerate(order)], "doc_id long, text string"))
+    want = {r.doc_id: (r.n_lines, r.n_exact, r.n_near, r.removed) for r in single.collect()}
+    got = sorted((str(r.doc_id), r.text_hash, r.n_lines, r.n_exact, r.n_near, r.removed) for r in linededup.line_dedup(shared).collect())
+    hashes = [r.h for r in spark.createDataFrame([(i, r.text) for i, r in enumerate(order)], "i int, text string").orderBy("i").select(F.xxhash64("text").alias("h")).collect()]
+    assert got == sorted((str(r.doc_id), h, *want[i]) for i, (r, h) in enumerate(zip(order, hashes)))
+
+
+@pytest.mark.parametrize("length", [120, 370, 464, 5000])
+def test_a_notice_is_boilerplate_at_any_length(length):
+    notice = "This site uses cookies to remember " + "what you have read and chosen here and on other pages of ours "[: length - 40] * (1 + length // 60)
+    notice = notice[: length - 1] + "."
+    rules = quality.QualityRules()
+    assert quality.line_fault(notice, notice.split(), rules) == "boilerplate"
+    prose = "The museum opened its doors again. " * (2 + length // 40) + "Its privacy policy fills one page."
+    assert quality.line_fault(prose, prose.split(), rules) is None
+
+
+def test_short_items_are_whole_sentences_or_lines(make, spark):
+    bench = spark.createDataFrame([(1, "the"), (2, "Who wrote Don Quixote?"), (3, "Yes."), (4, "a b c d e")], "item_id long, text string")
+    texts = ["the cat and the dog", "He asked who wrote Don Quixote and when.", "A quiz. Who wrote Don Quixote? Nobody knew.", "who wrote don quixote", "It says yes. No.", "Title\nthe\nmore", "First\nYES\nlast", "x a b c d e y"]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(make(texts), bench).collect()}
+    assert got == {(2, 2), (3, 2), (5, 1), (6, 3), (7, 4)}
+
+
+def test_reparameterised_questions_among_others(make, spark):
+    """Questions with other numbers and names are found with changed slots; with one value standing for two, or other words, they are not."""
+    rng = random.Random(31)
+    nouns = ["apples", "stamps", "marbles", "tickets", "coins", "shells"]
+    verbs = ["sold", "found", "gave", "lost", "kept", "mailed"]
+    items, texts, want = [], [], set()
+    for i in range(24):
+        a, b, c = rng.sample(range(10, 99), 3)
+        noun, verb = nouns[i % 6], verbs[(i // 6 + i) % 6]
+        question = f"In the story {{n}} had {{a}} {noun} and then {verb} {{b}} of them before the market number {i} words closed, so how many {noun} of {{a}} were left for {{n}} after that day"
+        items.append((i, question.format(n="Anna", a=a, b=b) + "?"))
+        kind = i % 3
+        if kind == 0:
+            texts.append("Some other text stands here. " + question.format(n="Peter", a=a + 100, b=b + 200) + "? More text.")
+            want.add((i, i))
+        elif kind == 1:
+            texts.append(question.replace("{a} were", f"{c + 300} were").format(n="Peter", a=a + 100, b=b + 200) + "?")
+        else:
+            texts.append(f"A plain text about {noun} that nobody {verb}, with {a} and {b} in it and no question at all.")
+    got = {(r.doc_id, r.item_id): r.n_changed for r in decontam.contaminated(make(texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert want <= set(got) and all(got[x] > 0 for x in want) and not [d for d, _ in got if d % 3 == 2]
