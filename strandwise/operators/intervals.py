@@ -15,6 +15,36 @@ def overlaps(start: Column, end: Column, lo, hi, inclusive: bool = False) -> Col
     return (end >= lo) & (start <= hi) if inclusive else (end > lo) & (start < hi)
 
 
+#: Width of the bins in which whole sets are scanned, and the growth of bins from one size to the next.
+SCAN_WIDTH, GROWTH, SIZES = 1 << 16, 16, 16
+
+
+def _same(keys: list[str], prefix: str) -> Column:
+    out = F.lit(True)
+    for c in keys:
+        out = out & F.col(c).eqNullSafe(F.col(prefix + c))
+    return out
+
+
+def _scanned(binned: DataFrame, keys: list[str], total: Column, carry, name: str) -> DataFrame:
+    """binned (keys, _bin, ..) plus name: `carry` (an aggregate such as F.max) of `total` of all earlier bins of the key, null in the first.
+
+    A bin's summary is one row, and only these rows meet in a window of a whole key.
+    """
+    summary = binned.groupBy(*keys, "_bin").agg(total.alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.select(*[F.col(c).alias(f"_at_{c}") for c in (*keys, "_bin")], carry("_total").over(earlier).alias(name))
+    return binned.join(summary, _same([*keys, "_bin"], "_at_")).drop(*[f"_at_{c}" for c in (*keys, "_bin")])
+
+
+def numbered(rows: DataFrame, keys: list[str], at: str, order: list[str], name: str, bin_width: int = SCAN_WIDTH) -> DataFrame:
+    """rows plus each row's number within its key, from 0, by position and then order; a task numbers one bin, after the count of earlier bins."""
+    binned = rows.withColumn("_bin", F.floor(F.col(at) / bin_width))
+    binned = _scanned(binned, keys, F.count("*"), F.sum, "_before")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(at, *order)) - 1
+    return binned.withColumn(name, (F.coalesce("_before", F.lit(0)) + inside).cast("long")).drop("_bin", "_before")
+
+
 def _islands(iv: DataFrame, keys: list[str]) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -27,19 +57,25 @@ def _islands(iv: DataFrame, keys: list[str]) -> DataFrame:
 def merge(iv: DataFrame, keys: list[str], bin_width: int | None = None) -> DataFrame:
     """Union-merge per key; touching intervals merge, zero-length ones survive.
 
-    With bin_width, intervals are first merged inside coarse bins of their start, so that a long
-    chromosome is spread over many tasks and only what is left of each bin meets in one.
+    With bin_width, intervals are first merged inside coarse bins of their start; how far the earlier bins reach
+    and how many merged intervals begin in them is then carried into each bin, so no task sorts a whole key.
     """
     cols = iv.select(*keys, "start", "end")
-    if bin_width:
-        binned = cols.withColumn("_bin", F.floor(F.col("start") / bin_width))
-        cols = _islands(binned, [*keys, "_bin"]).drop("_bin")
-    return _islands(cols, keys)
-
-
-def with_elem_id(merged: DataFrame, keys: list[str]) -> DataFrame:
+    if not bin_width:
+        return _islands(cols, keys)
+    cols = _islands(cols.withColumn("_bin", F.floor(F.col("start") / bin_width)), [*keys, "_bin"])
+    cols = _scanned(cols, keys, F.max("end"), F.max, "_carried")
+    inside = Window.partitionBy(*keys, "_bin").orderBy("start", "end")
+    reach = F.greatest("_carried", F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    cols = cols.withColumn("_fresh", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
+    cols = _scanned(cols, keys, F.sum("_fresh"), F.sum, "_before")
+    island = F.coalesce("_before", F.lit(0)) + F.sum("_fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return cols.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+
+
+def with_elem_id(merged: DataFrame, keys: list[str], bin_width: int = SCAN_WIDTH) -> DataFrame:
     """Number of each interval within its key, from 0, in order of start."""
-    return merged.withColumn("elem_id", F.row_number().over(Window.partitionBy(*keys).orderBy("start", "end")) - 1)
+    return numbered(merged, keys, "start", ["end"], "elem_id", bin_width)
 
 
 def with_depth(iv: DataFrame, keys: list[str], bin_width: int = 1 << 16) -> DataFrame:
@@ -49,14 +85,9 @@ def with_depth(iv: DataFrame, keys: list[str], bin_width: int = 1 << 16) -> Data
     """
     edges = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))))
     events = iv.select(*keys, edges.alias("e")).select(*keys, "e.pos", "e.d").withColumn("_bin", F.floor(F.col("pos") / bin_width))
-    before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
-    bins = events.groupBy(*keys, "_bin").agg(F.sum("d").alias("_sum"))
-    bins = bins.select(*[F.col(c).alias(f"_key_{c}") for c in keys], F.col("_bin").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
-    same = F.col("_bin").eqNullSafe(F.col("_at"))
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
     inside = Window.partitionBy(*keys, "_bin").orderBy("pos", "d").rowsBetween(Window.unboundedPreceding, 0)
-    return events.join(bins, same).select(*keys, "pos", "d", (F.col("_before") + F.sum("d").over(inside)).alias("depth"))
+    depth = F.coalesce("_before", F.lit(0)) + F.sum("d").over(inside)
+    return _scanned(events, keys, F.sum("d"), F.sum, "_before").select(*keys, "pos", "d", depth.alias("depth"))
 
 
 def support_regions(iv: DataFrame, keys: list[str], least: int, distinct_source: str | None = None, bin_width: int = 1 << 16) -> DataFrame:
@@ -64,14 +95,15 @@ def support_regions(iv: DataFrame, keys: list[str], least: int, distinct_source:
 
     At one position ends come before starts, so touching intervals stay apart, even for least = 1, and
     zero-length ones give nothing. With distinct_source, each source is merged first and counts once.
-    Only the regions' own edges meet in one task a key.
+    Regions are disjoint, so the n-th edge at which one opens belongs to the n-th at which one closes.
     """
     if distinct_source:
         iv = merge(iv, [*keys, distinct_source], bin_width)
     depth = with_depth(iv.where("end > start"), keys, bin_width).withColumn("was", F.col("depth") - F.col("d"))
     edges = depth.where(((F.col("was") < least) & (F.col("depth") >= least)) | ((F.col("was") >= least) & (F.col("depth") < least)))
-    edges = edges.withColumn("end", F.lead("pos").over(Window.partitionBy(*keys).orderBy("pos", "d")))
-    return edges.where(F.col("d") == 1).select(*keys, F.col("pos").alias("start"), "end")
+    opens, closes = (numbered(edges.where(F.col("d") == d).select(*keys, "pos"), keys, "pos", [], "_n", bin_width) for d in (1, -1))
+    closes = closes.select(*[F.col(c).alias(f"_at_{c}") for c in (*keys, "_n")], F.col("pos").alias("end"))
+    return opens.join(closes, _same([*keys, "_n"], "_at_")).select(*keys, F.col("pos").alias("start"), "end")
 
 
 def locate_in_disjoint(points: DataFrame, merged: DataFrame, pos: str = "pos", keys: list[str] = (), pos_base: int = 0, bin_width: int = 1 << 16) -> DataFrame:
@@ -95,18 +127,38 @@ def locate_in_disjoint(points: DataFrame, merged: DataFrame, pos: str = "pos", k
     return swept.where("_kind = 1").select("_row.*", F.when(F.col("_at") < F.col("_e"), F.col("_i")).alias("elem_id"))
 
 
+def by_size(iv: DataFrame, first: Column, last: Column, width: int) -> DataFrame:
+    """iv with _size and _bin: an interval of positions first to last lies in bins of the smallest size that is not shorter than it, so it is two rows at most."""
+    size = F.lit(SIZES - 1)
+    for k in reversed(range(SIZES - 1)):
+        size = F.when(last - first < F.lit(float(width * GROWTH**k)), k).otherwise(size)
+    edge = lambda x: F.floor(x / F.pow(F.lit(float(GROWTH)), F.col("_size")) / width)
+    return iv.withColumn("_size", size).withColumn("_bin", F.explode(F.sequence(edge(first), edge(last))))
+
+
+def probes(points: DataFrame, pos: Column, sizes: list[int], width: int) -> DataFrame:
+    """points with _size and _bin: the one bin of each size that holds the position."""
+    at = [F.struct(F.lit(k).alias("_size"), F.floor(pos / F.lit(float(GROWTH**k)) / width).alias("_bin")) for k in sizes]
+    return points.withColumn("_at", F.explode(F.array(*at))).select("*", "_at._size", "_at._bin").drop("_at")
+
+
+def sizes_of(dealt: DataFrame) -> list[int]:
+    """The sizes of bins that hold an interval: at most SIZES numbers on the driver."""
+    return sorted(r["_size"] for r in dealt.select("_size").distinct().collect()) or [0]
+
+
 def hits(points: DataFrame, iv: DataFrame, bin_width: int, pos: str = "pos", keys: list[str] = (), inclusive: bool = False) -> DataFrame:
-    """Every (point, interval) pair with the point inside: a binned equi-join with a residual test.
+    """Every (point, interval) pair with the point inside: an equi-join on bins with a residual test.
 
-    Intervals may overlap. An interval is dealt to each bin it covers, a point to one, so a pair is
-    found once. inclusive also counts the end position.
+    Intervals may overlap and be of any length: each lies in one or two bins of about its own size, and a point
+    looks into one bin of each size that there is, so a pair is found once. inclusive also counts the end position.
     """
     keys = list(keys)
     last = F.col("end") if inclusive else F.greatest(F.col("end") - 1, F.col("start"))
-    right = iv.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor(last / bin_width))))
-    left = points.withColumn("_bin", F.floor(F.col(pos) / bin_width))
+    right = by_size(iv, F.col("start"), last, bin_width)
+    left = probes(points, F.col(pos), sizes_of(right), bin_width)
     inside = (F.col(pos) >= F.col("start")) & (F.col(pos) <= F.col("end") if inclusive else F.col(pos) < F.col("end"))
-    return left.join(right, [*keys, "_bin"]).where(inside).drop("_bin")
+    return left.join(right, [*keys, "_size", "_bin"]).where(inside).drop("_size", "_bin")
 
 
 def is_hit(points: DataFrame, iv: DataFrame, bin_width: int, key: str, pos: str = "pos", inclusive: bool = False, name: str = "in_peak") -> DataFrame:
@@ -134,11 +186,11 @@ def distance(pos: Column, lo, hi) -> Column:
 def nearest(points: DataFrame, features: DataFrame, reach: int, key: str, pos: str = "pos", order: str = "start") -> DataFrame:
     """Each point's nearest feature within reach: distance 0 if it overlaps, else to the nearer edge; the first by order wins ties.
 
-    Features are dealt to every bin they reach, so the search is an equi-join; points with none in reach get nulls.
+    Features lie, with their reach, in bins of about their size, so the search is an equi-join; points with none in reach get nulls.
     """
-    width = 2 * reach
-    right = features.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("start") - reach) / width), F.floor((F.col("end") + reach) / width))))
-    near = points.select(key, pos).withColumn("_bin", F.floor(F.col(pos) / width)).join(right, "_bin")
+    width = 2 * max(1, reach)
+    right = by_size(features, F.col("start") - reach, F.col("end") + reach, width)
+    near = probes(points.select(key, pos), F.col(pos), sizes_of(right), width).join(right, ["_size", "_bin"])
     gap = distance(F.col(pos), F.col("start"), F.col("end"))
     near = near.withColumn("distance", gap).where(F.col("distance") <= reach)
     best = near.groupBy(key).agg(F.min(F.struct("distance", order, "feature")).alias("b")).select(key, F.col("b.feature").alias("feature"), F.col("b.distance").alias("distance"))

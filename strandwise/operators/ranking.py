@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.landing import landed
+
 DEPTHS = (25, 50, 100, 200)
 
 
@@ -13,16 +15,35 @@ def allele_key(*cols: str) -> Column:
     return F.concat_ws("_", *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols])
 
 
+#: Copies of one key from which it is hot: such keys are at most rows / HOT in number, and their counts are broadcast.
+HOT = 1_000_000
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Keep the first row of each key in an explicit order; null keys equal one another."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Keep the first row of each key in an explicit order; null keys equal one another. Each task keeps its first rows, so a key of many copies fills none."""
+    rest = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first") if rest else F.count("*").alias("_first")
+    out = df.groupBy(*keys).agg(first)
+    return out.select(*[F.col(c) if c in keys else F.col(f"_first.`{c}`") for c in df.columns])
 
 
 def mark_duplicates(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """df plus in_duplicate (all members of a repeated key) and later_duplicate (all but its first)."""
-    by = Window.partitionBy(*keys)
-    return df.withColumn("in_duplicate", F.count("*").over(by) > 1).withColumn("later_duplicate", F.row_number().over(by.orderBy(*order)) > 1)
+    """df plus in_duplicate (all members of a repeated key) and later_duplicate (all but its first). order tells the rows of a key apart.
+
+    Keys are counted by 128 bits of their hash, nulls apart, so no long value is shuffled. Counts and firsts of
+    repeated keys are joined back: those of hot keys by broadcast, which moves none of their rows, others by hash.
+    """
+    flags = [F.col(c).isNull() for c in keys]
+    rows = df.withColumn("_k1", F.xxhash64(*keys, *flags)).withColumn("_k2", F.xxhash64(F.lit(1), *keys, *flags)).withColumn("_o", F.struct(*order))
+    per = landed(rows.groupBy("_k1", "_k2").agg(F.count("*").alias("_n"), F.min("_o").alias("_first")).where("_n > 1"), "repeated-keys")
+    hot = per.where(F.col("_n") > HOT).select(F.col("_k1").alias("_h1"), F.col("_k2").alias("_h2"), F.col("_first").alias("_hot"))
+    cold = per.where(F.col("_n") <= HOT).select(F.col("_k1").alias("_c1"), F.col("_k2").alias("_c2"), F.col("_first").alias("_cold"))
+    rows = rows.join(F.broadcast(hot), (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")), "left")
+    # A hot key's rows are settled; they pass the second join spread by their order.
+    spread = F.when(F.col("_hot").isNull(), F.col("_k1")).otherwise(F.xxhash64("_o"))
+    rows = rows.withColumn("_k1", spread).join(cold, (F.col("_k1") == F.col("_c1")) & (F.col("_k2") == F.col("_c2")), "left")
+    first = F.coalesce("_hot", "_cold")
+    return rows.select(*df.columns, first.isNotNull().alias("in_duplicate"), F.coalesce(F.col("_o") > first, F.lit(False)).alias("later_duplicate"))
 
 
 def dedup_ledger(df: DataFrame, name: str, key: list[str], order: list[str]) -> DataFrame:

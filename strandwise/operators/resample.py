@@ -64,6 +64,59 @@ def weighted_cells(rows: DataFrame, by: list[str], score: str, tie: str, flags:
     return top.groupBy(*by).agg(*cells)
 
 
+def binomial_quantiles(u: np.ndarray, n: int, p: float) -> np.ndarray:
+    """For each u in (0, 1) the number of values of Binomial(n, p) whose distribution function is at most u.
+
+    Weights are multiplied outward from the mode by the ratio of neighbours as far as they count, so time and memory
+    follow the standard deviation, not n.
+    """
+    if n <= 0 or p <= 0 or p >= 1:
+        return np.full(len(u), n if p >= 1 else 0, dtype=np.int64)
+    mode = min(n, int((n + 1) * p))
+    reach = 40 + int(12 * (n * p * (1 - p)) ** 0.5)
+    while True:
+        lo, hi = max(0, mode - reach), min(n, mode + reach)
+        up, down = np.arange(mode, hi, dtype=float), np.arange(mode, lo, -1, dtype=float)
+        above = np.cumprod((n - up) / (up + 1) * (p / (1 - p)))
+        below = np.cumprod(down / (n - down + 1) * ((1 - p) / p))
+        if (hi == n or above[-1] < 1e-18) and (lo == 0 or below[-1] < 1e-18):
+            break
+        reach *= 2
+    cdf = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return lo + np.searchsorted(cdf / cdf[-1], u, side="right")
+
+
+def resampled_pairs(counts: DataFrame, keys: list[str], seed: int, replicates: int) -> DataFrame:
+    """(keys, rep, n, x, y, xy): a pair's counts in each of its resamples of n haplotypes with replacement.
+
+    counts: (keys, n, x, y, xy) as linkage.pair_counts gives them. Only the numbers of the four joint classes matter, and
+    those follow the multinomial law: each is drawn from a binomial of what is left, by a number from md5 of
+    'seed|keys|rep|class'. So a replicate costs a few standard deviations of its binomials, not the panel. A null key counts as an empty text.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    fields = [f for f in counts.schema.fields if f.name in keys]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", rep long, n long, x long, y long, xy long"
+
+    def run(batches):
+        for b in batches:
+            schema = pa.schema([*[b.schema.field(i) for i in range(len(keys))], *[(c, pa.int64()) for c in ("rep", "n", "x", "y", "xy")]])
+            for i, (name, n, x, y, xy) in enumerate(zip(*(b.column(len(keys) + j).to_pylist() for j in range(5)))):
+                left, drawn = np.full(replicates, n, dtype=np.int64), []
+                weight = n
+                for c, members in enumerate((xy, x - xy, y - xy)):
+                    u = np.array([(int(hashlib.md5(f"{seed}|{name}|{rep}|{c}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32 for rep in range(replicates)])
+                    k = np.zeros(replicates, dtype=np.int64)
+                    for m in np.unique(left):
+                        k[left == m] = binomial_quantiles(u[left == m], int(m), members / weight if weight else 0.0)
+                    drawn.append(k)
+                    left, weight = left - k, weight - members
+                both, only_x, only_y = drawn
+                own = [pa.array([b.column(j)[i].as_py()] * replicates, b.schema.field(j).type) for j in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(replicates)), pa.array(np.full(replicates, n)), pa.array(both + only_x), pa.array(both + only_y), pa.array(both)], schema=schema)
+
+    return counts.select(*keys, text.alias("_name"), *[F.col(c).cast("long").alias(c) for c in ("n", "x", "y", "xy")]).mapInArrow(run, ddl)
+
+
 def presorted(rows: DataFrame, ranking: str, score: str, tie: str, flags: list[str], depth: int) -> DataFrame:
     """One row a ranking: `top`, the records that can reach the top of a replicate, best first, and `counts`, all its records by element and flag.
 

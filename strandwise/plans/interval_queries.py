@@ -66,14 +66,8 @@ def point_inclusive(spark, d):
     return iv.is_hit(records(spark, d).select("event_id", "pos"), merged(spark, d), BIN, "event_id", inclusive=True).select("event_id", "in_peak")
 
 
-@query("J5_open_in_files", f"WITH {REC}, {PK} SELECT event_id, accession, count(*) AS n FROM (SELECT * FROM rec WHERE event_id % 10 = 0 AND event_type = 'click') r JOIN (SELECT * FROM pk WHERE set_id = 'purchase') p ON r.pos >= p.start AND r.pos < p.\"end\" GROUP BY ALL")
+@query("J5_open_in_files", f"WITH {REC}, {PK} SELECT event_id, accession, count(*) AS n FROM rec r JOIN (SELECT * FROM pk WHERE set_id = 'purchase') p ON r.pos >= p.start AND r.pos < p.\"end\" GROUP BY ALL")
 def open_in_files(spark, d):
-    points = records(spark, d).where("event_id % 10 = 0 AND event_type = 'click'").select("event_id", "pos")
-    return iv.hits(points, peaks(spark, d).where("set_id = 'purchase'"), BIN).groupBy("event_id", "accession").agg(F.count("*").alias("n"))
-
-
-@query("J5_open_in_files_whole", f"WITH {REC}, {PK} SELECT event_id, accession, count(*) AS n FROM rec r JOIN (SELECT * FROM pk WHERE set_id = 'purchase') p ON r.pos >= p.start AND r.pos < p.\"end\" GROUP BY ALL")
-def open_in_files_whole(spark, d):
     return iv.hits(records(spark, d).select("event_id", "pos"), peaks(spark, d).where("set_id = 'purchase'"), BIN).groupBy("event_id", "accession").agg(F.count("*").alias("n"))
 
 
@@ -154,10 +148,10 @@ def nearest_feature(spark, d):
     return iv.nearest(records(spark, d).select("event_id", "pos"), features, REACH, "event_id").select("event_id", "feature", "distance")
 
 
-@query("J10_window_overlap", f"WITH {MG} SELECT event_id, count(*) AS n FROM rec JOIN mg ON mg.start <= rec.pos + 100 AND mg.\"end\" >= rec.pos - 100 WHERE rec.event_type = 'click' GROUP BY event_id")
+@query("J10_window_overlap", f"WITH {MG} SELECT event_id, count(*) AS n FROM rec JOIN mg ON mg.start <= rec.pos + 100 AND mg.\"end\" >= rec.pos - 100 GROUP BY event_id")
 def window_overlap(spark, d):
     wide = merged(spark, d).select((F.col("start") - 100).alias("start"), (F.col("end") + 100).alias("end"))
-    return iv.hits(records(spark, d).where("event_type = 'click'").select("event_id", "pos"), wide, BIN, inclusive=True).groupBy("event_id").agg(F.count("*").alias("n"))
+    return iv.hits(records(spark, d).select("event_id", "pos"), wide, BIN, inclusive=True).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
 @query("A25_peak_manifest", f"WITH {REC}, {PK}, raw AS (SELECT accession, count(*) AS raw_intervals FROM pk WHERE set_id = 'purchase' GROUP BY 1), {merged_sql('m', chr(40) + 'SELECT * FROM pk WHERE set_id = ' + chr(39) + 'purchase' + chr(39) + chr(41), 'accession')} SELECT accession, raw_intervals, count(*) AS merged_peaks, CAST(sum(\"end\" - start) AS BIGINT) AS merged_bp FROM m JOIN raw USING (accession) GROUP BY 1, 2")

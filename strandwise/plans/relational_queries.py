@@ -131,12 +131,6 @@ def allele_key(spark, d):
     return rows.select("doc_id", R.allele_key("doc_id", "quality").alias("allele_key"))
 
 
-@query("J7_cross_candidates_populations", "SELECT n_nationkey, r_regionkey, n_regionkey = r_regionkey AS same FROM nation, region")
-def cross(spark, d):
-    # Both sides are dimensions of fixed size: every candidate with every population is the result itself.
-    return table(spark, d, "nation").crossJoin(F.broadcast(table(spark, d, "region"))).select("n_nationkey", "r_regionkey", (F.col("n_regionkey") == F.col("r_regionkey")).alias("same"))
-
-
 @query("J8_hash_probe_best", "SELECT o_custkey, max(l_extendedprice) AS best FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
 def hash_probe(spark, d):
     o, li = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice")

@@ -136,13 +136,8 @@ def distribution(spark, d):
     return sums.join(at, "ranking")
 
 
-@query("W1_rank_by_abs", f"WITH {SC} SELECT ranking, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY ranking ORDER BY abs(score) DESC, event_id) AS rank FROM sc) WHERE rank <= 100")
+@query("W1_rank_by_abs", f"WITH {SC} SELECT ranking, event_id, row_number() OVER (PARTITION BY ranking ORDER BY abs(score) DESC, event_id) AS rank FROM sc")
 def rank_by_abs(spark, d):
-    return R.ranked(scores(spark, d), ["ranking"], "score", "event_id").where("rank <= 100").select("ranking", "event_id", F.col("rank").cast("long").alias("rank"))
-
-
-@query("W1_rank_by_abs_whole", f"WITH {SC} SELECT ranking, event_id, row_number() OVER (PARTITION BY ranking ORDER BY abs(score) DESC, event_id) AS rank FROM sc")
-def rank_by_abs_whole(spark, d):
     return R.ranked_whole(scores(spark, d), ["ranking"], "score", "event_id").select("ranking", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -283,15 +278,22 @@ def high_dprime(spark, d):
     return pairs(spark, d).where("d_prime >= 0.8 AND r2 < 0.2").select("population", "v1", "v2")
 
 
+@query("G9_high_dprime_low_r2_at_0_3", f"WITH {LD} SELECT population, v1, v2, round(d_prime, 9) AS d_prime, round(r2, 9) AS r2 FROM ld WHERE d_prime >= 0.3 AND r2 < 0.2")
+def high_dprime_lower(spark, d):
+    """The same at a bound that pairs of these tables reach."""
+    rows = pairs(spark, d).where("d_prime >= 0.3 AND r2 < 0.2")
+    return rows.select("population", "v1", "v2", F.round("d_prime", 9).alias("d_prime"), F.round("r2", 9).alias("r2"))
+
+
 @query("G8_internal_control", f"WITH {LD} SELECT population, v1, v2 FROM ld WHERE v1 = 0 AND v2 = 8 AND r2 < 0.8")
 def internal_control(spark, d):
     """Pairs of the control that fall short; no rows means that the control holds."""
     return pairs(spark, d).where("v1 = 0 AND v2 = 8 AND r2 < 0.8").select("population", "v1", "v2")
 
 
-@query("G10_population_frequency", f"WITH {HAP} SELECT population, variant, round(avg(allele), 9) AS alt_af FROM hap WHERE variant < 3 GROUP BY ALL")
+@query("G10_population_frequency", f"WITH {HAP} SELECT population, variant, round(avg(allele), 9) AS alt_af FROM hap GROUP BY ALL")
 def population_frequency(spark, d):
-    return L.allele_frequencies(haplotypes(spark, d).where("variant < 3")).select("population", "variant", F.round("alt_af", 9).alias("alt_af"))
+    return L.allele_frequencies(haplotypes(spark, d)).select("population", "variant", F.round("alt_af", 9).alias("alt_af"))
 
 
 @query("G11_verdict_tally", f"WITH v AS ({ORACLE['G7_best_partner']}) SELECT verdict, count(*) AS n FROM v GROUP BY 1")
@@ -352,11 +354,8 @@ de AS (SELECT o.rep, o.ranking AS comparator, r.v - o.v AS delta FROM cl o JOIN
 
 
 def boot_deltas(spark, d, seeds, replicates):
-    from pyspark.sql import Window
-
     rows = boot_rows(spark, d)
-    named = rows.where("narrow").select("start").distinct()
-    named = named.withColumn("elem", F.row_number().over(Window.orderBy("start")) - 1)
+    named = iv.numbered(rows.where("narrow").select("start").distinct(), [], "start", [], "elem")
     rows = rows.join(named.withColumn("narrow", F.lit(True)), ["start", "narrow"], "left").select("ranking", "event_id", "score", "wide", "narrow", "elem")
     cells = B.bootstrap_cells(rows, max(1, named.count()), seeds, replicates, "ranking", "score", "event_id", ["narrow", "wide"], 200)
     return B.contrast_change(cells, ["seed", "rep"], "score_1", "narrow", "wide")
@@ -390,28 +389,39 @@ def hash_draws(spark, d):
     return made.join(nations, "elem").select(F.col("rep").cast("long").alias("rep"), "n_name", "k")
 
 
-@query("B2_haplotype_bootstrap", f"""WITH {HAP}, w AS (SELECT hap, population, row_number() OVER (PARTITION BY population ORDER BY hap) - 1 AS i, count(*) OVER (PARTITION BY population) AS n FROM (SELECT DISTINCT population, hap FROM hap)),
- dr AS (SELECT population, rep, CAST('0x' || substr(md5('3|' || population || '|' || rep || '|' || i), 1, 8) AS BIGINT) % n AS i FROM w, range(0, 2000) r(rep)), kk AS (SELECT population, rep, i, count(*) AS k FROM dr GROUP BY ALL),
- xy AS (SELECT a.population, a.hap, a.allele AS x, b.allele AS y FROM hap a JOIN hap b USING (population, hap) WHERE a.variant = 0 AND b.variant = 9),
- s AS (SELECT kk.population, rep, sum(k) AS n, sum(k * x) AS x, sum(k * y) AS y, sum(k * x * y) AS xy FROM kk JOIN w ON kk.population = w.population AND kk.i = w.i JOIN xy ON xy.population = w.population AND xy.hap = w.hap GROUP BY ALL),
+def drawn_sql(name: str, source: str, left: str, members: str, weight: str, c: int) -> str:
+    """A class's draws: how many values of the binomial of what is left have a distribution function of at most a hash number."""
+    u = f"(CAST('0x' || substr(md5('3|' || population || '|' || rep || '|{c}'), 1, 8) AS BIGINT) + 0.5) / 4294967296.0"
+    lw = "lgamma(m + 1) - lgamma(v + 1) - lgamma(m - v + 1) + v * ln(p) + (m - v) * ln(1 - p)"
+    return f"""{name}_in AS (SELECT *, {left} AS m, {members} / nullif({weight}, 0) AS p, {u} AS u FROM {source}),
+ {name}_cdf AS (SELECT m, p, v, sum(exp({lw})) OVER (PARTITION BY m, p ORDER BY v ROWS UNBOUNDED PRECEDING) AS f FROM (SELECT m, p, unnest(range(0, m + 1)) AS v FROM (SELECT DISTINCT m, p FROM {name}_in WHERE p > 0 AND p < 1))),
+ {name} AS (SELECT i.* EXCLUDE (m, p, u), CASE WHEN any_value(i.p) >= 1 THEN any_value(i.m) ELSE count(c.f) END AS k{c} FROM {name}_in i LEFT JOIN {name}_cdf c ON c.m = i.m AND c.p = i.p AND c.f <= i.u GROUP BY ALL)"""
+
+
+RESAMPLED = f"""WITH {HAP}, pc AS (SELECT a.population, count(*) AS n, CAST(sum(a.allele) AS BIGINT) AS x, CAST(sum(b.allele) AS BIGINT) AS y, CAST(sum(a.allele * b.allele) AS BIGINT) AS xy FROM hap a JOIN hap b USING (population, hap) WHERE a.variant = 0 AND b.variant = 9 GROUP BY 1),
+ rr AS (SELECT pc.*, rep FROM pc, range(0, 2000) r(rep)),
+ {drawn_sql("d0", "rr", "n", "xy", "n", 0)}, {drawn_sql("d1", "d0", "n - k0", "(x - xy)", "(n - xy)", 1)}, {drawn_sql("d2", "d1", "n - k0 - k1", "(y - xy)", "(n - x)", 2)},
+ s AS (SELECT population, rep, n, k0 + k1 AS x, k0 + k2 AS y, k0 AS xy FROM d2),"""
+
+
+@query("B2_haplotype_bootstrap", RESAMPLED + """
  r AS (SELECT population, CASE WHEN x > 0 AND x < n AND y > 0 AND y < n THEN least(1, power(xy / n - (x / n) * (y / n), 2) / ((x / n) * (1 - x / n) * (y / n) * (1 - y / n))) ELSE 0 END AS r2 FROM s)
  SELECT population, round(quantile_cont(r2, 0.025), 6) AS boot_lo, round(quantile_cont(r2, 0.975), 6) AS boot_hi FROM r GROUP BY 1""")
 def haplotype_bootstrap(spark, d):
-    from pyspark.sql import Window
-
-    h = haplotypes(spark, d).where("variant IN (0, 9)")
-    pair = h.groupBy("population", "hap").agg(F.max(F.when(F.col("variant") == 0, F.col("allele"))).alias("_x"), F.max(F.when(F.col("variant") == 9, F.col("allele"))).alias("_y"))
-    by = Window.partitionBy("population")
-    pair = pair.withColumn("i", F.row_number().over(by.orderBy("hap")) - 1).withColumn("n", F.count("*").over(by))
-    slot = pair.select("population", "n", "i").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(1999))))
-    number = B.hash_number(F.lit("3"), F.col("population").cast("string"), F.col("rep").cast("string"), F.col("i").cast("string"))
-    k = slot.select("population", "rep", F.pmod(number, F.col("n")).cast("int").alias("i")).groupBy("population", "rep", "i").agg(F.count("*").alias("k"))
-    sums = k.join(pair.drop("n"), ["population", "i"]).groupBy("population", "rep").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("_x")).alias("x"), F.sum(F.col("k") * F.col("_y")).alias("y"), F.sum(F.col("k") * F.col("_x") * F.col("_y")).alias("xy"))
-    r2 = L.linkage(sums, least=1)
+    h = haplotypes(spark, d)
+    counts = L.pair_counts(h.where("variant = 0"), h.where("variant = 9"))
+    r2 = L.linkage(B.resampled_pairs(counts, ["population"], 3, 2000), least=1)
     q = r2.groupBy("population").agg(F.percentile("r2", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return q.select("population", F.round(F.col("q")[0], 6).alias("boot_lo"), F.round(F.col("q")[1], 6).alias("boot_hi"))
 
 
+@query("B2_resampled_counts", RESAMPLED[:-1] + " SELECT population, CAST(rep AS BIGINT) AS rep, n, x, y, xy FROM s")
+def resampled_counts(spark, d):
+    """Every replicate's counts, as drawn."""
+    h = haplotypes(spark, d)
+    return B.resampled_pairs(L.pair_counts(h.where("variant = 0"), h.where("variant = 9")), ["population"], 3, 2000)
+
+
 @query("TCRS_verdict_stable", f"WITH b AS ({ORACLE['B2_haplotype_bootstrap']}) SELECT population, boot_lo > 0.02 OR boot_hi < 0.02 AS stable FROM b")
 def verdict_stable(spark, d):
     return haplotype_bootstrap(spark, d).select("population", ((F.col("boot_lo") > 0.02) | (F.col("boot_hi") < 0.02)).alias("stable"))

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import time
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -142,6 +144,35 @@ def test_bootstrap_cells_against_copied_records(spark, n_fixed):
             assert [r[f"{name}_{c}"] for c in "abcd"] == [sum(top), len(top) - sum(top), sum(rest), len(rest) - sum(rest)]
 
 
+@pytest.mark.parametrize("n, p", [(0, 0.3), (1, 0.5), (12, 0.1), (60, 0.93), (7, 0.0), (7, 1.0)])
+def test_binomial_quantiles_by_fractions(n, p):
+    exact, cdf = Fraction(p), []
+    for k in range(n + 1):
+        cdf.append((cdf[-1] if cdf else 0) + math.comb(n, k) * exact**k * (1 - exact) ** (n - k))
+    u = np.array([(i + 0.5) / 997 for i in range(997)])
+    assert B.binomial_quantiles(u, n, p).tolist() == [min(n, sum(f <= Fraction(x) for f in cdf)) for x in u]
+
+
+def test_resampled_pairs_follow_the_law(spark):
+    """Means and covariances of the multinomial law over many replicates; a panel of 10^7 haplotypes takes seconds; empty classes stay empty."""
+    rows = [("small", 200, 90, 60, 40), ("large", 10**7, 4 * 10**6, 10**6, 5 * 10**5), ("none", 50, 0, 20, 0), ("all", 30, 30, 30, 30), (None, 40, 20, 20, 20)]
+    frame = spark.createDataFrame(rows, "population string, n long, x long, y long, xy long")
+    began = time.time()
+    got = B.resampled_pairs(frame, ["population"], 9, 4000).toPandas()
+    assert len(got) == 5 * 4000 and time.time() - began < 60
+    for name, n, x, y, xy in rows[:2]:
+        own = got[got.population == name]
+        for column, members in (("x", x), ("y", y), ("xy", xy)):
+            p = members / n
+            assert abs(own[column].mean() - members) < 5 * (n * p * (1 - p) / 4000) ** 0.5
+            assert own[column].var() == pytest.approx(n * p * (1 - p), rel=0.1)
+        assert np.cov(own.x, own.y)[0, 1] == pytest.approx(xy - x * y / n, rel=0.35)
+    none = got[got.population == "none"]
+    assert (none.x == 0).all() and (none.xy == 0).all() and none.y.std() > 0
+    assert (got[got.population == "all"][["x", "y", "xy"]] == 30).all().all()
+    assert (got[got.population.isna()].x == got[got.population.isna()].xy).all()
+
+
 def test_stability_grid_against_copied_records(spark, small):
     """The first and last replicates of every seed of the grid with all records copied out, and its intervals from all deltas."""
     from strandwise.plans import statistics_queries as Q
@@ -186,7 +217,7 @@ def test_whole_rankings_and_hits_against_brute_force(spark, small):
     for ranking in {r.ranking for r in scores}:
         own = sorted((-abs(r.score), r.event_id) for r in scores if r.ranking == ranking and r.score is not None)
         want |= {(ranking, e, i) for i, (_, e) in enumerate(own, 1)}
-    got = [(r.ranking, r.event_id, r["rank"]) for r in catalog.QUERIES["W1_rank_by_abs_whole"](spark, small).collect()]
+    got = [(r.ranking, r.event_id, r["rank"]) for r in catalog.QUERIES["W1_rank_by_abs"](spark, small).collect()]
     assert len(got) == len(want) > 700 and set(got) == want
     points = roles.records(spark, small).select("event_id", "pos").toPandas()
     peaks = roles.peaks(spark, small).where("set_id = 'purchase'").toPandas()
@@ -194,7 +225,7 @@ def test_whole_rankings_and_hits_against_brute_force(spark, small):
     for p in peaks.itertuples():
         for e in points.event_id[(points.pos >= p.start) & (points.pos < p.end)]:
             hits[e, p.accession] = hits.get((e, p.accession), 0) + 1
-    assert {(r.event_id, r.accession): r.n for r in catalog.QUERIES["J5_open_in_files_whole"](spark, small).collect()} == hits
+    assert {(r.event_id, r.accession): r.n for r in catalog.QUERIES["J5_open_in_files"](spark, small).collect()} == hits
 
 
 def test_perfect_lines_and_flat_columns(spark):
@@ -228,3 +259,21 @@ def test_listwise_against_pairwise_missing(spark):
             x, y = a[0, :n][ok], a[v, :n][ok]
             want = np.corrcoef(x, y)[0, 1] ** 2 if ok.sum() >= 20 else 0.0
             assert got[p, v][0] == ok.sum() and abs(got[p, v][1] - want) < 1e-9
+
+
+@pytest.mark.parametrize("hot", [1, 5, 10**9])
+def test_duplicate_marks_of_hot_keys(spark, monkeypatch, hot):
+    """Repeated keys by broadcast and by hash, null parts apart, against a plain count."""
+    monkeypatch.setattr(R, "HOT", hot)
+    rng = random.Random(16)
+    data = [(rng.choice([None, "x", "x", "x", "x", "yy", str(i)]), rng.choice([None, "x", ""]), i, "kept") for i in range(300)]
+    frame = spark.createDataFrame(data, "a string, b string, id int, _n string").repartition(5)
+    groups = {}
+    for a, b, i, _ in data:
+        groups.setdefault((a, b), []).append(i)
+    got = {r.id: (r.in_duplicate, r.later_duplicate) for r in R.mark_duplicates(frame.drop("_n"), ["a", "b"], ["id"]).collect()}
+    assert got == {i: (len(ids) > 1, i != min(ids)) for ids in groups.values() for i in ids}
+    assert {r.id for r in R.first_by(frame, ["a", "b"], ["id"]).collect()} == {min(ids) for ids in groups.values()}
+    assert R.first_by(frame, ["a", "b"], ["id"]).columns == frame.columns and R.mark_duplicates(frame.limit(0), ["a"], ["id"]).count() == 0
+    only = R.first_by(frame.select("a"), ["a"], ["a"])
+    assert only.count() == len({a for a, *_ in data})
