@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.landing import landed
+
 
 def overlaps(start: Column, end: Column, lo, hi, inclusive: bool = False) -> Column:
     """Overlap with a locus; strict by default, so an interval that only touches the bound is out."""
@@ -143,7 +145,7 @@ def probes(points: DataFrame, pos: Column, sizes: list[int], width: int) -> Data
 
 
 def sizes_of(dealt: DataFrame) -> list[int]:
-    """The sizes of bins that hold an interval: at most SIZES numbers on the driver."""
+    """The sizes of bins that hold an interval, of a written table: at most SIZES numbers on the driver."""
     return sorted(r["_size"] for r in dealt.select("_size").distinct().collect()) or [0]
 
 
@@ -155,7 +157,7 @@ def hits(points: DataFrame, iv: DataFrame, bin_width: int, pos: str = "pos", key
     """
     keys = list(keys)
     last = F.col("end") if inclusive else F.greatest(F.col("end") - 1, F.col("start"))
-    right = by_size(iv, F.col("start"), last, bin_width)
+    right = landed(by_size(iv, F.col("start"), last, bin_width), "dealt-intervals")
     left = probes(points, F.col(pos), sizes_of(right), bin_width)
     inside = (F.col(pos) >= F.col("start")) & (F.col(pos) <= F.col("end") if inclusive else F.col(pos) < F.col("end"))
     return left.join(right, [*keys, "_size", "_bin"]).where(inside).drop("_size", "_bin")
@@ -189,7 +191,7 @@ def nearest(points: DataFrame, features: DataFrame, reach: int, key: str, pos: s
     Features lie, with their reach, in bins of about their size, so the search is an equi-join; points with none in reach get nulls.
     """
     width = 2 * max(1, reach)
-    right = by_size(features, F.col("start") - reach, F.col("end") + reach, width)
+    right = landed(by_size(features, F.col("start") - reach, F.col("end") + reach, width), "dealt-features")
     near = probes(points.select(key, pos), F.col(pos), sizes_of(right), width).join(right, ["_size", "_bin"])
     gap = distance(F.col(pos), F.col("start"), F.col("end"))
     near = near.withColumn("distance", gap).where(F.col("distance") <= reach)

@@ -10,6 +10,7 @@ from ..operators import ranking as R
 from ..operators import resample as B
 from ..operators import stats as S
 from ..operators.quantiles import quantiles
+from ..sources.landing import landed
 from .roles import BIN, HAP, HAPM, MG, REC, SC, elements, haplotypes, haplotypes_with_gaps, merged, merged_sql, records, scores, scores_wide, table
 
 QUERIES, ORACLE = {}, {}
@@ -354,11 +355,12 @@ de AS (SELECT o.rep, o.ranking AS comparator, r.v - o.v AS delta FROM cl o JOIN
 
 
 def boot_deltas(spark, d, seeds, replicates):
-    rows = boot_rows(spark, d)
+    rows = landed(boot_rows(spark, d), "boot-rows")
     named = iv.numbered(rows.where("narrow").select("start").distinct(), [], "start", [], "elem")
+    named = landed(named, "boot-elements")
     rows = rows.join(named.withColumn("narrow", F.lit(True)), ["start", "narrow"], "left").select("ranking", "event_id", "score", "wide", "narrow", "elem")
     cells = B.bootstrap_cells(rows, max(1, named.count()), seeds, replicates, "ranking", "score", "event_id", ["narrow", "wide"], 200)
-    return B.contrast_change(cells, ["seed", "rep"], "score_1", "narrow", "wide")
+    return B.contrast_change(landed(cells, "boot-cells"), ["seed", "rep"], "score_1", "narrow", "wide")
 
 
 @query("B5_shared_draw_bootstrap", BOOT_SQL + "SELECT comparator, round(quantile_cont(delta, 0.025), 6) AS ci_low, round(quantile_cont(delta, 0.975), 6) AS ci_high, count(*) AS n FROM de GROUP BY 1")
