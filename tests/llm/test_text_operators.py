@@ -379,3 +379,53 @@ def test_reparameterised_questions_among_others(make, spark):
             texts.append(f"A plain text about {noun} that nobody {verb}, with {a} and {b} in it and no question at all.")
     got = {(r.doc_id, r.item_id): r.n_changed for r in decontam.contaminated(make(texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert want <= set(got) and all(got[x] > 0 for x in want) and not [d for d, _ in got if d % 3 == 2]
+
+
+def test_long_conversations_and_texts_are_formatted_whole(spark):
+    """300 turns in one conversation, a text of a million characters, and turns that are nothing but control strings."""
+    rng = random.Random(51)
+    said = lambda: "".join(rng.choice(["<|im_end|>", "<|", "\\|", "word ", "\n", "é"]) for _ in range(rng.randint(0, 12)))
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", said()) for t in range(300)]
+    rows += [(2, 0, "user", "short"), (2, 1, "assistant", "<|im_end|>\n" * 90_000 + "end"), (3, None, None, None), (3, 4, "assistant", "<|im_start|>assistant")]
+    out = {r.conv_id: r for r in chat.chat_digest(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))).collect()}
+    assert set(out) == {1, 2, 3}
+    for conv, r in out.items():
+        turns = sorted(((t is not None, t or 0, role or "", text or "") for c, t, role, text in rows if c == conv))
+        loss = "".join(text for _, _, role, text in turns if role == "assistant")
+        assert r.n_turns == len(turns) and r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{text}\n" for *_, role, text in turns).encode()).hexdigest()
+        assert r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and not r.rewrites_history
+
+
+def test_line_dedup_of_awkward_rows_by_definition(awkward):
+    """Nulls, empties, repeated and shared ids, and a very long text: what stays of each row, exactly."""
+    rows = awkward.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    several = {d for d in {r.doc_id for r in rows} if len({r.h for r in rows if r.doc_id == d}) > 1}
+    order = sorted({(r.doc_id is not None, r.doc_id or 0, r.h if r.doc_id in several else 0, r.text or "") for r in rows})
+    first, near, want = {}, {}, {}
+    for row in order:
+        for n, line in enumerate(row[3].split("\n")):
+            w = tuple(line.split())
+            if w and w not in first:
+                first[w] = (row[:3], n)
+    for w, place in first.items():
+        near[w] = len(w) >= 5 and any(len(x) >= 5 and abs(len(x) - len(w)) <= 1 and p < place and linededup.within_one([*map(str.encode, x)], [*map(str.encode, w)]) for x, p in first.items() if x != w)
+    for row in order:
+        lines = [(n, tuple(line.split())) for n, line in enumerate(row[3].split("\n")) if line.split()]
+        want[row] = [n for n, w in lines if near[w] or first[w] != (row[:3], n)]
+    got = {}
+    for r in linededup.line_dedup(awkward).collect():
+        got.setdefault((r.doc_id is not None, r.doc_id or 0, r.text_hash), []).append(list(r.removed))
+    for row in order:
+        for removed in got[row[0], row[1], next(r.h for r in rows if (r.text or "") == row[3])]:
+            assert removed == want[row]
+
+
+def test_decontamination_of_awkward_rows_by_definition(awkward, spark):
+    """Items cut out of awkward documents are found in every document that holds them, and in no other."""
+    rows = awkward.select("doc_id", "text").collect()
+    by_id = {r.doc_id: r.text for r in rows if r.text and r.text.strip()}
+    items = [(d, " ".join(by_id[d].replace("\n", " ").split()[5:25])) for d in (3, 7, 105) if len(by_id[d].split()) > 30]
+    plain = lambda t: " " + " ".join(w.strip(decontam.OUTER).lower() for w in t.split()) + " "
+    want = {(r.doc_id, i) for r in rows if r.text for i, item in items if plain(item) in plain(r.text)}
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(awkward, spark.createDataFrame([*items, (-1, None), (-2, "")], "item_id long, text string")).collect()}
+    assert got == want and len(want) >= len(items) > 0
