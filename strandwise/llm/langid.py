@@ -2,7 +2,8 @@
 
 Each language has a binary codeword; one linear n-gram classifier per code bit tells the languages with
 a 1 from those with a 0. A text's margins are decoded by summed logistic loss, each bit weighted by its
-classifier's training accuracy: the nearest codeword wins, and a small lead over the second is flagged.
+classifier's least margin over the languages' pooled training counts, read as an accuracy: the nearest
+codeword wins, and a small lead over the second is flagged.
 """
 
 from __future__ import annotations
