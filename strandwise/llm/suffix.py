@@ -7,12 +7,18 @@ Segments that are equal are collapsed first; only hashes with several different
 array. Their segments are laid side by side, the suffixes are sorted by induced sorting, the common
 prefixes are found in text order (the permuted array), and a window that agrees with a neighbour in the
 order over its whole length is a repeat.
+
+A hash with very many different segments (the edges of a passage that many texts hold) is cut further:
+where a window's smallest gram stands in it depends on the window alone, so windows are parted by ranges
+of that place, and those of one range by the bytes that all of the range must hold. Ranges shrink until
+a group is small enough for a suffix array; at the end a piece is a single window.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize
+from .common import batch, broadcast_if_small, materialize
 
 MULTIPLIER = 0x5851F42D4C957F2D
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+#: Keys of dense groups up to which they are broadcast; beyond, they are joined by shuffle.
+DENSE_KEYS = 500_000
 
 
 @dataclass(frozen=True)
 class RepeatSpec:
-    """length: bytes of a repeated string; gram: bytes of the hashed k-grams; most_windows: windows a segment holds at most; shard_bytes: segment bytes from which a suffix array is built; dense: different segments with one hash from which windows are counted by their own hashes instead, so that no hash can fill a task."""
+    """length: bytes of a repeated string; gram: bytes of the hashed k-grams; most_windows: windows a segment holds at most; shard_bytes: segment bytes from which a suffix array is built; dense: different segments with one hash beyond which they are cut further, so that no hash can fill a task."""
 
     length: int = 400
     gram: int = 64
@@ -354,22 +362,75 @@ def shard_repeats(segments: DataFrame, spec: RepeatSpec) -> DataFrame:
     return segments.repartition("h").sortWithinPartitions("h").mapInArrow(run, f"h long, s1 long, s2 long, hits {SPANS}")
 
 
-def dense_repeats(segments: DataFrame, spec: RepeatSpec) -> DataFrame:
-    """The same for hashes with very many different segments: windows are counted by 128-bit digest, with partial sums."""
-    schema = pa.schema([("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("w", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+def anchored_pieces(segments: DataFrame, spec: RepeatSpec, width: int) -> DataFrame:
+    """Segments cut where their windows' range of offsets changes; an offset is how far into a window its first smallest gram is.
+
+    segments: (h, s1, s2, w, top, data); data begins at the segment's window w, whose offset is top (-1:
+    to be found, windows may then follow several grams). Returned: the same of each piece, with its number
+    of windows, a digest (d1, d2), and as key a hash of the bytes that every window of the range holds.
+    Equal windows have equal offsets and hold equal bytes there, so they share a key.
+    """
+    names = ["h", "s1", "s2", "w", "top", "windows", "key", "d1", "d2"]
+    schema = pa.schema([(n, pa.int64()) for n in names] + [("data", pa.binary())])
+    reach = spec.length - spec.gram
 
     def run(batches):
+        grams = Grams(spec)
+        out, size = {n: [] for n in schema.names}, 0
         for b in batches:
-            for h, s1, s2, data in zip(*(c.to_pylist() for c in b.columns)):
-                view, n = memoryview(data), len(data) - spec.length + 1
-                digests = [xxhash.xxh3_128_intdigest(view[i : i + spec.length]) for i in range(n)]
-                yield batch(schema, h=[h] * n, s1=[s1] * n, s2=[s2] * n, w=list(range(n)), d1=[signed(d >> 64) for d in digests], d2=[signed(d & (1 << 64) - 1) for d in digests])
+            for h, s1, s2, w, top, data in zip(*(c.to_pylist() for c in b.columns)):
+                at = np.arange(len(data) - spec.length + 1)
+                if top < 0:
+                    _, hashes = grams.smallest(np.frombuffer(data, np.uint8))
+                    places = np.flatnonzero(hashes == np.uint64(h % (1 << 64)))
+                    offset = places[np.searchsorted(places, at)] - at
+                else:
+                    offset = top - at
+                cell = offset // width
+                edges = np.flatnonzero((cell[1:] != cell[:-1]) | (offset[1:] != offset[:-1] - 1)) + 1
+                for x, y in zip([0, *edges.tolist()], [*edges.tolist(), len(at)]):
+                    gram, low = x + int(offset[x]), int(cell[x]) * width
+                    key = xxhash.xxh3_64_intdigest(data[gram - low : gram - min(low + width - 1, reach) + spec.length], low)
+                    piece = data[x : y - 1 + spec.length]
+                    d = xxhash.xxh3_128_intdigest(piece)
+                    row = (h, s1, s2, w + x, int(offset[x]), y - x, signed(key), signed(d >> 64), signed(d & (1 << 64) - 1), piece)
+                    for n, v in zip(schema.names, row):
+                        out[n].append(v)
+                    size += len(piece)
+                    if size > 1 << 22:
+                        yield batch(schema, **out)
+                        out, size = {n: [] for n in schema.names}, 0
+        yield batch(schema, **out)
 
-    windows = segments.mapInArrow(run, "h long, s1 long, s2 long, w long, d1 long, d2 long")
-    # Written first, so that the join below shuffles both sides and a digest that very many share can be split.
-    often = materialize(windows.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2"), "often-windows")
-    hits = windows.join(often, ["d1", "d2"], "left_semi").groupBy("h", "s1", "s2").agg(F.array_sort(F.collect_set(F.col("w").cast("int"))).alias("w"))
-    return hits.select("h", "s1", "s2", F.expr("transform(w, x -> named_struct('a', x, 'b', x))").alias("hits"))
+    return segments.select("h", "s1", "s2", "w", "top", "data").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", data binary")
+
+
+def dense_repeats(segments: DataFrame, spec: RepeatSpec) -> DataFrame:
+    """(h, s1, s2, hits) of hashes with very many different segments, cut until suffix arrays can take them.
+
+    segments: (h, s1, s2, data). Each round has eight times narrower ranges. Pieces that are equal are
+    repeats as a whole and go on as one; groups of up to spec.dense different pieces go to suffix arrays
+    (a piece by itself repeats nothing, as its windows have different offsets); larger ones are cut again.
+    """
+    open_ = segments.select("h", "s1", "s2", F.lit(0).cast("long").alias("w"), F.lit(-1).cast("long").alias("top"), "data")
+    kind, width, found = ["key", "d1", "d2"], spec.length - spec.gram + 1, []
+    while True:
+        width = -(-width // 8)
+        cut = materialize(anchored_pieces(open_, spec, width), "dense-pieces")
+        kinds = cut.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("h", "s1", "s2", "w")).alias("one"), F.first("top").alias("top"), F.first("data").alias("data"))
+        kinds = materialize(kinds, "dense-kinds")
+        whole = cut.join(kinds.where("n > 1").select(*kind), kind)
+        found.append(whole.select("h", "s1", "s2", F.expr("array(named_struct('a', cast(w AS int), 'b', cast(w + windows - 1 AS int)))").alias("hits")))
+        groups = materialize(kinds.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "dense-groups")
+        # Groups of single windows differ in more than their key only if its 64 bits collide.
+        few = kinds.join(groups if width == 1 else groups.where(F.col("k") <= spec.dense), "key").select(F.col("key").alias("h"), F.col("d1").alias("s1"), F.col("d2").alias("s2"), "data")
+        inside = shard_repeats(few, spec).select(F.col("h").alias("key"), F.col("s1").alias("d1"), F.col("s2").alias("d2"), "hits").join(kinds.where("n = 1").select(*kind, "one"), kind)
+        found.append(inside.select("one.h", "one.s1", "one.s2", F.expr("transform(hits, x -> named_struct('a', cast(x.a + one.w AS int), 'b', cast(x.b + one.w AS int)))").alias("hits")))
+        more = groups.where(F.col("k") > spec.dense)
+        if width == 1 or not more.limit(1).count():
+            break
+        open_ = kinds.join(broadcast_if_small(more, DENSE_KEYS), "key").select("one.h", "one.s1", "one.s2", "one.w", "top", "data")
+    return reduce(DataFrame.union, found).groupBy("h", "s1", "s2").agg(F.flatten(F.collect_list("hits")).alias("hits"))
 
 
 def repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame:
@@ -385,8 +446,10 @@ def repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame:
     needed = materialize(kinds.join(several, "h").select("h", "s1", "s2", "k", "one.*"), "segments-needed")
     wanted = needed.groupBy(F.col("doc_id").alias("row_id")).agg(F.collect_list(F.struct("at", "windows", "h", "s1", "s2", "k")).alias("want"))
     data = materialize(segment_bytes(docs.join(wanted, "row_id").select("text", "want"), spec), "segment-bytes")
-    shards = shard_repeats(data.where(F.col("k") <= spec.dense).drop("k"), spec)
-    found = shards.union(dense_repeats(data.where(F.col("k") > spec.dense).drop("k"), spec))
+    found = shard_repeats(data.where(F.col("k") <= spec.dense).drop("k"), spec)
+    dense = data.where(F.col("k") > spec.dense).drop("k")
+    if dense.limit(1).count():
+        found = found.union(dense_repeats(dense, spec))
     whole = F.expr(f"cast(array(named_struct('a', 0, 'b', -1)) AS {SPANS})")
     often = kinds.where("n > 1").select("h", "s1", "s2", whole.alias("hits"))
     hits = materialize(often.union(found.join(often.select("h", "s1", "s2"), ["h", "s1", "s2"], "left_anti")), "segment-hits")

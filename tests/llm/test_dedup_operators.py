@@ -266,7 +266,7 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("dense", [4096, 1])
+@pytest.mark.parametrize("dense", [4096, 6, 1])
 def test_repeats_against_brute_force(make, dense):
     rng = random.Random(6)
     passage = "".join(rng.choice("abcé ") for _ in range(150))
@@ -278,6 +278,47 @@ def test_repeats_against_brute_force(make, dense):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and r.changed == (r.n_removed > 0) for r in got)
 
 
+@pytest.mark.parametrize("dense", [12, 2])
+def test_repeats_of_dense_hashes(spark, make, dense):
+    """Passages just below, at and above the length in many different surroundings, and runs of one letter in many lengths: one hash has many different segments."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for n in (38, 39, 40, 41, 70):
+        passage = word(n)
+        texts += [word(rng.randint(30, 60)) + passage + word(rng.randint(30, 60)) for _ in range(25)]
+        texts += [texts[-1][:50] + texts[-2][50:]]
+    texts += [word(20) + "z" * n + word(20) for n in range(20, 75, 2)] + [None, "", "zy" * 60]
+    rng.shuffle(texts)
+    spec = suffix.RepeatSpec(length=40, gram=8, most_windows=64, shard_bytes=2000, dense=dense)
+    got = suffix.remove_repeats(make(texts), spec).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_repeats(texts, 40)
+    seg = suffix.segment_rows(make(texts).select("doc_id", "text"), spec)
+    assert seg.groupBy("h").agg(F.countDistinct("s1", "s2").alias("k")).where(F.col("k") > 20).count() >= 3
+
+
+def test_pieces_of_equal_windows_share_a_key(spark):
+    """Every window lies in one piece, ranges have the stated width, and windows alike in two segments get one key."""
+    rng = random.Random(9)
+    spec = suffix.RepeatSpec(length=40, gram=8, most_windows=64)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(44))
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(50)) + passage + "".join(rng.choice("abcdefgh") for _ in range(50)) for _ in range(6)]
+    grams, rows = suffix.Grams(spec), []
+    for i, t in enumerate(texts):
+        for a, b, h, _ in grams.segments(t.encode()):
+            rows.append((suffix.signed(h), i, a, 0, -1, bytearray(t[a : b + spec.length].encode())))
+    table = spark.createDataFrame(rows, "h long, s1 long, s2 long, w long, top long, data binary")
+    for width in (5, 1):
+        keys, seen = {}, Counter()
+        for r in suffix.anchored_pieces(table, spec, width).collect():
+            assert r.windows <= width and len(r.data) == r.windows + 39
+            for k in range(r.windows):
+                seen[r.s1, r.s2 + r.w + k] += 1
+                keys.setdefault(bytes(r.data[k : k + 40]), []).append(r.key)
+        assert set(seen.values()) == {1} and len(seen) == sum(len(t) - 39 for t in texts)
+        assert all(len(set(x)) == 1 for x in keys.values()) and max(map(len, keys.values())) == 6
+
+
 def test_repeats_awkward(awkward, nothing):
     out = suffix.remove_repeats(awkward).collect()
     want = Counter(brute_repeats([r.text for r in awkward.collect()], 400))
