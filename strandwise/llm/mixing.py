@@ -9,12 +9,13 @@ Last, each source's permuted draws are dealt to the shards by their quotas, and
 inside a shard.
 
 Sources are a dimension: their table and the tree's nodes (one row with a number a source) are held in
-one task, and the single documents, at most spec.fill a source, are broadcast up to SINGLE_ROWS of them.
+one task; the single documents are broadcast up to SINGLE_ROWS of them and joined by shuffle beyond.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from .common import broadcast_if_small, materialize, word_count
 
 @dataclass(frozen=True)
 class MixSpec:
-    """weights repeat over the sources in code-point order (null last); share is the mix's size as a part of all sizes; a source is repeated up to max_epochs times. blocks bounds the number of blocks over all sources (each has one at least), block_rows is the least number of documents a block or part is meant to hold. What whole blocks and parts leave over is filled with single documents of the next fill ones in permuted order that are small enough."""
+    """weights repeat over the sources in code-point order (null last); share is the mix's size as a part of all sizes; a source is repeated up to max_epochs times. blocks bounds the number of blocks over all sources (each has one at least), block_rows is the least number of documents a block or part is meant to hold. What whole blocks and parts leave over is filled with single documents in permuted order until none fits; fill of them are looked at in the first round."""
 
     weights: tuple[float, ...] = (3, 1, 2)
     share: float = 1.5
@@ -39,6 +40,8 @@ class MixSpec:
 #: Rows up to which a table of sources or blocks, and of single documents, is broadcast; beyond, it is joined by shuffle.
 PLAN_ROWS = 50_000
 SINGLE_ROWS = 500_000
+#: Documents of a source that a round of filling holds in one row at most.
+FILL_ROWS = 4096
 
 
 def permuted(spec: MixSpec) -> Column:
@@ -126,33 +129,49 @@ def after_parts(at: DataFrame, cut: DataFrame, spec: MixSpec) -> DataFrame:
 
 
 def single_documents(at: DataFrame, cut: DataFrame, spec: MixSpec) -> DataFrame:
-    """(idx, doc_id): what fills a source's last words, one by one in permuted order, from the next spec.fill documents that could.
+    """(idx, doc_id): what fills a source's last words, one by one in permuted order, until no document that follows fits.
 
-    cut: (idx, cut, n_parts, last, left), a row a source. One more document is taken where overshooting by
-    it misses the target by less than leaving it out.
+    cut: (idx, cut, n_parts, last, left), a row a source. A round looks at the next documents that are no
+    larger than what is left, spec.fill of them and four times as many in each later round up to FILL_ROWS;
+    how many does not change what is drawn. Last, one more document is taken where overshooting by it
+    misses the target by less than leaving it out. Rows that share a doc_id count as one document.
     """
     rest = at.join(cut, "idx").withColumn("part", F.when(F.col("slot") == F.col("cut"), slot_of(F.col("h"), F.col("n_parts"), 2)).otherwise(0))
-    rest = rest.where("slot > cut OR (slot = cut AND part >= last)").where("size > 0 AND size < 2 * left")
-    order = Window.partitionBy("idx").orderBy("slot", "part", "h", "doc_id")
-    near = rest.withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= spec.fill)
-    docs = near.groupBy("idx", "left", "_n", "doc_id").agg(F.sum("size").alias("words"))
-    docs = docs.groupBy("idx", "left").agg(F.array_sort(F.collect_list(F.struct("_n", "doc_id", "words"))).alias("docs"))
-    empty = "cast(array() AS array<struct<doc_id: bigint, words: bigint>>)"
-    one = "array(named_struct('doc_id', x.doc_id, 'words', x.words))"
+    rest = rest.where("slot > cut OR (slot = cut AND part >= last)").groupBy("idx", "left", "slot", "part", "h", "doc_id").agg(F.sum("size").alias("words"))
+    rest = materialize(rest.where("words > 0 AND words < 2 * left").select("idx", F.struct("slot", "part", "h", "doc_id").alias("place"), "words"), "mix-rest")
+    empty = "cast(array() AS array<bigint>)"
     fit = (
-        f"aggregate(docs, named_struct('left', left, 'ids', {empty}, 'rest', {empty}), (s, x) -> CASE WHEN x.words <= s.left "
-        f"THEN named_struct('left', s.left - x.words, 'ids', concat(s.ids, {one}), 'rest', s.rest) ELSE named_struct('left', s.left, 'ids', s.ids, 'rest', concat(s.rest, {one})) END)"
+        f"aggregate(docs, named_struct('left', left, 'ids', {empty}), (s, x) -> CASE WHEN x.words <= s.left "
+        "THEN named_struct('left', s.left - x.words, 'ids', concat(s.ids, array(x.place.doc_id))) ELSE s END)"
     )
-    over = "slice(array_sort(transform(filter(fit.rest, x -> x.words < 2 * fit.left), x -> named_struct('miss', abs(x.words - fit.left), 'doc_id', x.doc_id))), 1, 1)"
-    chosen = f"concat(transform(fit.ids, x -> x.doc_id), transform({over}, x -> x.doc_id))"
-    return docs.select("idx", F.expr(fit).alias("fit")).select("idx", F.explode(F.expr(chosen)).alias("doc_id"))
+    state = materialize(cut.select("idx", "left", F.lit(None).cast(rest.schema["place"].dataType).alias("after")), "mix-state")
+    done, drawn, rows = [], [], spec.fill
+    while True:
+        near = rest.join(broadcast_if_small(state, PLAN_ROWS), "idx").where("words <= left AND (after IS NULL OR place > after)")
+        near = near.withColumn("_n", F.row_number().over(Window.partitionBy("idx").orderBy("place"))).where(F.col("_n") <= rows)
+        docs = near.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("place", "words"))).alias("docs"))
+        seen = state.join(docs, "idx", "left").withColumn("docs", F.coalesce("docs", F.expr("filter(array(named_struct('place', after, 'words', 0L)), x -> false)")))
+        step = seen.withColumn("fit", F.expr(fit)).select("idx", "fit.left", "fit.ids", F.expr("try_element_at(docs, -1).place").alias("after"), (F.size("docs") == rows).alias("more"))
+        step = materialize(step, "mix-step")
+        drawn.append(step.select("idx", F.explode("ids").alias("doc_id")))
+        goes_on = F.col("more") & (F.col("left") >= 1)
+        done.append(step.where(~goes_on).select("idx", "left"))
+        state = step.where(goes_on).select("idx", "left", "after")
+        if not state.limit(1).count():
+            break
+        rows = min(4 * rows, max(FILL_ROWS, spec.fill))
+    drawn, ends = materialize(reduce(DataFrame.union, drawn), "mix-drawn"), reduce(DataFrame.union, done).where("left > 0")
+    over = rest.join(broadcast_if_small(ends, PLAN_ROWS), "idx").where("words < 2 * left").select("idx", "place.doc_id", F.abs(F.col("words") - F.col("left")).alias("miss"))
+    taken = broadcast_if_small(drawn.select(F.col("idx").alias("_of"), F.col("doc_id").alias("_doc")), SINGLE_ROWS)
+    over = over.join(taken, (F.col("idx") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    return drawn.union(over.groupBy("idx").agg(F.min(F.struct("miss", "doc_id")).alias("best")).select("idx", "best.doc_id"))
 
 
 def plan(sizes: DataFrame, spec: MixSpec) -> MixPlan:
     """What each source gives: written tables of sources, of block draws by shard, and of the documents drawn singly.
 
-    sizes: (doc_id, source, size). One rule holds for sources of every size. All tables are bounded by the
-    number of sources, spec.blocks and spec.fill.
+    sizes: (doc_id, source, size). One rule holds for sources of every size. All tables but that of the
+    single documents are bounded by the number of sources and spec.blocks.
     """
     total = F.sum("n_docs").over(Window.partitionBy())
     n_blocks = F.greatest(F.lit(1), F.least(F.floor(F.col("n_docs") / spec.block_rows), F.floor(F.col("n_docs") * spec.blocks / total))).cast("long")

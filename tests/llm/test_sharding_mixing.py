@@ -191,7 +191,7 @@ def expected_draws(docs, plan, spec):
         left = need - used - more
         drawn = {i for i, (n, h) in mine.items() if slot(h, n_blocks, 33) < cut} | {i for i, h in in_cut.items() if slot(h, n_parts, 2) < last}
         place = lambda i: (slot(mine[i][1], n_blocks, 33), slot(mine[i][1], n_parts, 2) if i in in_cut else 0, mine[i][1] - (mine[i][1] >> 63 << 64), i)
-        rest = sorted((i for i in mine if i not in drawn and 0 < mine[i][0] < 2 * left), key=place)[: spec.fill]
+        rest = sorted((i for i in mine if i not in drawn and 0 < mine[i][0] < 2 * left), key=place)
         skipped = []
         for i in rest:
             if mine[i][0] <= left:
@@ -232,6 +232,20 @@ def test_draws_and_quotas_against_brute_force(spark, fill):
     assert mixed == Counter((i, s) for i, x in out.shard_draws.items() for s in x)
 
 
+def test_a_source_is_filled_beyond_the_first_round(spark):
+    """A document too long to fit leaves thousands of words open; all of them are filled, whatever a round looks at, and rows of one id are drawn together."""
+    rows = [(0, "a", " ".join(["w"] * 6000))] + [(1 + i, "a", "three short words") for i in range(1500)] + [(1501 + i // 2, "a", "two words") for i in range(200)]
+    docs = spark.createDataFrame([*rows, *[(9000 + i, "b", "w") for i in range(50)]], "doc_id long, source string, text string").repartition(3)
+    got = {}
+    for fill in (40, 256):
+        out = mixing.mix_counts(docs, mixing.MixSpec(weights=(1,), share=0.3, max_epochs=0.5, blocks=4, fill=fill)).toPandas()
+        part = out[out.source_size > 50]
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 2
+        got[fill] = sorted(zip(out.doc_id.tolist(), out.taken.tolist()))
+        assert all(g.taken.nunique() == 1 for _, g in out.groupby("doc_id"))
+    assert got[40] == got[256]
+
+
 def test_split_follows_the_hypergeometric_law(spark):
     """Mean and variance of a source's items on the left half, over seeds."""
     n, k, left = 60, 24, 30
