@@ -26,6 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, Jaccard similarity 0.8), that of the smallest doc_id.
 
+    SimHash with the operator's segment counts, grid cells one step apart and Hamming check finds all pairs within its radius, cells of
+    further fingerprint bits those farther apart; the exact similarity of both is checked.
     Texts without words are copies of one another; rows without doc_id stay; of rows that share one, one stays. No rows give no rows; extra columns stay.
     """
     return drop_near_duplicates(docs)

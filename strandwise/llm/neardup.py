@@ -2,10 +2,11 @@
 
 A single 64-bit SimHash with a small radius finds only copies with hardly a change: at a Jaccard
 similarity of 0.8 about 15% of the bits differ. So a document gets a 256-bit fingerprint (four lanes of
-its shingle hashes), and the grid join runs over many sub-fingerprints of some of its bits: segments of one
-bit, whose count vector is the cell, at Manhattan distance 0. Documents that meet in a cell are compared
-by the Hamming distance of one lane, and what passes is verified by the exact Jaccard similarity of the
-shingle sets.
+its shingle hashes). The first lane is the document's SimHash, and goes through the operator's own steps:
+16 segments' bit counts, the grid cell of that vector and those one step away, and of the documents that
+meet there those within the operator's radius. For pairs farther apart many sub-fingerprints of some of the
+256 bits are cells, too, in which documents are compared by the Hamming distance of one lane. What passes
+either way is verified by the exact Jaccard similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, broadcast_if_small, connected_components, materialize, pieces
-from .simhash import LANES, fingerprint, shingle_hashes
+from .simhash import LANES, RADIUS, fingerprint, grid, shingle_hashes
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,13 @@ class NearDupSpec:
 
 
 LANE_NAMES = [f"f{i}" for i in range(len(LANES))]
+#: Added to the key of a grid cell, above all keys of bands; keys of rare shingles are negative.
+GRID = 1 << 62
+
+
+def reach(key: int, spec: NearDupSpec) -> int:
+    """Lane bits in which documents that meet under a key may differ: the operator's radius in a cell of the SimHash grid, most_far in a band's; under a rare shingle any, as lanes there may be of different bands."""
+    return RADIUS if key >= GRID else spec.most_far if key >= 0 else 64
 
 
 def sketches(docs: DataFrame, spec: NearDupSpec) -> DataFrame:
@@ -81,6 +89,11 @@ def cells(classes: DataFrame, spec: NearDupSpec, bands: int) -> DataFrame:
     return classes.select("id", "root", *LANE_NAMES).mapInArrow(run, "key long, id long, lane long, root long")
 
 
+def grid_cells(classes: DataFrame) -> DataFrame:
+    """(key, id, lane, root): each class in the SimHash operator's grid, by its first lane: in its own cell and in those one step away. Any two within the radius meet."""
+    return grid(classes.select("id", F.col("f0").alias("fp"), "root")).select((F.col("key") + F.lit(GRID)).alias("key"), "id", F.col("fp").alias("lane"), "root")
+
+
 def close_pairs(batches, spec: NearDupSpec):
     """The first round's candidate pairs (a, b) of different roots, from rows sorted by cell.
 
@@ -154,11 +167,11 @@ MEMBERS = pa.schema([(n, pa.int64()) for n in NAMES])
 MEMBERS_DDL = ", ".join(f"{n} long" for n in NAMES)
 
 
-def partnered(lane, root, spec: NearDupSpec, side=None) -> np.ndarray:
+def partnered(lane, root, most_far: int, side=None) -> np.ndarray:
     """Which rows have a partner: one of another root, within most_far bits, and, if sides are given, of the other side."""
     out = np.zeros(len(lane), bool)
     for at in range(0, len(lane), 256):
-        near = np.bitwise_count((lane[at : at + 256, None] ^ lane[None, :]).view(np.uint64)) <= spec.most_far
+        near = np.bitwise_count((lane[at : at + 256, None] ^ lane[None, :]).view(np.uint64)) <= most_far
         near &= root[at : at + 256, None] != root[None, :]
         if side is not None:
             near &= side[at : at + 256, None] != side[None, :]
@@ -228,7 +241,7 @@ def cell_members(batches, spec: NearDupSpec):
         if at is None and (cell.shape[1] < 2 or (cell[3] == cell[3, 0]).all()):
             continue
         if at is None:
-            cell = cell[:, partnered(cell[2], cell[3], spec)]
+            cell = cell[:, partnered(cell[2], cell[3], reach(int(cell[0, 0]), spec))]
         ready.append(out(cell, at, False))
         n += cell.shape[1]
         if n > 100_000:
@@ -242,7 +255,7 @@ def block_members(batches, spec: NearDupSpec):
     """MEMBERS rows of pairs of blocks, sorted by key, i, j: those that have a partner in the other block (of one block: in it)."""
     for group in runs_of(batches, 3):
         low = group[3] == group[1, 0]
-        keep = partnered(group[5], group[6], spec, None if low.all() else low)
+        keep = partnered(group[5], group[6], reach(int(group[0, 0]), spec), None if low.all() else low)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in group[:, keep]], schema=MEMBERS)
 
 
@@ -329,7 +342,8 @@ def verified_cells(batches, spec: NearDupSpec):
 
     def settle(group):
         k = np.array([g[:7] for g in group], np.int64).T
-        found = cell_links(k[5], k[6], k[4], k[3] == k[1, 0], [np.frombuffer(g[7], np.uint32) for g in group], spec)
+        within = replace(spec, most_far=reach(int(k[0, 0]), spec))
+        found = cell_links(k[5], k[6], k[4], k[3] == k[1, 0], [np.frombuffer(g[7], np.uint32) for g in group], within)
         return batch(schema, a=[x for x, _ in found], b=[x for _, x in found])
 
     group: list[tuple] = []
@@ -388,8 +402,9 @@ def nearest_links(docs: DataFrame, classes: DataFrame, spec: NearDupSpec) -> Dat
 
 
 def all_links(docs: DataFrame, classes: DataFrame, spec: NearDupSpec) -> DataFrame:
-    """Edges (a, b) that connect whatever is similar enough and meets in a cell of any band; a row a document and cell moves, or a document and rare shingle where cells are full. classes: id, root, lanes."""
-    held = members(cells(classes, spec, spec.bands).repartition("key").sortWithinPartitions("key"), spec, lambda ids: wanted_sets(docs, ids, spec))
+    """Edges (a, b) that connect whatever is similar enough and meets in a cell of the SimHash grid, within the radius, or of any band; a row a document and cell moves, or a document and rare shingle where cells are full. classes: id, root, lanes."""
+    met = grid_cells(classes).union(cells(classes, spec, spec.bands))
+    held = members(met.repartition("key").sortWithinPartitions("key"), spec, lambda ids: wanted_sets(docs, ids, spec))
     sets = wanted_sets(docs, held.select("id"), spec)
     # A text of an id that stands for two different texts has a set a text.
     rows = held.join(sets, "id").select(*NAMES, "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -402,8 +417,8 @@ def near_duplicate_groups(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) ->
     Documents with the same lower-cased words are one class, named by its smallest doc_id and compared
     once; classes at a Jaccard similarity of spec.similarity or more over distinct word shingles are
     linked, links are transitive. A first round over a few bands, with the nearest of each cell only, links
-    most of each group; the second compares all that meet in a cell of any band and are not connected yet,
-    inside the cell's task, so that a document is moved once a cell and only links come out. A text of fewer words than a shingle is one shingle; one
+    most of each group; the second compares all that meet in a cell of the SimHash grid or of any band and are not
+    connected yet, inside the cell's task, so that a document is moved once a cell and only links come out. A text of fewer words than a shingle is one shingle; one
     without words (or null) equals others of its kind. Different texts with one doc_id are one node. Rows
     without doc_id are left out. Extra columns are ignored; no rows give no rows.
     """

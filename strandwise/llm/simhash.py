@@ -82,6 +82,15 @@ def cell(fp: Column) -> Column:
     return out
 
 
+def grid(prints: DataFrame) -> DataFrame:
+    """prints (a column fp and others) with key and step: a row for a fingerprint's own grid cell (step 0) and for each cell one step away."""
+    steps = f"sequence(-{SEGMENTS}, {SEGMENTS})"
+    count = "(cell >> (3 * (abs(step) - 1))) & 7"
+    key = "cast(CASE WHEN step = 0 THEN cell ELSE cell + sign(step) * shiftleft(1L, 3 * (abs(step) - 1)) END AS long)"
+    dealt = prints.withColumn("cell", cell(F.col("fp"))).withColumn("step", F.explode(F.expr(steps)))
+    return dealt.where(f"step = 0 OR (step > 0 AND {count} < 4) OR (step < 0 AND {count} > 0)").withColumn("key", F.expr(key)).drop("cell")
+
+
 def runs_to_pairs(batches, cap: int = CELL_CAP, radius: int = RADIUS):
     """From rows sorted by grid cell: verified pairs (a, b), and members (a, null) of cells over cap.
 
@@ -143,16 +152,7 @@ def fingerprint_links(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
     a member instead of all pairs. Two such members share exactly two words, so a member's others,
     summed over its words, count each twice.
     """
-    steps = f"sequence(-{SEGMENTS}, {SEGMENTS})"
-    count = "(cell >> (3 * (abs(step) - 1))) & 7"
-    keys = (
-        distinct.select("fp", cell(F.col("fp")).alias("cell"))
-        .select("fp", "cell", F.explode(F.expr(steps)).alias("step"))
-        .where(f"step = 0 OR (step > 0 AND {count} < 4) OR (step < 0 AND {count} > 0)")
-        .selectExpr("CASE WHEN step = 0 THEN cell ELSE cell + sign(step) * shiftleft(1L, 3 * (abs(step) - 1)) END AS key", "fp", "step")
-        .selectExpr("cast(key AS long) AS key", "fp", "step")
-    )
-    met = materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(runs_to_pairs, "a long, b long"), "met")
+    met = materialize(grid(distinct).select("key", "fp", "step").repartition("key").sortWithinPartitions("key").mapInArrow(runs_to_pairs, "a long, b long"), "met")
     dense = materialize(met.where("b IS NULL").select(F.col("a").alias("fp")).distinct(), "crowded")
     flips = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
     words = dense.select("fp", F.explode(flips).alias("word"))

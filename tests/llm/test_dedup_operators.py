@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -126,6 +127,50 @@ def test_near_duplicates_behind_nearer_templates(make):
         assert {r.doc_id: r.keeper for r in neardup.near_duplicate_groups(make(texts), spec).collect()} == smallest
 
 
+def test_near_duplicates_by_the_simhash_grid(make):
+    """Similar pairs within the operator's radius are linked where no band brings them together; unlike ones within it are not."""
+    rng = random.Random(61)
+    texts = []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+        texts += [" ".join(words), " ".join(words[:450] + [f"new{k}"] + words[451:])]
+    texts += [" ".join(["same"] * 400 + [f"own{k}x{i}" for i in range(8)]) for k in range(2)]
+    prints = [int(simhash.fingerprint(simhash.shingle_hashes(t, 5))[0]) for t in texts]
+    within = [i for i in range(0, len(texts), 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 2]
+    assert len(within) > 10 and within[-1] == len(texts) - 2
+    got = {r.doc_id: r.keeper for r in neardup.near_duplicate_groups(make(texts), neardup.NearDupSpec(bits=40, bands=1, first_bands=1)).collect()}
+    assert all(got[i + 1] == i for i in within[:-1]) and got[len(texts) - 1] == len(texts) - 1
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_every_pair_within_the_radius_meets_in_the_grid(spark, full):
+    """grid_cells against all pairs of the first lane, ids of equal fingerprints included; in full cells, by rare shingles."""
+    rng = np.random.default_rng(62)
+    prints = [int(x) for x in rng.integers(-(2**62), 2**62, 12)]
+    for _ in range(88):
+        prints.append(prints[int(rng.integers(0, len(prints)))] ^ sum(1 << int(b) for b in rng.choice(62, int(rng.integers(0, 3)), replace=False)))
+    classes = spark.createDataFrame([(i, i, p, 0, 0, 0) for i, p in enumerate(prints)], "id long, root long, f0 long, f1 long, f2 long, f3 long")
+    spec = neardup.NearDupSpec(block=4 if full else 1024)
+    sets = spark.createDataFrame([(i, np.arange(20, dtype=np.uint32).tobytes()) for i in range(len(prints))], "id long, shingles binary")
+    held = neardup.members(neardup.grid_cells(classes).repartition("key").sortWithinPartitions("key"), spec, lambda ids: neardup.materialize(sets.join(ids, "id"), "sets"))
+    groups = {}
+    for r in held.collect():
+        groups.setdefault((r.key, r.i, r.j), set()).add(r.id)
+    met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    want = {(a, b) for a in range(len(prints)) for b in range(a + 1, len(prints)) if ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= 2}
+    assert met >= want and len(want) > 100
+
+
+def test_lanes_do_not_part_what_meets_by_a_rare_shingle():
+    """Under a rare shingle a document's lane may be another band's than its partner's: the similarity alone decides there."""
+    shingles = np.arange(40, dtype=np.uint32).tobytes()
+    names = [*neardup.NAMES, "shingles"]
+    for key, want in ((-7, [(1, 2)]), (7, [])):
+        rows = [[key, 0, 0, 0, 1, 0, 1, shingles], [key, 0, 0, 0, 2, -1, 2, shingles]]
+        out = neardup.verified_cells([pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])], neardup.NearDupSpec())
+        assert [(r["a"], r["b"]) for b in out for r in b.to_pylist()] == want
+
+
 @pytest.mark.parametrize("block", [4096, 50, 7])
 def test_every_pair_of_a_cell_meets(spark, block):
     """Members with a partner, in whole cells and in cells dealt by pairs of blocks: every near pair of different roots stands in one group."""
