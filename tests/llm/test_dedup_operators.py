@@ -342,6 +342,43 @@ def test_repeats_of_dense_hashes(spark, make, dense):
     assert seg.groupBy("h").agg(F.countDistinct("s1", "s2").alias("k")).where(F.col("k") > 20).count() >= 3
 
 
+def most_read(spark, group):
+    """Of each stage of a job group that reads 5,000 or more shuffled rows: the largest task's share of them."""
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    out = {}
+    for job in tracker.getJobIdsForGroup(group):
+        for stage in tracker.getJobInfo(job).stageIds:
+            tasks, rows = store.taskList(stage, 0, 10_000), []
+            for i in range(tasks.size()):
+                metrics = tasks.apply(i).taskMetrics()
+                rows.append(metrics.get().shuffleReadMetrics().recordsRead() if metrics.isDefined() else 0)
+            if sum(rows) >= 5000:
+                out[stage] = max(rows) / sum(rows)
+    return out
+
+
+def test_pieces_that_many_texts_hold_do_not_meet_in_one_task(spark, make):
+    """Runs of one letter and a passage in many surroundings: most rows have one key, no task reads most of a stage's rows, and the bytes are those of brute force."""
+    rng = random.Random(10)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(100)
+    texts = [word(12) + passage + word(12) for _ in range(1500)] + [word(20) + "z" * rng.randint(60, 95) + word(20) for _ in range(1500)]
+    spec = suffix.RepeatSpec(length=40, gram=8, most_windows=64, shard_bytes=20_000, dense=12)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(held, ("false", "16", "-1")):
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("hot pieces", "")
+        got = suffix.remove_repeats(make(texts), spec).orderBy("doc_id").collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("", "")
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_repeats(texts, 40)
+    shares = most_read(spark, "hot pieces")
+    assert shares and max(shares.values()) < 0.3, shares
+
+
 def test_pieces_of_equal_windows_share_a_key(spark):
     """Every window lies in one piece, ranges have the stated width, and windows alike in two segments get one key."""
     rng = random.Random(9)
