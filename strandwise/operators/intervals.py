@@ -163,6 +163,41 @@ def hits(points: DataFrame, iv: DataFrame, bin_width: int, pos: str = "pos", key
     return left.join(right, [*keys, "_size", "_bin"]).where(inside).drop("_size", "_bin")
 
 
+def open_counts(points: DataFrame, iv: DataFrame, by: str, pos: str = "pos", bin_width: int = SCAN_WIDTH) -> DataFrame:
+    """(pos, by, n): how many intervals of each `by` hold each position of the points, where any does; a position is told once.
+
+    Depths are summed over starts and ends, so the work follows the rows and the positions, not the pairs of a
+    point and an interval. Depths are carried from bin to bin over one row a bin and `by`; within a bin only the
+    `by` that are open at its start or change in it meet its positions.
+    """
+    at = points.select(F.col(pos).cast("long").alias("pos")).where("pos IS NOT NULL").distinct().withColumn("_bin", F.floor(F.col("pos") / bin_width))
+    edges = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))))
+    edges = iv.where("end > start").select(F.col(by).alias("_by"), edges.alias("e")).groupBy("_by", F.col("e.pos").cast("long").alias("pos")).agg(F.sum("e.d").alias("_d"))
+    edges = landed(edges.withColumn("_bin", F.floor(F.col("pos") / bin_width)), "edges")
+    none = F.lit(0).cast("long")
+    own = edges.groupBy("_by", "_bin").agg(F.sum("_d").alias("_total"))
+    seen = own.select("_by").distinct().crossJoin(at.select("_bin").distinct()).select("_by", "_bin", none.alias("_total"), F.lit(False).alias("_own"))
+    grid = own.withColumn("_own", F.lit(True)).unionByName(seen).groupBy("_by", "_bin").agg(F.sum("_total").alias("_total"), F.max("_own").alias("_own"))
+    earlier = Window.partitionBy("_by").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("_d", F.coalesce(F.sum("_total").over(earlier), none)).where("_own OR _d > 0").select("_by", "_bin", "_d")
+    # What is open where a bin begins counts from its first position.
+    steps = edges.select("_by", "_bin", "pos", "_d").unionByName(grid.select("_by", "_bin", (F.col("_bin") * bin_width).alias("pos"), "_d")).withColumn("_asked", F.lit(False))
+    asked = at.join(grid, "_bin").select("_by", "_bin", "pos", none.alias("_d"), F.lit(True).alias("_asked"))
+    steps = steps.unionByName(asked).groupBy("_by", "_bin", "pos").agg(F.sum("_d").alias("_d"), F.max("_asked").alias("_asked"))
+    inside = Window.partitionBy("_by", "_bin").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return landed(steps.withColumn("n", F.sum("_d").over(inside)).where("_asked AND n > 0").select("pos", F.col("_by").alias(by), "n"), "open-counts")
+
+
+def places(points: DataFrame, key: str, pos: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """The points' (key, pos, times), those of keys with one position and those of keys with several; null positions are left out."""
+    points = points.select(key, pos).where(F.col(pos).isNotNull())
+    per = points.groupBy(key).agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"), F.count("*").alias("times"))
+    # Both filters read all three aggregates, so both sides have the same exchange and it runs once.
+    several = per.where("_lo < _hi AND times > 0").select(F.col(key).alias("_key"))
+    several = points.join(several, F.col(key).eqNullSafe(F.col("_key")), "left_semi").groupBy(key, pos).agg(F.count("*").alias("times"))
+    return per.where("_lo = _hi AND times > 0").select(key, F.col("_lo").alias(pos), "times"), several
+
+
 def is_hit(points: DataFrame, iv: DataFrame, bin_width: int, key: str, pos: str = "pos", inclusive: bool = False, name: str = "in_peak") -> DataFrame:
     """points plus a flag: whether any interval holds the position. key identifies a point."""
     found = hits(points.select(key, pos), iv.select("start", "end"), bin_width, pos, (), inclusive).select(key).distinct().withColumn(name, F.lit(True))

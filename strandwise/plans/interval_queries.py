@@ -73,8 +73,11 @@ def open_in_files(spark, d):
 
 @query("I11_open_in_list", f"WITH {REC}, {PK} SELECT event_id, count(DISTINCT accession) AS n_open, string_agg(DISTINCT CAST(accession AS VARCHAR), ',' ORDER BY CAST(accession AS VARCHAR)) AS open_in FROM rec r JOIN (SELECT * FROM pk WHERE set_id = 'purchase') p ON r.pos >= p.start AND r.pos < p.\"end\" GROUP BY event_id")
 def open_in_list(spark, d):
-    found = iv.hits(records(spark, d).select("event_id", "pos"), peaks(spark, d).where("set_id = 'purchase'"), BIN)
-    return found.groupBy("event_id").agg(F.countDistinct("accession").alias("n_open"), F.array_join(F.sort_array(F.collect_set(F.col("accession").cast("string"))), ",").alias("open_in"))
+    points = records(spark, d).select("event_id", "pos")
+    counts = iv.open_counts(points, peaks(spark, d).where("set_id = 'purchase'"), "accession")
+    one, several = iv.places(points, "event_id")
+    files = lambda rows, key: rows.groupBy(key).agg(F.sort_array(F.collect_set(F.col("accession").cast("string"))).alias("files")).select(key, F.size("files").cast("long").alias("n_open"), F.array_join("files", ",").alias("open_in"))
+    return one.join(files(counts, "pos"), "pos").select("event_id", "n_open", "open_in").unionByName(files(several.join(counts, "pos"), "event_id"))
 
 
 SPLIT = f"WITH {MG}, {merged_sql('m2', chr(40) + 'SELECT * FROM pk WHERE set_id = ' + chr(39) + 'view' + chr(39) + chr(41))} "
