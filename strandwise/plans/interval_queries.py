@@ -68,7 +68,12 @@ def point_inclusive(spark, d):
 
 @query("J5_open_in_files", f"WITH {REC}, {PK} SELECT event_id, accession, count(*) AS n FROM rec r JOIN (SELECT * FROM pk WHERE set_id = 'purchase') p ON r.pos >= p.start AND r.pos < p.\"end\" GROUP BY ALL")
 def open_in_files(spark, d):
-    return iv.hits(records(spark, d).select("event_id", "pos"), peaks(spark, d).where("set_id = 'purchase'"), BIN).groupBy("event_id", "accession").agg(F.count("*").alias("n"))
+    points = records(spark, d).select("event_id", "pos")
+    counts = iv.open_counts(points, peaks(spark, d).where("set_id = 'purchase'"), "accession")
+    one, several = iv.places(points, "event_id")
+    packed = counts.groupBy("pos").agg(F.collect_list(F.struct("accession", "n")).alias("files"))
+    one = one.join(packed, "pos").select("event_id", "times", F.explode("files").alias("f")).select("event_id", "f.accession", (F.col("f.n") * F.col("times")).alias("n"))
+    return one.unionByName(several.join(counts, "pos").groupBy("event_id", "accession").agg(F.sum(F.col("n") * F.col("times")).alias("n")))
 
 
 @query("I11_open_in_list", f"WITH {REC}, {PK} SELECT event_id, count(DISTINCT accession) AS n_open, string_agg(DISTINCT CAST(accession AS VARCHAR), ',' ORDER BY CAST(accession AS VARCHAR)) AS open_in FROM rec r JOIN (SELECT * FROM pk WHERE set_id = 'purchase') p ON r.pos >= p.start AND r.pos < p.\"end\" GROUP BY event_id")

@@ -66,3 +66,7 @@ def odd_and_dense(spark, path, name):
 
 def test_open_list_on_odd_and_dense_tables(spark, tmp_path):
     odd_and_dense(spark, tmp_path, "I11_open_in_list")
+
+
+def test_open_in_files_on_odd_and_dense_tables(spark, tmp_path):
+    odd_and_dense(spark, tmp_path, "J5_open_in_files")
