@@ -28,13 +28,13 @@ def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def mark_duplicates(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """df plus in_duplicate (all members of a repeated key) and later_duplicate (all but its first). order tells the rows of a key apart.
+    """df plus in_duplicate (all members of a repeated key) and later_duplicate (all but its first). order tells the rows of a key apart, nulls last.
 
     Keys are counted by 128 bits of their hash, nulls apart, so no long value is shuffled. Counts and firsts of
     repeated keys are joined back: those of hot keys by broadcast, which moves none of their rows, others by hash.
     """
     flags = [F.col(c).isNull() for c in keys]
-    rows = df.withColumn("_k1", F.xxhash64(*keys, *flags)).withColumn("_k2", F.xxhash64(F.lit(1), *keys, *flags)).withColumn("_o", F.struct(*order))
+    rows = df.withColumn("_k1", F.xxhash64(*keys, *flags)).withColumn("_k2", F.xxhash64(F.lit(1), *keys, *flags)).withColumn("_o", F.struct(*[x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"_null_{i}"), F.col(c))]))
     per = landed(rows.groupBy("_k1", "_k2").agg(F.count("*").alias("_n"), F.min("_o").alias("_first")).where("_n > 1"), "repeated-keys")
     hot = per.where(F.col("_n") > HOT).select(F.col("_k1").alias("_h1"), F.col("_k2").alias("_h2"), F.col("_first").alias("_hot"))
     cold = per.where(F.col("_n") <= HOT).select(F.col("_k1").alias("_c1"), F.col("_k2").alias("_c2"), F.col("_first").alias("_cold"))
@@ -46,11 +46,28 @@ def mark_duplicates(df: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return rows.select(*df.columns, first.isNotNull().alias("in_duplicate"), F.coalesce(F.col("_o") > first, F.lit(False)).alias("later_duplicate"))
 
 
+#: Most copies of a row that are made from one count at a time.
+COPIES = 1 << 16
+
+
 def dedup_ledger(df: DataFrame, name: str, key: list[str], order: list[str]) -> DataFrame:
-    """Rows of names that occur more than once: whether keeping one row a name would drop the row, and whether the allele key would too."""
-    marked = mark_duplicates(df, [name], order).withColumnRenamed("later_duplicate", "removed_by_name")
-    marked = mark_duplicates(marked.withColumnRenamed("in_duplicate", "_named"), key, order).withColumnRenamed("later_duplicate", "same_allele_key")
-    return marked.where("_named").drop("_named", "in_duplicate")
+    """Rows of names that occur more than once: whether keeping one row a name would drop the row, and whether the allele key would too.
+
+    Exactly one row of a name and of a key is kept. Rows that order leaves first together are marked again by all
+    columns; those alike in all are counted, marked as one and written out again, one of them as the first.
+    """
+    columns = df.columns
+    marked = mark_duplicates(df, [name], order).withColumnsRenamed({"in_duplicate": "_named", "later_duplicate": "removed_by_name"})
+    marked = landed(mark_duplicates(marked, key, order).withColumnRenamed("later_duplicate", "same_allele_key"), "ledger")
+    first = F.expr("_named AND NOT removed_by_name OR in_duplicate AND NOT same_allele_key")
+    whole = [*order, *[c for c in columns if c not in order]]
+    again = mark_duplicates(marked.where(first).groupBy(*columns, "_named").agg(F.count("*").alias("_copies")), [name], whole).withColumnRenamed("later_duplicate", "removed_by_name").drop("in_duplicate")
+    again = mark_duplicates(again, key, whole).withColumnRenamed("later_duplicate", "same_allele_key")
+    again = again.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / COPIES))))
+    again = again.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("_copies") - F.col("_lot") * COPIES))))
+    later = (F.col("_lot") > 0) | (F.col("_copy") > 1)
+    again = again.withColumns({c: F.col(c) | later for c in ("removed_by_name", "same_allele_key")})
+    return marked.where(~first).unionByName(again.select(*marked.columns)).where("_named").drop("_named", "in_duplicate")
 
 
 def long_scores(df: DataFrame, ids: list[str], prefix: str = "score_") -> DataFrame:
